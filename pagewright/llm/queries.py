@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored, table
-from . import leaks, mojibake, site_lines, truncation
+from . import leaks, mojibake, near_dups, site_lines, truncation
+
+#: Problem 1's tables, with their id and text.
+RECORDS = (("chunks", "chunk_id", "content"), ("visual_descriptions", "desc_id", "markdown_block"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = [near_dups.similar_pairs(table(spark, d, t), i, c).select(F.lit(t).alias("tbl"), "id_1", "id_2") for t, i, c in RECORDS]
+    return pairs[0].unionByName(pairs[1])
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    groups = [near_dups.classes(near_dups.similar_pairs(table(spark, d, t), i, c)).select(F.lit(t).alias("tbl"), "id", "class_id", "links") for t, i, c in RECORDS]
+    return groups[0].unionByName(groups[1])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +77,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
 
+_PAIRS = r"""
+r AS (SELECT 'chunks' AS tbl, chunk_id AS id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS a FROM chunks
+      UNION ALL SELECT 'visual_descriptions', desc_id, regexp_extract_all(lower(markdown_block), '[\p{L}\p{N}]+') FROM visual_descriptions),
+g AS (SELECT DISTINCT tbl, id, array_to_string(a[i:i + 2], ' ') AS g FROM r, generate_series(1, len(a) - 2) AS s(i) WHERE len(a) >= 30),
+n AS (SELECT tbl, id, count(*) AS n FROM g GROUP BY ALL),
+both_ AS (SELECT x.tbl, x.id AS id_1, y.id AS id_2, count(*) AS c FROM g x JOIN g y ON x.tbl = y.tbl AND x.g = y.g AND x.id < y.id GROUP BY ALL),
+pairs AS (SELECT b.tbl, id_1, id_2 FROM both_ b JOIN n p ON p.tbl = b.tbl AND p.id = id_1 JOIN n q ON q.tbl = b.tbl AND q.id = id_2
+          WHERE c >= 0.6 * (p.n + q.n - c) - 1e-9)"""
+
 _LINES = r"""
 lines AS (
   SELECT chunk_id, doc_id, split_part(lower(documentname), '/', 1) AS site, i - 1 AS line_no,
@@ -86,6 +108,7 @@ hits AS (SELECT DISTINCT doc_id, item_id FROM y JOIN q USING (g))"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"WITH {_PAIRS} SELECT tbl, id_1, id_2 FROM pairs",
         "p5_found": f"WITH {_LINES} SELECT DISTINCT chunk_id, line_no FROM long JOIN crossed USING (site, k)",
         "p5_pages": f"""WITH {_LINES}, bad AS (SELECT DISTINCT chunk_id, line_no FROM long JOIN crossed USING (site, k))
             SELECT l.chunk_id, coalesce(string_agg(string_split(c.content, chr(10))[l.line_no + 1], chr(10) ORDER BY l.line_no) FILTER (WHERE b.line_no IS NULL), '') AS content
