@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored, table
-from . import leaks, mojibake, near_dups, site_lines, truncation
+from . import leaks, mojibake, near_dups, packing, site_lines, truncation
 
 #: Problem 1's tables, with their id and text.
 RECORDS = (("chunks", "chunk_id", "content"), ("visual_descriptions", "desc_id", "markdown_block"))
@@ -60,6 +60,21 @@ def p5_newly_crossed(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.newly_crossed(pages.where(~late), pages.where(late)).select("site", "docs")
 
 
+def _containers(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    """pack_sizes has a handful of rows, whatever the scale."""
+    rows = table(spark, d, "pack_sizes").where("capacity_tokens > 0").select("container", "capacity_tokens").orderBy("capacity_tokens").toLocalIterator()
+    return [(r.container, int(r.capacity_tokens)) for r in rows]
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = stored(packing.token_counts(table(spark, d, "documents")), "sizes")
+    return packing.pack_all(sizes, _containers(spark, d)).withColumnRenamed("item_id", "doc_id")
+
+
+def p6_certificate(spark: SparkSession, d: str) -> DataFrame:
+    return packing.certificate(p6_packed(spark, d), _containers(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.exact_phrases(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
