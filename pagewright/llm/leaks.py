@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .words import WordHashes, hashed_words, mix, words
 
-N_WORDS, TERM, BLOCK = 12, 3, 2000
+N_WORDS, TERM, BLOCK = 12, 5, 2000
 
 
 def _term_hashes(flat: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ def exact_phrases(docs: DataFrame, items: DataFrame, n: int = N_WORDS) -> DataFr
         terms, index = _indexed(docs, block, n)
         width = n - TERM + 1
         rare = anchors(terms, n)
-        places = index.join(F.broadcast(rare), "term").select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("diag"), "off").alias("c")
+        places = index.join(F.broadcast(rare), "term").select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("diag"), "off")
         # the terms around each aligned anchor, at the places where they would have to stand
         around = terms.select(F.col("item_id").alias("_item"), F.col("off").alias("_off"), "term")
         near = places.join(F.broadcast(around), (F.col("item_id") == F.col("_item")) & (F.abs(F.col("_off") - F.col("off")) < width))
@@ -121,7 +121,7 @@ def exact_phrases(docs: DataFrame, items: DataFrame, n: int = N_WORDS) -> DataFr
     return found.distinct()
 
 
-def proximity(docs: DataFrame, items: DataFrame, least_terms: int = 6, slack: int = 16, n: int = N_WORDS) -> DataFrame:
+def proximity(docs: DataFrame, items: DataFrame, least_terms: int = 3, slack: int = 16, n: int = N_WORDS) -> DataFrame:
     """(doc_id, item_id, terms): loose matches. Anchors of one item whose shifted positions lie within ``slack`` words of each
     other count as one stretch, also where words were inserted or left out between them; ``least_terms`` of them have to meet."""
     found = None
