@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored, table
-from . import leaks, mojibake, near_dups, packing, site_lines, truncation
+from . import leaks, mojibake, near_dups, packing, site_lines, subjects, truncation
 
 #: Problem 1's tables, with their id and text.
 RECORDS = (("chunks", "chunk_id", "content"), ("visual_descriptions", "desc_id", "markdown_block"))
@@ -33,7 +33,7 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_limits(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.censoring(truncation.length_histogram(table(spark, d, "visual_descriptions"), "model_id", "description_json"))
+    return truncation.censoring(truncation.length_histogram(truncation.scan(table(spark, d, "visual_descriptions"), "desc_id", "model_id", "description_json")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +88,27 @@ def p7_proximity(spark: SparkSession, d: str) -> DataFrame:
     return leaks.proximity(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assigned(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p8_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents, and what share of the corpus, treat each area."""
+    docs = table(spark, d, "documents")
+    found = p8_found(spark, d).groupBy("subject").agg(F.count("*").alias("documents"))
+    total = docs.agg(F.count_distinct("doc_id").alias("all"))
+    names = table(spark, d, "subjects").select("subject").join(found, "subject", "left").fillna(0, ["documents"])
+    return names.join(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("all")).alias("share"))
+
+
+def p8_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Each topic with its top terms and the subject that they were mapped to, for inspection."""
+    t = subjects.fit(table(spark, d, "documents"), table(spark, d, "subject_labels"), subjects.subject_names(table(spark, d, "subjects")))
+    tops = [[t.vocab[i] for i in (-row).argsort(kind="stable")[:12]] for row in subjects.distinctive(t.chance)]
+    rows = [(i, lang, meaning, " ".join(top)) for i, ((_, lang), meaning, top) in enumerate(zip(t.names, t.meaning, tops))]
+    return spark.createDataFrame(rows, "topic int, lang string, subject string, top_terms string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
