@@ -35,7 +35,9 @@ from .leaks import _term_hashes
 from .words import WordHashes, hashed_words, mix
 
 N, THRESHOLD, MIN_WORDS = 3, 0.6, 30
-SKETCH_BITS, SLICES, BITMAP = 22, 64, 4
+SKETCH_BITS, SLICES = 22, 64
+#: Words of 64 bits in a parity bitmap: the least, and the most however large a set is.
+BITMAP_LEAST, BITMAP_MOST = 4, 512
 #: Postings that a bucket should have, postings of a list from which it is split, and pairs formed at once in a task.
 BUCKET_POSTINGS, LONG_LIST, PAIRS_AT_ONCE = 1_500_000, 20_000, 2_000_000
 TEXTS_AT_ONCE = 1000
@@ -111,16 +113,40 @@ def need(size: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * size - 1e-9).astype(np.int64)
 
 
-def _parity(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """A bitmap of 64 * BITMAP bits per set, whose bits count the members with that bit modulo 2."""
-    bits = 64 * BITMAP
-    at = owner * bits + (mix(h) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, bits), axis=1).view(np.uint64)
+def _widths(sizes: np.ndarray) -> np.ndarray:
+    """Words of each set's bitmap: a power of two, with at least two bits for each member."""
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 1) / 32)).astype(np.int64), BITMAP_LEAST, BITMAP_MOST)
+
+
+def _parity(h: np.ndarray, owner: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The sets' bitmaps one after the other: a bit counts the members that fall on it, modulo 2. A bitmap folds to half its
+    width by exclusive or, so bitmaps of different widths can be compared."""
+    bits, starts = 64 * widths, 64 * (np.cumsum(widths) - widths)
+    at = starts[owner] + (mix(h) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
+def _folded(maps: np.ndarray, widths: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each width: the bitmaps folded down to it of all sets that have at least it, and each set's row there."""
+    out, starts = {}, np.cumsum(widths) - widths
+    rows, at = np.zeros((0, 1), np.uint64), np.zeros(0, np.int64)
+    for w in sorted(set(widths.tolist()), reverse=True):
+        while len(rows) and rows.shape[1] > w:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        own = np.flatnonzero(widths == w)
+        mine = maps[starts[own][:, None] + np.arange(w)]
+        rows, at = np.concatenate([rows.reshape(-1, w), mine]), np.concatenate([at, own])
+        place = np.full(len(widths), -1)
+        place[at] = np.arange(len(at))
+        out[w] = (rows, place)
+    return out
 
 
 def prefix_blocks(records: DataFrame, level: np.ndarray, buckets: int, n: int, t: float, min_words: int) -> DataFrame:
-    """(bucket, ids, sizes, bitmaps, keys, owners, places, sides): postings of the prefixes in columnar blocks."""
+    """(bucket, ids, sizes, bitmaps, counts, keys, places, sides): postings of the prefixes in columnar blocks, a record's postings
+    side by side. Keys have 32 bits: two n-grams that share one only add pairs for the verification to refuse."""
     order = records.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,14 +162,19 @@ def prefix_blocks(records: DataFrame, level: np.ndarray, buckets: int, n: int, t
             keys, places, sides = (np.concatenate([x[i] for x in held]) for i in (3, 5, 6))
             owners = np.concatenate([x[4] + b for x, b in zip(held, base)])
             held.clear()
+            widths = _widths(sizes)
+            starts = np.cumsum(widths) - widths
             to = (keys % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(to, kind="stable")
+            by = np.lexsort((owners, to))
             ends = np.searchsorted(to[by], np.arange(buckets + 1))
             for b in range(buckets):
                 rows = by[ends[b] : ends[b + 1]]
                 if len(rows):
-                    docs, local = np.unique(owners[rows], return_inverse=True)
-                    yield pd.DataFrame({"bucket": [b], "ids": [ids[docs].tobytes()], "sizes": [sizes[docs].tobytes()], "bitmaps": [maps[docs].tobytes()], "keys": [keys[rows].tobytes()], "owners": [local.astype(np.int32).tobytes()], "places": [places[rows].astype(np.int32).tobytes()], "sides": [sides[rows].tobytes()]})
+                    docs, counts = np.unique(owners[rows], return_counts=True)
+                    w = widths[docs]
+                    words = np.repeat(starts[docs] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+                    columns = {"ids": ids[docs], "sizes": sizes[docs], "bitmaps": maps[words], "counts": _small(counts), "keys": (keys[rows] >> np.uint64(32)).astype(np.uint32), "places": _small(places[rows]), "sides": sides[rows] if sides[rows].any() else sides[:0]}
+                    yield pd.DataFrame({"bucket": [b], **{k: [v.tobytes()] for k, v in columns.items()}})
 
         for batch in batches:
             for pdf in _slices(batch):
@@ -153,7 +184,7 @@ def prefix_blocks(records: DataFrame, level: np.ndarray, buckets: int, n: int, t
                     continue
                 ids, sizes = pdf["id"].to_numpy()[has], sizes[has]
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                maps = _parity(h, owner, len(sizes))
+                maps = _parity(h, owner, _widths(sizes))
                 lv = rare[(h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                 by = np.lexsort((h, lv, owner))
                 h, lv = h[by], lv[by]
@@ -180,19 +211,31 @@ def prefix_blocks(records: DataFrame, level: np.ndarray, buckets: int, n: int, t
                     held_n = 0
         yield from flush()
 
-    return records.mapInPandas(run, "bucket int, ids binary, sizes binary, bitmaps binary, keys binary, owners binary, places binary, sides binary")
+    return records.mapInPandas(run, "bucket int, ids binary, sizes binary, bitmaps binary, counts binary, keys binary, places binary, sides binary")
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """In as few bytes as its largest value needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _large(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{max(1, len(raw) // max(n, 1))}").astype(np.int32)
 
 
 def _bucket_pairs(blocks: pd.DataFrame, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (least id first) of one bucket."""
-    def whole(col, kind):
+    def whole(col: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x, kind) for x in blocks[col]])
 
-    ids, sizes, keys, place, side = whole("ids", np.int64), whole("sizes", np.int32), whole("keys", np.uint64), whole("places", np.int32), whole("sides", np.uint8)
-    maps = whole("bitmaps", np.uint64).reshape(-1, BITMAP)
-    lens = [len(x) // 8 for x in blocks["ids"]]
-    base = np.cumsum([0, *lens])
-    doc = np.concatenate([np.frombuffer(x, np.int32) + b for x, b in zip(blocks["owners"], base)]).astype(np.int32)
+    ids, sizes, keys, maps = whole("ids", np.int64), whole("sizes", np.int32), whole("keys", np.uint32), whole("bitmaps", np.uint64)
+    docs, postings = [len(x) // 8 for x in blocks["ids"]], [len(x) // 4 for x in blocks["keys"]]
+    counts = np.concatenate([_large(x, n) for x, n in zip(blocks["counts"], docs)])
+    place = np.concatenate([_large(x, n) for x, n in zip(blocks["places"], postings)])
+    side = np.concatenate([np.frombuffer(x, np.uint8) if len(x) else np.zeros(n, np.uint8) for x, n in zip(blocks["sides"], postings)])
+    widths = _widths(sizes)
+    folded = _folded(maps, widths)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
     by = np.lexsort((sizes[doc], keys))
     keys, doc, place, side = keys[by], doc[by], place[by], side[by]
     size = sizes[doc]
@@ -221,7 +264,10 @@ def _bucket_pairs(blocks: pd.DataFrame, t: float) -> Iterator[tuple[np.ndarray,
             i, j = i[ok], j[ok]
             a, b = doc[i], doc[j]
             both = sizes[a] + sizes[b]
-            gap = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int32)
+            gap, width = np.zeros(len(a), np.int32), np.minimum(widths[a], widths[b])
+            for w, (rows, at_row) in folded.items():
+                some = np.flatnonzero(width == w)
+                gap[some] = np.bitwise_count(rows[at_row[a[some]]] ^ rows[at_row[b[some]]]).sum(axis=1, dtype=np.int32)
             ok = (gap <= both - 2 * alpha[both]) & (ids[a] != ids[b])
             x, y = ids[a[ok]], ids[b[ok]]
             yield np.minimum(x, y), np.maximum(x, y)
