@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored, table
-from . import leaks, mojibake, near_dups, packing, site_lines, subjects, truncation
+from . import leaks, mojibake, near_dups, ocr, packing, site_lines, subjects, truncation
 
 #: Problem 1's tables, with their id and text.
 RECORDS = (("chunks", "chunk_id", "content"), ("visual_descriptions", "desc_id", "markdown_block"))
@@ -24,6 +24,15 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return groups[0].unionByName(groups[1])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.damages(table(spark, d, "chunks"))
+
+
+def p2_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages on which damage was found, repaired."""
+    return ocr.repaired(table(spark, d, "chunks")).where(F.size("damage") > 0)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "visual_descriptions")).select(F.col("id").alias("desc_id"))
 
