@@ -1,15 +1,53 @@
-"""Every query of the core by name, with SQL for the same rows."""
+"""Every query of the core by name, with SQL for the same rows. All read whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions import loose_json as J
+from ..functions import text as T
+from ..operators import cache as C
+from ..operators import describe as D
+from ..operators import layout as L
+from ..operators import markdown as M
 from ..session import table
+from ..streaming import ingest
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
+#: White space as Unicode has it, for engines whose patterns only know ASCII's.
+WS = r"[\t\n\x0B\f\r \x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def query(sql: str | None = None):
+    """Registers the function under its name, with SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- the deck registry ---------------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH h AS (SELECT document_id, unnest(slide_hashes) AS slide_hash FROM documents_registry),
+    n AS (SELECT document_id, count(DISTINCT slide_hash) AS c FROM h WHERE slide_hash IN (SELECT slide_hash FROM visual_descriptions) GROUP BY 1)
+    SELECT d.document_id, file_name, page_count, len(slide_hashes) AS slides, coalesce(c, 0) AS cached_descriptions, last_accessed_at
+    FROM documents_registry d LEFT JOIN n USING (document_id) ORDER BY last_accessed_at DESC, document_id""")
 def deck_listing(spark: SparkSession, d: str) -> DataFrame:
     """Decks by last access, with the number of slides and how many of their distinct slides have a cached description."""
     decks = table(spark, d, "documents_registry")
@@ -27,15 +65,409 @@ def deck_listing(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""SELECT document_id, regexp_replace(file_name, '\\.(pdf|pptx?|odp)$', '', 'i') AS base_name, lower(split_part(file_name, '/', 1)) AS site,
+    CASE WHEN file_size_bytes <= 0 OR file_size_bytes < 1024 THEN file_size_bytes::VARCHAR || ' B'
+      WHEN file_size_bytes < 1048576 THEN round(file_size_bytes / 1024.0, 1)::DOUBLE::VARCHAR || ' KB'
+      WHEN file_size_bytes < 1073741824 THEN round(file_size_bytes / 1048576.0, 1)::DOUBLE::VARCHAR || ' MB'
+      ELSE round(file_size_bytes / 1073741824.0, 1)::DOUBLE::VARCHAR || ' GB' END AS size_label FROM documents_registry""")
+def deck_labels(spark: SparkSession, d: str) -> DataFrame:
+    decks = table(spark, d, "documents_registry")
+    return decks.select("document_id", T.base_name(F.col("file_name")).alias("base_name"), F.lower(F.substring_index("file_name", "/", 1)).alias("site"), T.file_size_label(F.col("file_size_bytes")).alias("size_label"))
+
+
+# -- caches --------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT namespace_id, slide_hash, model_id, desc_id, updated_at FROM visual_descriptions
+    QUALIFY row_number() OVER (PARTITION BY namespace_id, slide_hash, model_id ORDER BY updated_at DESC NULLS LAST, prompt_version, prompt_hash, desc_id) = 1""")
+def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
+    rows = C.latest(table(spark, d, "visual_descriptions"), ["namespace_id", "slide_hash", "model_id"], "updated_at", ["prompt_version", "prompt_hash", "desc_id"])
+    return rows.select("namespace_id", "slide_hash", "model_id", "desc_id", "updated_at")
+
+
+@query("""SELECT doc_id, count(*) AS requested, count(*) FILTER (WHERE slide_hash IN (SELECT slide_hash FROM visual_descriptions)) AS hits,
+    count(*) FILTER (WHERE slide_hash NOT IN (SELECT slide_hash FROM visual_descriptions WHERE slide_hash IS NOT NULL)) AS misses
+    FROM images WHERE coalesce(slide_hash, '') <> '' GROUP BY doc_id""")
+def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return C.lookup_totals(table(spark, d, "images"), table(spark, d, "visual_descriptions"), "slide_hash", ["doc_id"])
+
+
+@query("""SELECT doc_id, id, page_number FROM images i WHERE NOT EXISTS (SELECT 1 FROM visual_descriptions v WHERE v.slide_hash = i.slide_hash AND v.slide_hash <> '')""")
+def cache_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Slides to be described: those that the cache lacks and those without a hash."""
+    return C.split_by_cache(table(spark, d, "images"), table(spark, d, "visual_descriptions"), "slide_hash")[1].select("doc_id", "id", "page_number")
+
+
+@query("""WITH s AS (SELECT doc_id, CASE WHEN coalesce(slide_hash, '') = '' THEN 'error' WHEN slide_hash IN (SELECT slide_hash FROM visual_descriptions) THEN 'hit'
+      WHEN byte_estimate > 4194304 THEN 'error' ELSE 'miss' END AS status FROM images)
+    SELECT doc_id, count_if(status = 'hit')::BIGINT AS hits, count_if(status = 'miss')::BIGINT AS misses, count_if(status = 'error')::BIGINT AS errors FROM s GROUP BY doc_id""")
+def cache_hit_counts(spark: SparkSession, d: str) -> DataFrame:
+    s = D.statuses(table(spark, d, "images"), table(spark, d, "visual_descriptions"))
+    return s.groupBy("doc_id").agg(*[F.count_if(F.col("status") == k).alias(n) for k, n in (("hit", "hits"), ("miss", "misses"), ("error", "errors"))])
+
+
+@query("""SELECT doc_id, id AS image_id, CASE WHEN coalesce(slide_hash, '') = '' THEN 'error' WHEN slide_hash IN (SELECT slide_hash FROM visual_descriptions) THEN 'hit'
+      WHEN byte_estimate > 300000 THEN 'error' ELSE 'miss' END AS status,
+    CASE WHEN coalesce(slide_hash, '') = '' THEN 'Slide hash is missing.' WHEN slide_hash IN (SELECT slide_hash FROM visual_descriptions) THEN NULL
+      WHEN byte_estimate > 300000 THEN 'Slide image is ' || byte_estimate || ' bytes, above 300000.' END AS error FROM images""")
+def describe_status(spark: SparkSession, d: str) -> DataFrame:
+    """With a size limit that some slides exceed."""
+    return D.statuses(table(spark, d, "images"), table(spark, d, "visual_descriptions"), 300_000)
+
+
+@query("""SELECT doc_id, coalesce(nullif(id, ''), 'image') AS image_id, page_number, coalesce(nullif(slide_hash, ''), nullif(fingerprint, ''), sha256(reference)) AS slide_hash,
+    coalesce(nullif(fingerprint, ''), substr(coalesce(nullif(slide_hash, ''), nullif(fingerprint, ''), sha256(reference)), 1, 16)) AS fingerprint, coalesce(byte_estimate, 0) AS byte_estimate FROM images""")
+def image_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return D.jobs(table(spark, d, "images"))
+
+
+@query("""WITH c AS (SELECT slide_hash, arg_max(markdown_block, (updated_at, desc_id)) AS b FROM visual_descriptions WHERE markdown_block IS NOT NULL GROUP BY 1),
+    f AS (SELECT doc_id, id AS image_id, max(slide_hash) AS slide_hash, min(caption) AS b FROM images WHERE caption IS NOT NULL GROUP BY ALL),
+    h AS (SELECT slide_hash, min(b) AS b FROM f WHERE coalesce(slide_hash, '') <> '' GROUP BY 1)
+    SELECT i.doc_id, i.id AS image_id, i.page_number, coalesce(c.b, h.b, f.b) AS block,
+      CASE WHEN c.b IS NOT NULL THEN 'cached' WHEN h.b IS NOT NULL THEN 'fresh' ELSE 'by_id' END AS origin
+    FROM images i LEFT JOIN c USING (slide_hash) LEFT JOIN h USING (slide_hash) LEFT JOIN f ON f.doc_id = i.doc_id AND f.image_id = i.id
+    WHERE coalesce(c.b, h.b, f.b) IS NOT NULL""")
+def ordered_merge(spark: SparkSession, d: str) -> DataFrame:
+    images = table(spark, d, "images")
+    cached = table(spark, d, "visual_descriptions").where("markdown_block IS NOT NULL").groupBy("slide_hash").agg(F.max_by("markdown_block", F.struct("updated_at", "desc_id")).alias("block"))
+    fresh = images.where("caption IS NOT NULL").groupBy("doc_id", F.col("id").alias("image_id")).agg(F.max("slide_hash").alias("slide_hash"), F.min("caption").alias("block"))
+    return C.merged_in_order(images.withColumnRenamed("id", "image_id"), cached, fresh)
+
+
+_UPSERT = """
+    WITH old AS (SELECT * FROM documents_registry WHERE created_at < TIMESTAMP '2025-10-01'),
+    new AS (SELECT document_id, lower(file_name) AS file_name, file_size_bytes + 1 AS file_size_bytes, page_count, slide_hashes, created_at + INTERVAL 1 DAY AS created_at, last_accessed_at + INTERVAL 1 DAY AS last_accessed_at
+            FROM documents_registry WHERE last_accessed_at >= TIMESTAMP '2025-08-01')
+    SELECT coalesce(o.document_id, n.document_id) AS document_id, coalesce(n.file_name, o.file_name) AS file_name,
+      CASE WHEN o.document_id IS NOT NULL THEN o.file_size_bytes ELSE n.file_size_bytes END AS file_size_bytes, coalesce(n.page_count, o.page_count) AS page_count,
+      CASE WHEN o.document_id IS NOT NULL THEN o.created_at ELSE n.created_at END AS created_at, coalesce(n.last_accessed_at, o.last_accessed_at) AS last_accessed_at
+    FROM old o FULL JOIN new n USING (document_id)"""
+
+
+@query(_UPSERT)
+def upsert_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The registry's later accesses merged into its earlier rows; size and creation time of known decks stay."""
+    decks = table(spark, d, "documents_registry")
+    old = decks.where(F.col("created_at") < F.expr("timestamp_ntz'2025-10-01'"))
+    day = F.expr("interval 1 day")
+    new = decks.where(F.col("last_accessed_at") >= F.expr("timestamp_ntz'2025-08-01'"))
+    new = new.withColumns({"file_name": F.lower("file_name"), "file_size_bytes": F.col("file_size_bytes") + 1, "created_at": F.col("created_at") + day, "last_accessed_at": F.col("last_accessed_at") + day})
+    return C.upserted(old, new, ["document_id"], ["file_size_bytes", "created_at"], ["last_accessed_at"]).drop("slide_hashes")
+
+
+@query("""
+    WITH k AS (SELECT *, row_number() OVER (PARTITION BY namespace_id, slide_hash, model_id, prompt_version, prompt_hash ORDER BY created_at, desc_id) AS n,
+      row_number() OVER (PARTITION BY namespace_id, slide_hash, model_id, prompt_version, prompt_hash ORDER BY updated_at DESC NULLS LAST, desc_id DESC) AS m FROM visual_descriptions)
+    SELECT o.namespace_id, o.slide_hash, o.model_id, o.prompt_version, o.prompt_hash, w.desc_id, o.created_at, w.updated_at, w.latency_ms
+    FROM (SELECT * FROM k WHERE n = 1) o JOIN (SELECT * FROM k WHERE m = 1) w USING (namespace_id, slide_hash, model_id, prompt_version, prompt_hash)""")
+def upsert_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """First writes as the cache, all rows as incoming: one row per key with the last values and the first creation time."""
+    v = table(spark, d, "visual_descriptions").select(*C.CACHE_KEY, "desc_id", "created_at", "updated_at", "latency_ms")
+    first = v.withColumn("_n", F.row_number().over(Window.partitionBy(*C.CACHE_KEY).orderBy("created_at", "desc_id"))).where("_n = 1").drop("_n")
+    return C.upserted(first, v, C.CACHE_KEY, ["created_at"], ["updated_at", "desc_id"])
+
+
+@query("""SELECT model_id, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, quantile_cont(latency_ms, 0.5) AS p50_ms, quantile_cont(latency_ms, 0.95) AS p95_ms,
+    round(count_if(updated_at < created_at) / count(*), 9) AS odd_share FROM visual_descriptions GROUP BY model_id""")
+def latency_report(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "visual_descriptions")
+    return v.groupBy("model_id").agg(
+        F.count("*").alias("n"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.percentile("latency_ms", F.lit(0.5)).alias("p50_ms"), F.percentile("latency_ms", F.lit(0.95)).alias("p95_ms"),
+        F.round(F.count_if(F.col("updated_at") < F.col("created_at")) / F.count("*"), 9).alias("odd_share"),
+    )
+
+
+# -- scalar kernels ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT chunk_id, sha256(content) AS content_hash, substr(sha256(content), 1, 16) AS fingerprint FROM chunks WHERE content IS NOT NULL")
+def slide_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    h = F.sha2("content", 256)
+    return table(spark, d, "chunks").where("content IS NOT NULL").select("chunk_id", h.alias("content_hash"), F.substring(h, 1, 16).alias("fingerprint"))
+
+
+@query("""SELECT DISTINCT doc_id, id, lower(to_hex(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(fingerprint || reference, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, c: xor((a * 33) & 4294967295, c)))) AS hash FROM images WHERE fingerprint IS NOT NULL AND reference IS NOT NULL""")
+def short_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "images").where("fingerprint IS NOT NULL AND reference IS NOT NULL")
+    return rows.select("doc_id", "id", T.short_hash(F.concat("fingerprint", "reference")).alias("hash")).distinct()
+
+
+@query(rf"""SELECT chunk_id, substr({strip_sql(f"regexp_replace(content, '{WS}+', ' ', 'g')")}, 1, 1800) AS text FROM chunks WHERE content IS NOT NULL""")
+def compact_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").where("content IS NOT NULL").select("chunk_id", T.compact(F.col("content")).alias("text"))
+
+
+@query("SELECT chunk_id, round_even(length(to_base64(encode(content))) * 0.75, 0)::BIGINT AS bytes FROM chunks WHERE content IS NOT NULL")
+def data_uri_bytes(spark: SparkSession, d: str) -> DataFrame:
+    encoded = F.regexp_replace(F.base64(F.encode("content", "UTF-8")), r"[\r\n]", "")
+    return table(spark, d, "chunks").where("content IS NOT NULL").select("chunk_id", T.base64_bytes(encoded).alias("bytes"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 60 - 1 <= 0 THEN 2.0 ELSE least(l_discount * 60 - 1, 3.0) END AS scale FROM lineitem""")
+def clamp_scale(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.render_scale(F.col("l_discount") * 60 - 1).alias("scale"))
+
+
+@query(r"""SELECT doc_id, coalesce(length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20 AND (regexp_matches(text, '(?m)^#{1,6}\s+\S') OR regexp_matches(text, '(?m)^\s*[-*]\s+\S')
+    OR regexp_matches(text, '(?m)^\|.*\|') OR contains(text, '```') OR regexp_matches(text, '\n\s*\n')), false) AS is_markdown FROM documents""")
+def looks_like_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.looks_like_markdown(F.col("text")).alias("is_markdown"))
+
+
+@query("""SELECT chunk_type, CASE WHEN contains(lower(chunk_type), 'table') THEN 'table' WHEN contains(lower(chunk_type), 'figure') OR contains(lower(chunk_type), 'picture')
+    OR contains(lower(chunk_type), 'image') THEN 'figure' ELSE 'text' END AS item_type, count(*) AS n FROM chunks GROUP BY ALL""")
+def item_types(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").groupBy("chunk_type", T.item_type(F.col("chunk_type")).alias("item_type")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT chunk_id, coalesce(pageno, TRY_CAST(nullif(regexp_extract(source_path, '(?:^|\.)pages?[.\[](\d+)', 1), '') AS INT)) AS page FROM chunks")
+def inferred_page(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("chunk_id", F.coalesce("pageno", T.page_from_path(F.col("source_path"))).alias("page"))
+
+
+# -- pages and Markdown --------------------------------------------------------------------------------------------------
+
+_SECTION = f"""'[Page ' || coalesce(nullif(pageno, 0), idx + 1) || ']' || CASE WHEN {strip_sql("coalesce(content, '')")} = '' THEN '' ELSE chr(10) || chr(10) || {strip_sql("coalesce(content, '')")} END"""
+_BREAK = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+
+
+@query(f"SELECT doc_id, idx // 200 AS part, string_agg({_SECTION}, {_BREAK} ORDER BY idx, chunk_id) AS markdown FROM chunks GROUP BY ALL")
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return M.page_markdown(table(spark, d, "chunks"))
+
+
+@query(f"""SELECT doc_id, coalesce(nullif(pageno, 0)::VARCHAR, 'Unknown') AS page_key, idx // 200 AS part, string_agg({strip_sql('content')}, chr(10) || chr(10) ORDER BY idx, chunk_id) AS text
+    FROM chunks WHERE {strip_sql("coalesce(content, '')")} <> '' GROUP BY ALL""")
+def page_text_map(spark: SparkSession, d: str) -> DataFrame:
+    r = M.text_by_page(table(spark, d, "chunks"))
+    return r.select("doc_id", "page_key", "part", "text")
+
+
+@query(r"""SELECT doc_id, sum(coalesce(len(regexp_extract_all(content, '(?m)(?:^\|.*\|\s*$\n?){2,}')), 0))::BIGINT AS tables FROM chunks GROUP BY doc_id""")
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").groupBy("doc_id").agg(F.sum(T.table_count(F.col("content"))).alias("tables"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, count(*) AS pages, count_if(length({strip_sql("coalesce(content, '')")}) < 10)::BIGINT AS blank FROM chunks GROUP BY doc_id)
+    SELECT *, blank > 0 AND blank >= ceil(pages * 0.35::DOUBLE) AS retry FROM s""")
+def blank_page_retry(spark: SparkSession, d: str) -> DataFrame:
+    return M.force_ocr(table(spark, d, "chunks"))
+
+
+@query(rf"""WITH s AS (SELECT doc_id, string_split({strip_sql('text')}, {_BREAK}) AS a FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT doc_id, i - 1 AS pos, a[i] AS body, nullif(regexp_extract(a[i], '^\[Page ([^\]]+)\]', 1), '') AS page_key FROM s, generate_series(1, len(a)) AS g(i))
+    SELECT *, page_key IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, page_key ORDER BY pos) = 1 AS claims FROM r""")
+def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    return M.split_sections(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
+
+
+_BLOCKS = """
+    deck AS (SELECT doc_id, deck_id FROM documents WHERE deck_id IS NOT NULL),
+    b AS (SELECT DISTINCT deck.doc_id, i.page_number::VARCHAR AS page_key, v.desc_id AS ord, v.markdown_block AS block FROM deck JOIN images i ON i.doc_id = deck.deck_id
+          JOIN visual_descriptions v ON v.slide_hash = i.slide_hash AND v.slide_hash <> '' WHERE v.markdown_block IS NOT NULL AND i.page_number IS NOT NULL)"""
+
+
+@query(rf"""WITH s AS (SELECT doc_id, string_split({strip_sql('text')}, {_BREAK}) AS a FROM documents WHERE text IS NOT NULL AND deck_id IS NOT NULL),
+    r AS (SELECT doc_id, i - 1 AS pos, a[i] AS body, nullif(regexp_extract(a[i], '^\[Page ([^\]]+)\]', 1), '') AS page_key FROM s, generate_series(1, len(a)) AS g(i)),
+    p AS (SELECT *, page_key IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, page_key ORDER BY pos) = 1 AS claims FROM r), {_BLOCKS},
+    g AS (SELECT doc_id, page_key, string_agg(block, chr(10) || chr(10) ORDER BY ord) AS blocks FROM b GROUP BY ALL),
+    kept AS (SELECT p.doc_id, pos, CASE WHEN g.blocks IS NULL THEN body ELSE {strip_sql('body')} || chr(10) || chr(10) || g.blocks END AS body
+             FROM p LEFT JOIN g ON p.claims AND g.doc_id = p.doc_id AND g.page_key = p.page_key),
+    last AS (SELECT doc_id, max(pos) + 1 AS n FROM p GROUP BY 1),
+    free AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.claims AND p.doc_id = b.doc_id AND p.page_key = b.page_key))
+    SELECT * FROM kept UNION ALL SELECT f.doc_id, n + row_number() OVER (PARTITION BY f.doc_id ORDER BY TRY_CAST(page_key AS INT) NULLS LAST, page_key, ord) - 1,
+      '[Page ' || page_key || ']' || chr(10) || chr(10) || block FROM free f JOIN last USING (doc_id)""")
+def insert_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of decks with the cached descriptions of the deck's slides at their pages."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND deck_id IS NOT NULL")
+    decks = table(spark, d, "documents").where("deck_id IS NOT NULL").select("doc_id", "deck_id")
+    slides = table(spark, d, "images").where("page_number IS NOT NULL AND slide_hash <> ''").select(F.col("doc_id").alias("deck_id"), F.col("page_number").cast("string").alias("page_key"), "slide_hash")
+    described = table(spark, d, "visual_descriptions").where("markdown_block IS NOT NULL").select("slide_hash", F.col("desc_id").alias("ord"), F.col("markdown_block").alias("block"))
+    blocks = decks.join(slides, "deck_id").join(described, "slide_hash").select("doc_id", "page_key", "ord", "block").distinct()
+    blocks = blocks.join(docs.select("doc_id"), "doc_id", "left_semi")
+    return M.with_descriptions(M.split_sections(docs, "doc_id", "text"), blocks, "doc_id")
+
+
+@query("""SELECT doc_id, idx, chunk_id FROM chunks ORDER BY doc_id, pageno NULLS LAST, idx, chunk_id""")
+def pages_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").orderBy("doc_id", F.col("pageno").asc_nulls_last(), "idx", "chunk_id").select("doc_id", "idx", "chunk_id")
+
+
+@query(rf"""WITH s AS (SELECT doc_id, count(*) AS chunks, count(DISTINCT coalesce(nullif(pageno, 0), idx + 1)) AS pages, sum(length({_SECTION}))::BIGINT AS characters, count_if(chunk_type = 'table')::BIGINT AS tables,
+      count_if(chunk_type = 'figure')::BIGINT AS figures FROM chunks GROUP BY doc_id)
+    SELECT s.*, coalesce(i.n, 0) AS images, coalesce(i.bytes, 0)::BIGINT AS image_bytes FROM s LEFT JOIN (SELECT doc_id, count(*) AS n, sum(byte_estimate) AS bytes FROM images GROUP BY 1) i USING (doc_id)""")
+def stats_rows(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    typed = chunks.select("doc_id", F.coalesce(F.nullif(F.col("pageno"), F.lit(0)), F.col("idx") + 1).alias("page"), "chunk_type", F.length(T.page_section(F.coalesce(F.nullif(F.col("pageno"), F.lit(0)), F.col("idx") + 1), F.col("content"))).alias("n"))
+    per_doc = typed.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_distinct("page").alias("pages"), F.sum("n").alias("characters"), F.count_if(F.col("chunk_type") == "table").alias("tables"), F.count_if(F.col("chunk_type") == "figure").alias("figures"))
+    images = table(spark, d, "images").groupBy("doc_id").agg(F.count("*").alias("images"), F.sum("byte_estimate").alias("image_bytes"))
+    return per_doc.join(images, "doc_id", "left").fillna(0, ["images", "image_bytes"])
+
+
+# -- images and boxes ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, id, page_number, fingerprint, count(*) OVER (PARTITION BY doc_id, fingerprint) AS repeats FROM images")
+def repeat_counts(spark: SparkSession, d: str) -> DataFrame:
+    return L.repeats(table(spark, d, "images")).select("doc_id", "id", "page_number", "fingerprint", "repeats")
+
+
+@query("""SELECT DISTINCT doc_id, 'local-page-' || page_number || '-visual' AS figure_id, 'Large visual region candidate' AS caption, page_number, reference, 'page-visual' AS type, len(picture_areas) AS areas, source_path
+    FROM images WHERE len(picture_areas) > 0""")
+def figures(spark: SparkSession, d: str) -> DataFrame:
+    i = table(spark, d, "images").where(F.size("picture_areas") > 0)
+    return i.select("doc_id", F.concat(F.lit("local-page-"), "page_number", F.lit("-visual")).alias("figure_id"), F.lit("Large visual region candidate").alias("caption"), "page_number", "reference", F.lit("page-visual").alias("type"), F.size("picture_areas").alias("areas"), "source_path").distinct()
+
+
+@query("""SELECT doc_id, page_number, fingerprint, id FROM images QUALIFY row_number() OVER (PARTITION BY doc_id, page_number, fingerprint ORDER BY id, reference) = 1""")
+def figure_dedup(spark: SparkSession, d: str) -> DataFrame:
+    first = F.row_number().over(Window.partitionBy("doc_id", "page_number", "fingerprint").orderBy("id", "reference"))
+    return table(spark, d, "images").withColumn("_n", first).where("_n = 1").select("doc_id", "page_number", "fingerprint", "id")
+
+
+_AREAS = """a AS (SELECT doc_id, id, i - 1 AS pos, s.width AS w, s.height AS h, p[i].label AS label, p[i].bbox AS x
+    FROM (SELECT DISTINCT doc_id, id, page_size AS s, picture_areas AS p FROM images), generate_series(1, len(p)) AS g(i))"""
+
+
+@query(f"""WITH {_AREAS}, r AS (SELECT *, CASE WHEN w * h > 0 THEN abs(x.r - x.l) * abs(x.b - x.t) / (w * h) ELSE 0 END AS ratio, greatest(w, h) * 0.04 AS m FROM a),
+    z AS (SELECT *, ratio >= 0.82 OR (ratio >= 0.65 AND x.l <= m AND x.t <= m AND x.r >= w - m AND x.b >= h - m) AS page_sized FROM r)
+    SELECT doc_id, id, pos, label, round(ratio, 9) AS ratio, page_sized, x.r > x.l AND x.b > x.t AND ratio >= CASE WHEN label = 'image' THEN 0.01 ELSE 0.0005 END AND NOT page_sized AS kept FROM z""")
+def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
+    box, w, h = F.col("box"), F.col("width"), F.col("height")
+    return L.areas(table(spark, d, "images")).select(
+        "doc_id", "id", "pos", "label", F.round(G.area_ratio(box, w, h), 9).alias("ratio"), G.is_page_sized(box, w, h).alias("page_sized"), G.is_kept_area(box, F.col("label"), w, h).alias("kept")
+    )
+
+
+@query(f"""WITH {_AREAS} SELECT doc_id, id, pos, round(greatest(0, least(x.l, x.r) * 1280.0 / w - 4), 6) AS x,
+      round(greatest(0, CASE WHEN contains(upper(x.coordOrigin), 'BOTTOM') THEN h - greatest(x.t, x.b) ELSE least(x.t, x.b) END * 720.0 / h - 4), 6) AS y,
+      round(least(1280.0, (greatest(x.l, x.r) * 1280.0 / w) - (least(x.l, x.r) * 1280.0 / w) + 8), 6) AS w, round(least(720.0, (greatest(x.t, x.b) - least(x.t, x.b)) * 720.0 / h + 8), 6) AS h FROM a""")
+def bbox_to_canvas(spark: SparkSession, d: str) -> DataFrame:
+    c = G.to_canvas(F.col("box"), F.col("width"), F.col("height"), F.lit(1280.0), F.lit(720.0), 4.0)
+    rows = L.areas(table(spark, d, "images")).select("doc_id", "id", "pos", c.alias("c"))
+    return rows.select("doc_id", "id", "pos", *[F.round(f"c.{k}", 6).alias(k) for k in "xywh"])
+
+
+@query(f"""WITH RECURSIVE {_AREAS}, near AS (SELECT p.doc_id, p.id, p.pos AS a, q.pos AS b FROM a p JOIN a q ON p.doc_id = q.doc_id AND p.id = q.id
+      AND greatest(p.x.l, q.x.l) - least(p.x.r, q.x.r) <= 12 AND greatest(p.x.t, q.x.t) - least(p.x.b, q.x.b) <= 12),
+    reach AS (SELECT doc_id, id, a, b FROM near UNION SELECT r.doc_id, r.id, r.a, n.b FROM reach r JOIN near n ON n.doc_id = r.doc_id AND n.id = r.id AND n.a = r.b),
+    c AS (SELECT doc_id, id, a AS pos, min(b) AS cluster FROM reach GROUP BY ALL)
+    SELECT doc_id, id, cluster, count(*) AS boxes, min(x.l) AS l, max(x.r) AS r, min(x.t) AS t, max(x.b) AS b FROM c JOIN a USING (doc_id, id, pos) GROUP BY ALL""")
+def bbox_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return L.clusters(table(spark, d, "images"))
+
+
+@query(f"""WITH {_AREAS} SELECT doc_id, id, count(*) AS boxes, round(least(1, sum(abs(x.r - x.l) * abs(x.b - x.t)) / first(w * h)), 6) AS share FROM a GROUP BY ALL""")
+def picture_area_share(spark: SparkSession, d: str) -> DataFrame:
+    return L.picture_share(table(spark, d, "images")).withColumn("share", F.round("share", 6))
+
+
+@query(f"""WITH {_AREAS} SELECT doc_id, id, coalesce(max(w), max(greatest(x.l, x.r))) AS width, coalesce(max(h), max(greatest(x.t, x.b))) AS height FROM a GROUP BY ALL""")
+def page_extent(spark: SparkSession, d: str) -> DataFrame:
+    return L.page_extent(table(spark, d, "images"))
+
+
+@query("""WITH r AS (SELECT i.doc_id, i.id AS image_id, i.repeats, status, coalesce(picture_box_count, 0) AS n, coalesce(picture_area_ratio, 0) AS p
+      FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, fingerprint) AS repeats FROM images) i LEFT JOIN image_analysis a ON a.doc_id = i.doc_id AND a.image_id = i.id),
+    s AS (SELECT doc_id, image_id, repeats, CASE WHEN status = 'error' THEN 'load failed' WHEN coalesce(status, '') <> 'ready' THEN 'analyzing' ELSE
+      concat_ws('; ', CASE WHEN repeats > 1 THEN 'repeated ' || repeats || 'x' END, CASE WHEN n < 1 THEN 'picture boxes < 1' END, CASE WHEN p < 0.12 THEN 'picture area < 12%' END,
+        CASE WHEN n < 1 OR p < 0.12 THEN 'below vision threshold' END) END AS skip_reasons FROM r)
+    SELECT *, skip_reasons = '' AS kept FROM s""")
+def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return L.decisions(table(spark, d, "images"), table(spark, d, "image_analysis"))
+
+
+@query("""SELECT i.doc_id, count(DISTINCT i.id) AS expected, count(DISTINCT a.image_id) AS analysed, count(DISTINCT i.id) = count(DISTINCT CASE WHEN status IN ('ready', 'error') THEN a.image_id END) AS done
+    FROM images i LEFT JOIN image_analysis a ON a.doc_id = i.doc_id AND a.image_id = i.id GROUP BY 1""")
+def analysis_done(spark: SparkSession, d: str) -> DataFrame:
+    """Whether all images of a deck are analysed; images are counted once before the join."""
+    i = table(spark, d, "images").select("doc_id", F.col("id").alias("image_id")).distinct()
+    a = table(spark, d, "image_analysis").groupBy("doc_id", "image_id").agg(F.bool_or(F.col("status").isin("ready", "error")).alias("ok"))
+    rows = i.join(a.withColumn("_a", F.lit(1)), ["doc_id", "image_id"], "left")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("expected"), F.count("_a").alias("analysed"), (F.count("*") == F.count_if(F.coalesce("ok", F.lit(False)))).alias("done"))
+
+
+# -- loose JSON ----------------------------------------------------------------------------------------------------------
+
+_PARSED = """p AS (SELECT desc_id, CASE WHEN json_valid(j) AND NOT regexp_matches(j, ',\\s*[}\\]]') THEN j END AS j FROM (SELECT desc_id, nullif(regexp_extract(description_json, '(?s)\\{.*\\}'), '') AS j FROM visual_descriptions)),
+    f AS (SELECT desc_id, coalesce(nullif(trim(j ->> '$.visualType'), ''), 'mixed') AS visual_type, coalesce(trim(j ->> '$.visualDescription'), '') AS visual_description, coalesce(trim(j ->> '$.teachingExplanation'), '') AS teaching_explanation,
+      list_filter(list_transform(coalesce(from_json(j -> '$.importantVisualElements', '["VARCHAR"]'), []), lambda x: trim(x)), lambda x: x <> '') AS elements,
+      list_filter(list_transform(coalesce(from_json(j -> '$.visibleTextNotInOcr', '["VARCHAR"]'), []), lambda x: trim(x)), lambda x: x <> '') AS missing_text,
+      coalesce(nullif(trim(j ->> '$.confidence'), ''), 'medium') AS confidence FROM p WHERE j IS NOT NULL)"""
+
+
+@query(f"WITH {_PARSED} SELECT desc_id, visual_type, visual_description, teaching_explanation, array_to_string(elements, '|') AS elements, array_to_string(missing_text, '|') AS missing_text, confidence FROM f")
+def normalised_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "visual_descriptions").select("desc_id", J.description(F.col("description_json")).alias("d")).where("d IS NOT NULL").select("desc_id", "d.*")
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("elements", "missing_text")})
+
+
+@query(f"""WITH {_PARSED} SELECT desc_id, concat_ws(chr(10) || chr(10), '### Visual Explanation', nullif(visual_description, ''), CASE WHEN teaching_explanation <> '' THEN 'Teaching note:' || chr(10) || teaching_explanation END,
+      CASE WHEN len(elements) > 0 THEN 'Important visual elements:' || chr(10) || array_to_string(list_transform(elements, lambda x: '- ' || x), chr(10)) END,
+      CASE WHEN len(missing_text) > 0 THEN 'Visible text or symbols not captured by OCR:' || chr(10) || array_to_string(list_transform(missing_text, lambda x: '- ' || x), chr(10)) END) AS block FROM f""")
+def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "visual_descriptions").select("desc_id", J.description(F.col("description_json")).alias("d")).where("d IS NOT NULL")
+    return rows.select("desc_id", J.markdown_block(F.col("d")).alias("block"))
+
+
+@query()
+def json_status(spark: SparkSession, d: str) -> DataFrame:
+    """How each model's answers could be read: as they are, inside other text, repaired, empty or not at all."""
+    v = table(spark, d, "visual_descriptions")
+    return J.parsed(v, "desc_id", "description_json").join(v.select("desc_id", "model_id"), "desc_id").groupBy("model_id", "status").agg(F.count("*").alias("n"))
+
+
+@query(rf"""SELECT chunk_id, sha256('v3' || chr(10) || '{D.TEMPLATE.replace("'", "''")}' || chr(10) || chr(10) || 'Slide: ' || coalesce('Page ' || nullif(pageno, 0), 'Unknown page') || chr(10) || 'Existing OCR text from this slide:' || chr(10) ||
+    coalesce(nullif(substr({strip_sql(f"regexp_replace(content, '{WS}+', ' ', 'g')")}, 1, 1800), ''), '[No OCR text available]')) AS prompt_hash FROM chunks""")
+def prompt_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("chunk_id", D.prompt_hash("v3", D.prompt(F.col("pageno"), F.col("content"))).alias("prompt_hash"))
+
+
+@query("""WITH refs AS (SELECT o_orderkey, unnest(['#/items~1' || o_orderkey || '~11', '#/items~1' || o_orderkey || '~12']) AS ref FROM orders)
+    SELECT r.o_orderkey, l_linenumber, l_partkey FROM refs r JOIN lineitem l ON '#/items/' || l_orderkey || '/' || l_linenumber = replace(replace(r.ref, '~1', '/'), '~0', '~')""")
+def json_pointer_join(spark: SparkSession, d: str) -> DataFrame:
+    """References followed by an equi-join on the decoded pointer: each order's first two items."""
+    ref = F.explode(F.array(*[F.concat(F.lit("#/items~1"), "o_orderkey", F.lit(f"~1{n}")) for n in (1, 2)])).alias("ref")
+    refs = table(spark, d, "orders").select("o_orderkey", ref).withColumn("pointer", F.replace(F.replace("ref", F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+    items = table(spark, d, "lineitem").select(F.concat(F.lit("#/items/"), "l_orderkey", F.lit("/"), "l_linenumber").alias("pointer"), "l_linenumber", "l_partkey")
+    return refs.join(items, "pointer").select("o_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""SELECT i.doc_id, i.id AS ref, 'image' AS origin FROM (SELECT DISTINCT doc_id, id FROM images) i UNION ALL
+    SELECT DISTINCT doc_id, image_id, 'analysis' FROM image_analysis a WHERE NOT EXISTS (SELECT 1 FROM images i WHERE i.doc_id = a.doc_id AND i.id = a.image_id)""")
+def body_order_union(spark: SparkSession, d: str) -> DataFrame:
+    """Items in their own order, and those known only from elsewhere behind them."""
+    own = table(spark, d, "images").select("doc_id", F.col("id").alias("ref")).distinct()
+    more = table(spark, d, "image_analysis").select("doc_id", F.col("image_id").alias("ref")).distinct().join(own, ["doc_id", "ref"], "left_anti")
+    return own.withColumn("origin", F.lit("image")).unionByName(more.withColumn("origin", F.lit("analysis")))
+
+
+@query("""SELECT l_orderkey, '| part | quantity | price |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
+    string_agg('| ' || l_partkey || ' | ' || l_quantity::BIGINT || ' | ' || floor(l_extendedprice)::BIGINT || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS grid, count(*) AS n FROM lineitem GROUP BY l_orderkey""")
+def table_cells_markdown(spark: SparkSession, d: str) -> DataFrame:
+    cells = F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("l_quantity").cast("bigint").cast("string"), F.lit(" | "), F.floor("l_extendedprice").cast("string"), F.lit(" |"))
+    rows = table(spark, d, "lineitem").withColumn("row", cells)
+    grid = M.joined(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "row", "\n", "rows")
+    n = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return grid.join(n, "l_orderkey").select("l_orderkey", F.concat(F.lit("| part | quantity | price |\n| --- | --- | --- |\n"), "rows").alias("grid"), "n")
+
+
+# -- streams -------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def stream_hourly_events(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{d}/events.parquet"
+    stream = ingest.arriving(spark, path, spark.read.parquet(path).schema)
+    done = ingest.run_to_table(ingest.windowed_counts(stream, "ts", "event_type", late="3650 days"))
+    return done.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"deck_listing": deck_listing}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "deck_listing": """
-            WITH h AS (SELECT document_id, unnest(slide_hashes) AS slide_hash FROM documents_registry),
-            n AS (SELECT document_id, count(DISTINCT slide_hash) AS c FROM h WHERE slide_hash IN (SELECT slide_hash FROM visual_descriptions) GROUP BY 1)
-            SELECT d.document_id, file_name, page_count, len(slide_hashes) AS slides, coalesce(c, 0) AS cached_descriptions, last_accessed_at
-            FROM documents_registry d LEFT JOIN n USING (document_id) ORDER BY last_accessed_at DESC, document_id"""
-    }
+    return dict(ORACLES)
