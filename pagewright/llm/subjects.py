@@ -3,7 +3,7 @@
 A latent Dirichlet topic model is fitted by variational EM over all documents: every iteration is one Spark job in which
 tasks infer the topic proportions of their documents and send the expected word counts of each topic, ``topics x
 vocabulary`` numbers whatever the corpus. The model has a topic for each subject and language and one more per language, for
-all that belongs to no subject. The first assignment takes documents with labels (at most ``LABELS`` rows are
+all that belongs to no subject, besides a few spare ones. The first assignment takes documents with labels (at most ``LABELS`` rows are
 used for it) to their labels' topics and all others to their language's rest; from then on labels play no part, so wrong
 and missing ones wash out. Afterwards every topic is mapped to a subject by its top terms: the subject that labels tie
 most of these terms to, or none where unlabelled text claims more of them or another subject comes near.
@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .words import words
 
-VOCABULARY, LABELS, LANGUAGES = 30_000, 50_000, 8
-ITERATIONS, INNER, ALPHA, ETA = 5, 4, 0.05, 0.01
+VOCABULARY, STOP_SHARE, LABELS, LANGUAGES = 30_000, 0.1, 50_000, 8
+ITERATIONS, INNER, ALPHA, ETA, SPARE, ACTIVE = 5, 4, 0.05, 0.01, 3, 0.01
 TOP_TERMS, CLEAR, VOTES, SHARE = 40, 1.5, 1.0, 0.25
 _UNIT = re.compile(r"\n+|(?<=[.!?…])[)\]\"”’»]*\s+")
 _PAGE = re.compile(r"^\s*(\[Page [^\]]*\]|#+ .*|-{3,}|\|.*\|?|)\s*$")
@@ -51,7 +52,8 @@ def language(lang):
 
 
 def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """The ``most`` words that stand in most documents, of those in at least two. Counting runs in every task before the shuffle."""
+    """The ``most`` words that stand in most documents, of those in at least two; words in more than STOP_SHARE of all documents say
+    nothing about a subject and are left out. Counting runs in every task before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -61,14 +63,17 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> list[str]:
             if len(seen) > 300_000:
                 yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                 seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     df = docs.select("text").where("text IS NOT NULL").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in df.where((F.col("n") > 1) & (F.length("word") > 1)).orderBy(F.desc("n"), "word").limit(most).select("word").toLocalIterator()]
+    usual = docs.count() * STOP_SHARE
+    return [r.word for r in df.where((F.col("n") > 1) & (F.col("n") <= max(usual, 2)) & (F.length("word") > 1)).orderBy(F.desc("n"), "word").limit(most).select("word").toLocalIterator()]
 
 
 def bags(docs: DataFrame, vocab: list[str]) -> DataFrame:
-    """(doc_id, lang, terms, counts): each document as the numbers of its words, in bytes."""
+    """(doc_id, lang, terms, counts, units, sizes): each document as the numbers of its words, in bytes; once as a bag, and once sentence
+    by sentence with the number of known words in each."""
     known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocab)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,14 +81,14 @@ def bags(docs: DataFrame, vocab: list[str]) -> DataFrame:
         for pdf in batches:
             rows = []
             for i, lang, t in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
-                ids = [n for w in words(t) if (n := number.get(w)) is not None]
-                if ids:
-                    terms, counts = np.unique(np.array(ids, np.int32), return_counts=True)
-                    rows.append((i, lang, terms.tobytes(), np.minimum(counts, 65535).astype(np.uint16).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "terms", "counts"])
+                ids = [[n for w in u if (n := number.get(w)) is not None] for u in sentences(t)]
+                units = np.fromiter(chain.from_iterable(ids), np.int32)
+                terms, counts = np.unique(units, return_counts=True)
+                rows.append((i, lang, terms.tobytes(), np.minimum(counts, 65535).astype(np.uint16).tobytes(), units.tobytes(), np.fromiter(map(len, ids), np.int32, len(ids)).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "terms", "counts", "units", "sizes"])
 
     ok = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", language(F.col("lang")).alias("lang"), "text")
-    return ok.mapInPandas(run, "doc_id bigint, lang string, terms binary, counts binary")
+    return ok.mapInPandas(run, "doc_id bigint, lang string, terms binary, counts binary, units binary, sizes binary")
 
 
 @dataclass
@@ -112,20 +117,25 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _expected(pdf: pd.DataFrame, chance: np.ndarray, alpha: float, inner: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each topic's expected word counts, and each document's topic proportions, under the model as it is."""
-    k, v = chance.shape
+def _expected(pdf: pd.DataFrame, by_word: np.ndarray, alpha: float, inner: int, acc: np.ndarray) -> None:
+    """Adds the expected uses of each word by topic, short of the factor ``by_word`` (vocabulary x topics), to ``acc``. Only the
+    words that stand in the documents are touched, and after the first pass only the topics."""
     terms, counts, sizes = _unpacked(pdf)
     starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-    by_word = chance.T[terms]
-    weight = np.ones((len(sizes), k), np.float32)
-    for _ in range(inner):
-        part = by_word * weight[owner]
-        part *= (counts / np.maximum(part.sum(axis=1), 1e-30))[:, None]
-        gamma = np.add.reduceat(part, starts, axis=0) + alpha
-        weight = np.exp(_digamma(gamma) - _digamma(gamma.sum(axis=1, keepdims=True))).astype(np.float32)
-    out = np.stack([np.bincount(terms, weights=part[:, t], minlength=v) for t in range(k)])
-    return out, gamma / gamma.sum(axis=1, keepdims=True)
+    chance = by_word[terms]
+    active = np.arange(by_word.shape[1])
+    weight = np.ones((len(sizes), len(active)), np.float32)
+    for n in range(inner):
+        used = counts / np.maximum(np.einsum("nk,nk->n", chance, weight[owner]), 1e-30)
+        gamma = weight * np.add.reduceat(chance * used[:, None], starts, axis=0) + alpha
+        if n == 0:  # topics without a share in any of these documents, such as other languages', stay without
+            some = np.flatnonzero(gamma.max(axis=0) > alpha + ACTIVE)
+            active, gamma, chance, weight = active[some], gamma[:, some], np.ascontiguousarray(chance[:, some]), weight[:, some]
+        last, weight = weight, np.exp(_digamma(gamma) - _digamma(gamma.sum(axis=1, keepdims=True))).astype(np.float32)
+    order = np.argsort(terms, kind="stable")
+    ordered = terms[order]
+    firsts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    acc[np.ix_(ordered[firsts], active)] += np.add.reduceat(last[owner[order]] * used[order, None], firsts, axis=0)
 
 
 def _summed(rows: DataFrame, k: int, v: int) -> np.ndarray:
@@ -150,16 +160,17 @@ def _emitted(total: np.ndarray) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"topic": [t], "counts": [total[t].astype(np.float32).tobytes()]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], iterations: int = ITERATIONS) -> Topics:
-    """The fitted topics of all documents (doc_id, text, lang)."""
+def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], iterations: int = ITERATIONS) -> tuple[Topics, DataFrame]:
+    """The fitted topics of all documents (doc_id, text, lang), and the documents as bags of numbers."""
     vocab = vocabulary(docs)
     held = stored(bags(docs, vocab), "bags")
+    worded = held.where(F.length("terms") > 0)
     spark, v = docs.sparkSession, max(1, len(vocab))
     clean = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(subjects)).distinct()
     marks = clean.groupBy("doc_id").agg(F.collect_set("subject").alias("marks")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS)
     known = {r.doc_id: r.marks for r in marks.toLocalIterator()}
     langs = [r.lang for r in held.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    names = [(s, g) for g in langs or ["xx"] for s in [*subjects, ""]]
+    names = [(s, g) for g in langs or ["xx"] for s in [*subjects, ""]] + [("", f"spare-{i}") for i in range(SPARE)]
     number = {x: i for i, x in enumerate(names)}
     first = spark.sparkContext.broadcast((known, number))
 
@@ -173,23 +184,27 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], iterations: int
                     total[t, np.frombuffer(terms, np.int32)] += np.frombuffer(counts, np.uint16) / len(own)
         yield from _emitted(total)
 
-    total = _summed(held.mapInPandas(assigned, "topic int, counts binary"), len(names), v)
+    total = _summed(worded.select("doc_id", "lang", "terms", "counts").mapInPandas(assigned, "topic int, counts binary"), len(names), v)
+    # spare topics start flat, with more than their share of rare words, and so take what fits no subject's topic
+    flat = np.sqrt(total.sum(axis=0))
+    total[len(names) - SPARE :] = flat * np.random.default_rng(8).uniform(0.5, 1.5, (SPARE, v))
     affinity = total
     for _ in range(iterations):
         chance = total + ETA
-        model = spark.sparkContext.broadcast((chance / chance.sum(axis=1, keepdims=True)).astype(np.float32))
+        model = spark.sparkContext.broadcast(np.ascontiguousarray((chance / chance.sum(axis=1, keepdims=True)).T.astype(np.float32)))
 
         def step(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            sums = np.zeros(model.value.shape, np.float64)
+            acc = np.zeros(model.value.shape, np.float32)
             for pdf in batches:
-                for at in range(0, len(pdf), 250):
-                    sums += _expected(pdf.iloc[at : at + 250], model.value, ALPHA, INNER)[0]
-            yield from _emitted(sums)
+                pdf = pdf.sort_values("lang")  # documents of one language have few topics between them
+                for at in range(0, len(pdf), 64):
+                    _expected(pdf.iloc[at : at + 64], model.value, ALPHA, INNER, acc)
+            yield from _emitted((acc * model.value).T)
 
-        total = _summed(held.mapInPandas(step, "topic int, counts binary"), len(names), v)
+        total = _summed(worded.select("lang", "terms", "counts").mapInPandas(step, "topic int, counts binary"), len(names), v)
     chance = total + ETA
     chance /= chance.sum(axis=1, keepdims=True)
-    return Topics(names, vocab, chance, subjects, topic_meanings(chance, affinity, names, subjects))
+    return Topics(names, vocab, chance, subjects, topic_meanings(chance, affinity, names, subjects)), held
 
 
 def distinctive(chance: np.ndarray) -> np.ndarray:
@@ -204,11 +219,14 @@ def topic_meanings(chance: np.ndarray, affinity: np.ndarray, names: list[tuple[s
     share = rate / rate.sum(axis=0, keepdims=True)
     share = np.stack([share[[i for i, x in enumerate(names) if x[0] == s]].sum(axis=0) for s in [*subjects, ""]])
     out: list[str | None] = []
-    for row in distinctive(chance):
+    for (first, _), row in zip(names, distinctive(chance)):
         top = np.argsort(-row, kind="stable")[:TOP_TERMS]
         say = share[:, top] @ row[top]
-        second, best = np.sort(say[:-1])[-2:] if len(subjects) > 1 else (0.0, say[0])
-        out.append(subjects[int(np.argmax(say[:-1]))] if best > say[-1] and best >= CLEAR * second else None)
+        best = int(np.argmax(say[:-1]))
+        second = max(np.delete(say[:-1], best), default=0.0)
+        # the terms have to confirm the subject that a topic began with, or to speak clearly for another
+        sure = say[best] > say[-1] and say[best] >= (1.0 if subjects[best] == first else CLEAR) * second
+        out.append(subjects[best] if sure else None)
     return out
 
 
@@ -220,28 +238,30 @@ def word_votes(t: Topics) -> np.ndarray:
     return np.where(share >= 0.5, share, 0).astype(np.float32)
 
 
-def subject_shares(docs: DataFrame, topics: Topics) -> DataFrame:
-    """(doc_id, subject, sentences, of, share): for each subject that at least one sentence treats."""
-    model = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(topics.vocab)}, word_votes(topics), topics.subjects))
+def subject_shares(held: DataFrame, topics: Topics) -> DataFrame:
+    """(doc_id, subject, sentences, of, share) of bagged documents: for each subject that at least one sentence treats."""
+    model = held.sparkSession.sparkContext.broadcast((np.concatenate([word_votes(topics), np.zeros((1, len(topics.subjects)), np.float32)]), topics.subjects))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, votes, names = model.value
+        votes, names = model.value
         for pdf in batches:
-            rows = []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
-                units = sentences(text)
-                if not units:
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                sizes = [np.frombuffer(x, np.int32) for x in part["sizes"]]
+                n = np.array([len(x) for x in sizes])
+                if not n.sum():
                     continue
-                ids = np.array([number.get(w, -1) for u in units for w in u])
-                sizes = np.array([len(u) for u in units])
-                score = np.add.reduceat(np.where((ids >= 0)[:, None], votes[ids], 0), np.cumsum(sizes) - sizes, axis=0)
-                best = score.argmax(axis=1)
-                treated = Counter(best[score.max(axis=1) >= VOTES].tolist())
-                rows += [(i, names[s], n, len(units)) for s, n in treated.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "sentences", "of"])
-
-    ok = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    rows = ok.mapInPandas(run, "doc_id bigint, subject string, sentences bigint, of bigint")
+                sizes = np.concatenate(sizes)
+                words_ = np.concatenate([np.frombuffer(x, np.int32) for x in part["units"]])
+                ends = np.cumsum(sizes)
+                padded = np.insert(words_, ends, len(votes) - 1)  # every sentence gets a word without a vote, so that none is empty
+                score = np.add.reduceat(votes[padded], ends - sizes + np.arange(len(sizes)), axis=0)
+                clear = score.max(axis=1) >= VOTES
+                treated = np.bincount(np.repeat(np.arange(len(n)), n)[clear] * len(names) + score.argmax(axis=1)[clear], minlength=len(n) * len(names)).reshape(len(n), len(names))
+                doc, subject = np.nonzero(treated)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[doc], "subject": np.array(names, object)[subject], "sentences": treated[doc, subject], "of": n[doc]})
+
+    rows = held.select("doc_id", "units", "sizes").mapInPandas(run, "doc_id bigint, subject string, sentences bigint, of bigint")
     return rows.groupBy("doc_id", "subject").agg(F.sum("sentences").alias("sentences"), F.max("of").alias("of")).withColumn("share", F.col("sentences") / F.col("of"))
 
 
@@ -252,5 +272,5 @@ def subject_names(subjects: DataFrame) -> list[str]:
 
 def assigned(docs: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, subject): every area that at least ``share`` of the document's sentences treat."""
-    topics = fit(docs, labels, subject_names(subjects))
-    return subject_shares(docs, topics).where(F.col("share") >= share).select("doc_id", "subject")
+    topics, held = fit(docs, labels, subject_names(subjects))
+    return subject_shares(held, topics).where(F.col("share") >= share).select("doc_id", "subject")
