@@ -115,7 +115,7 @@ def need(size: np.ndarray, t: float) -> np.ndarray:
 
 def _widths(sizes: np.ndarray) -> np.ndarray:
     """Words of each set's bitmap: a power of two, with at least two bits for each member."""
-    return np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 1) / 32)).astype(np.int64), BITMAP_LEAST, BITMAP_MOST)
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 32) / 32)).astype(np.int64), BITMAP_LEAST, BITMAP_MOST)
 
 
 def _parity(h: np.ndarray, owner: np.ndarray, widths: np.ndarray) -> np.ndarray:
