@@ -39,9 +39,9 @@ _CONTROL = re.compile(r"[\x80-\x9f�]")
 
 
 def cost(run: str) -> int:
-    """Garbling cost: 1 for a usual character, 3 for an unusual one, 5 for a control or replacement character."""
-    usual, control = len(_USUAL.findall(run)), len(_CONTROL.findall(run))
-    return usual + 5 * control + 3 * (len(run) - usual - control)
+    """Garbling cost: 1 for a usual character, 3 for an unusual one, 5 for a control or replacement character, 6 beyond the basic plane."""
+    usual, control, far = len(_USUAL.findall(run)), len(_CONTROL.findall(run)), sum(c > "\uffff" for c in run)
+    return usual + 5 * control + 6 * far + 3 * (len(run) - usual - control - far)
 
 
 def _as_bytes(run: str, encoding: str) -> str:
