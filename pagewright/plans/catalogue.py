@@ -14,6 +14,7 @@ from ..operators import cache as C
 from ..operators import describe as D
 from ..operators import layout as L
 from ..operators import markdown as M
+from ..operators import trees
 from ..session import table
 from ..streaming import ingest
 
@@ -425,6 +426,16 @@ def prompt_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", D.prompt_hash("v3", D.prompt(F.col("pageno"), F.col("content"))).alias("prompt_hash"))
 
 
+@query("""SELECT doc_id, idx // 50 AS part, (row_number() OVER (PARTITION BY doc_id, idx // 50 ORDER BY idx, chunk_id) - 1)::INT AS ord, coalesce(nullif(pageno, 0), idx + 1) AS page, sha256(content) AS text_hash,
+    CASE WHEN contains(lower(chunk_type), 'table') THEN 'table' WHEN contains(lower(chunk_type), 'figure') OR contains(lower(chunk_type), 'picture') THEN 'figure' ELSE 'text' END AS type FROM chunks WHERE content <> ''""")
+def parser_items(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as parser documents of 50 places of the deck each, and read back in the order of their bodies."""
+    page = F.coalesce(F.nullif(F.col("pageno"), F.lit(0)), F.col("idx") + 1)
+    rows = table(spark, d, "chunks").where("content <> ''").select("doc_id", F.floor(F.col("idx") / 50).alias("part"), F.struct("idx", "chunk_id", F.col("chunk_type").alias("label"), F.col("content").alias("text"), page.alias("page")).alias("x"))
+    documents = rows.groupBy("doc_id", "part").agg(trees.as_document(F.array_sort(F.collect_list("x"))).alias("json"))
+    return trees.items(documents, ["doc_id", "part"], "json").select("doc_id", "part", "ord", "page", F.sha2("text", 256).alias("text_hash"), "type")
+
+
 @query("""WITH refs AS (SELECT o_orderkey, unnest(['#/items~1' || o_orderkey || '~11', '#/items~1' || o_orderkey || '~12']) AS ref FROM orders)
     SELECT r.o_orderkey, l_linenumber, l_partkey FROM refs r JOIN lineitem l ON '#/items/' || l_orderkey || '/' || l_linenumber = replace(replace(r.ref, '~1', '/'), '~0', '~')""")
 def json_pointer_join(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +9,7 @@ from pagewright.operators import cache as C
 from pagewright.operators import describe as D
 from pagewright.operators import layout as L
 from pagewright.operators import markdown as M
+from pagewright.operators import trees
 from pagewright.sources import files
 from pagewright.streaming import ingest
 
@@ -138,3 +141,15 @@ def test_upsert_stream(spark, tmp_path):
     spark.createDataFrame([(2, "c", 2)], schema).write.mode("append").parquet(str(src))
     ingest.upsert_stream(ingest.arriving(spark, str(src), schema), root, ["id"], [], ["at"])
     assert sorted(map(tuple, C.read_version(spark, root).collect())) == [(1, "a", 1), (2, "c", 2)]
+
+
+def test_reading_order(spark):
+    doc = {
+        "body": {"children": [{"$ref": "#/texts/1"}, {"$ref": "#/groups~1x/0"}, {"$ref": "#/nowhere/9"}, {"$ref": "#/texts/1"}]},
+        "groups/x": [{"prov": [{"page_no": 3}], "children": [{"$ref": "#/texts/0"}, {"$ref": "#/groups~1x/0"}]}],
+        "texts": [{"text": "a", "label": "title"}, {"orig": "b"}, {"text": "c"}], "tables": [{"text": "t"}],
+    }
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, None), (3, "[]"), (4, "{")], "id int, j string")
+    rows = [(r.id, r.ref, r.page, r.text, r.type) for r in trees.items(df, ["id"], "j").orderBy("id", "ord").collect()]
+    assert [r[1] for r in rows] == ["#/texts/1", "#/groups~1x/0", "#/texts/0", "#/texts/2", "#/tables/0"]
+    assert [r[2] for r in rows] == [None, 3, 3, None, None] and [r[4] for r in rows][-1] == "table" and {r[0] for r in rows} == {1}
