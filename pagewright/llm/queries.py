@@ -63,10 +63,11 @@ def p5_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_newly_crossed(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that pass the thresholds only once the late rows, those ingested a day or more after extraction, are merged."""
+    """Lines that pass the thresholds only once the pages ingested in the last 90 days of the table are merged."""
     pages = table(spark, d, "chunks")
-    late = F.coalesce(F.col("ingested_at") >= F.col("extracted_at") + F.expr("interval 1 day"), F.lit(False))
-    return site_lines.newly_crossed(pages.where(~late), pages.where(late)).select("site", "docs")
+    newest = pages.agg(F.max("ingested_at").alias("t")).first().t
+    new = F.coalesce(F.col("ingested_at") >= F.lit(newest) - F.expr("interval 90 days"), F.lit(True))
+    return site_lines.newly_crossed(pages.where(~new), pages.where(new)).select("site", "docs")
 
 
 def _containers(spark: SparkSession, d: str) -> list[tuple[str, int]]:
