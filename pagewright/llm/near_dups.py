@@ -275,33 +275,20 @@ def _bucket_pairs(blocks: pd.DataFrame, t: float) -> Iterator[tuple[np.ndarray,
 
 
 def candidates(blocks: DataFrame, buckets: int, t: float) -> DataFrame:
-    """(id_1, id_2): pairs that no filter rules out, each once."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, some = np.zeros((0, 2), np.int64), []
-        for x, y in _bucket_pairs(pdf, t):
-            some.append(np.stack([x, y], axis=1))
-            if sum(map(len, some)) > 500_000:
-                found, some = np.unique(np.concatenate([found, *some]), axis=0), []
-        found = np.unique(np.concatenate([found, *some]), axis=0)
-        return pd.DataFrame(found, columns=["id_1", "id_2"])
-
-    pairs = blocks.groupBy("bucket").applyInPandas(run, "id_1 bigint, id_2 bigint")
-    return pairs.distinct()
-
-
-def _sets(records: DataFrame, n: int, min_words: int) -> DataFrame:
-    """(id, grams): each record's set as the bytes of its sorted hashes."""
+    """(id_1, id_2): pairs that no filter rules out, each once. Every bucket is a partition of its own, so none waits behind another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
-        for batch in batches:
-            for pdf in _slices(batch):
-                h, sizes = gram_sets(pdf["text"], memo, n, min_words)
-                ends = np.cumsum(sizes)
-                yield pd.DataFrame({"id": pdf["id"], "grams": [h[e - s : e].tobytes() for e, s in zip(ends, sizes)]})
+        parts = [pdf for pdf in batches if len(pdf)]
+        for _, pdf in pd.concat(parts).groupby("bucket") if parts else ():
+            found, some = np.zeros((0, 2), np.int64), []
+            for x, y in _bucket_pairs(pdf, t):
+                some.append(np.stack([x, y], axis=1))
+                if sum(map(len, some)) > 500_000:
+                    found, some = np.unique(np.concatenate([found, *some]), axis=0), []
+            found = np.unique(np.concatenate([found, *some]), axis=0)
+            yield pd.DataFrame(found, columns=["id_1", "id_2"])
 
-    return records.mapInPandas(run, "id bigint, grams binary")
+    return blocks.repartitionById(buckets, F.col("bucket")).mapInPandas(run, "id_1 bigint, id_2 bigint").distinct()
 
 
 def verified(pairs: DataFrame, records: DataFrame, n: int, t: float, min_words: int) -> DataFrame:
@@ -349,7 +336,7 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, n: int = N, t: floa
     copies = stored(prints.join(first.where(F.col("copies") > 1), ["fp_a", "fp_b", "size"]).select("id", "first").distinct(), "copies")
     kept = records.join(copies.where(F.col("id") != F.col("first")).select("id"), "id", "left_anti")
     blocks = prefix_blocks(kept, rarity(scanned), buckets, n, t, min_words)
-    pairs = stored(candidates(blocks.repartition(buckets, "bucket"), buckets, t), "candidates")
+    pairs = stored(candidates(blocks, buckets, t), "candidates")
     near = stored(verified(pairs, records, n, t, min_words), "pairs")
     return _with_copies(near, copies)
 
