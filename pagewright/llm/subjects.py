@@ -31,18 +31,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .words import words
+from .words import WORD
 
-VOCABULARY, STOP_SHARE, LABELS, LANGUAGES = 30_000, 0.1, 50_000, 8
+VOCABULARY, STOP_SHARE, LABELS, LANGUAGES = 30_000, 0.2, 50_000, 8
 ITERATIONS, INNER, ALPHA, ETA, SPARE, ACTIVE = 5, 4, 0.05, 0.01, 3, 0.01
 TOP_TERMS, CLEAR, VOTES, SHARE = 40, 1.5, 1.0, 0.25
-_UNIT = re.compile(r"\n+|(?<=[.!?…])[)\]\"”’»]*\s+")
-_PAGE = re.compile(r"^\s*(\[Page [^\]]*\]|#+ .*|-{3,}|\|.*\|?|)\s*$")
+_END = re.compile(r"[.!?…][)\]\"”’»]*\s+")
+_PAGE = re.compile(r"\s*(?:\[page [^\]]*\]|#+ .*|-{3,}|\|.*)\s*")
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """The words of each sentence. Page marks, headings, table rows and lines of fewer than three words are none."""
-    return [w for u in _UNIT.split(text or "") if not _PAGE.match(u) and len(w := words(u)) >= 3]
+def sentences(text: str | None) -> Iterator[str]:
+    """The sentences in small letters; one ends with its line at the latest. Page marks, headings and table rows are none."""
+    for line in (text or "").lower().split("\n"):
+        if line and not (line.lstrip()[:1] in "[#-|" and _PAGE.fullmatch(line)):
+            yield from _END.split(line)
+
+
+class Forms(dict):
+    """A form between blanks -> the words in it, or what ``of`` makes of them. Remembered up to ``most`` forms."""
+
+    def __init__(self, of=tuple, most: int = 300_000):
+        super().__init__()
+        self.of, self.most = of, most
+
+    def __missing__(self, form: str):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[form] = self.of(WORD.findall(form))
+        return value
 
 
 def language(lang):
@@ -57,9 +73,10 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> list[str]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        forms = Forms()
         for pdf in batches:
             for t in pdf["text"]:
-                seen.update(set(words(t)))
+                seen.update(set().union(*map(forms.__getitem__, set(t.lower().split()))))
             if len(seen) > 300_000:
                 yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                 seen.clear()
@@ -78,13 +95,18 @@ def bags(docs: DataFrame, vocab: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = known.value
+        get = Forms(lambda found: [number.get(w, -1) for w in found]).__getitem__
         for pdf in batches:
             rows = []
             for i, lang, t in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
-                ids = [[n for w in u if (n := number.get(w)) is not None] for u in sentences(t)]
-                units = np.fromiter(chain.from_iterable(ids), np.int32)
+                split = [u for x in sentences(t) if len(u := list(chain.from_iterable(map(get, x.split())))) >= 3]  # fewer words are no sentence
+                sizes = np.fromiter(map(len, split), np.int64, len(split))
+                ids = np.fromiter(chain.from_iterable(split), np.int32, int(sizes.sum()))
+                known_ = ids >= 0
+                units = ids[known_]
+                sizes = np.bincount(np.repeat(np.arange(len(split)), sizes)[known_], minlength=len(split)).astype(np.int32)
                 terms, counts = np.unique(units, return_counts=True)
-                rows.append((i, lang, terms.tobytes(), np.minimum(counts, 65535).astype(np.uint16).tobytes(), units.tobytes(), np.fromiter(map(len, ids), np.int32, len(ids)).tobytes()))
+                rows.append((i, lang, terms.tobytes(), np.minimum(counts, 65535).astype(np.uint16).tobytes(), units.tobytes(), sizes.tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "terms", "counts", "units", "sizes"])
 
     ok = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", language(F.col("lang")).alias("lang"), "text")
@@ -185,10 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], iterations: int
         yield from _emitted(total)
 
     total = _summed(worded.select("doc_id", "lang", "terms", "counts").mapInPandas(assigned, "topic int, counts binary"), len(names), v)
+    affinity = total[: len(names) - SPARE].copy()
     # spare topics start flat, with more than their share of rare words, and so take what fits no subject's topic
     flat = np.sqrt(total.sum(axis=0))
     total[len(names) - SPARE :] = flat * np.random.default_rng(8).uniform(0.5, 1.5, (SPARE, v))
-    affinity = total
     for _ in range(iterations):
         chance = total + ETA
         model = spark.sparkContext.broadcast(np.ascontiguousarray((chance / chance.sum(axis=1, keepdims=True)).T.astype(np.float32)))
@@ -217,7 +239,7 @@ def topic_meanings(chance: np.ndarray, affinity: np.ndarray, names: list[tuple[s
     of whatever language, and counts by how distinctive of the topic it is."""
     rate = (affinity + 0.01) / (affinity + 0.01).sum(axis=1, keepdims=True)
     share = rate / rate.sum(axis=0, keepdims=True)
-    share = np.stack([share[[i for i, x in enumerate(names) if x[0] == s]].sum(axis=0) for s in [*subjects, ""]])
+    share = np.stack([share[[i for i, x in enumerate(names[: len(share)]) if x[0] == s]].sum(axis=0) for s in [*subjects, ""]])
     out: list[str | None] = []
     for (first, _), row in zip(names, distinctive(chance)):
         top = np.argsort(-row, kind="stable")[:TOP_TERMS]
