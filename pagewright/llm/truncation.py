@@ -10,7 +10,8 @@ Three pieces of evidence meet in one log-odds score per value:
 * *Structure.* Whether the JSON closes: string literals are taken out, then brackets counted.
 * *Endings.* For closed JSON, whether a text value stops inside a sentence. The last sentence of a value without a closing
   mark is compared with how such sentences go on in all values: a complete note, legend or formula is most of what its
-  first word begins with, while a cut sentence is a tiny part of it.
+  first word begins with, while a cut sentence is a tiny part of it. Here the posterior decides: an ending that recurs only at
+  field limits is cut. A text that ends with a closing mark in closed JSON stops inside no sentence, whatever its length.
 
 Histograms and sentence counts are aggregations over all rows; only (source, length) histograms, of bounded size since
 lengths above ``MAX_LENGTH`` share one bin, are fitted on grouped tasks.
@@ -135,23 +136,41 @@ def censoring(hist: DataFrame) -> DataFrame:
     return hist.groupBy("source", "unit").applyInPandas(run, "source string, unit string, len int, limit int, posterior double, mu double, sd double")
 
 
-def cut_texts(scanned: DataFrame) -> DataFrame:
-    """(id): values with a text whose last sentence is one that the corpus carries on."""
+def _ends(scanned: DataFrame) -> DataFrame:
+    return scanned.select("*", F.explode("ends").alias("e")).select("*", "e.first", "e.skeleton").drop("ends", "firsts", "e")
+
+
+def notes(scanned: DataFrame, weight=1) -> DataFrame:
+    """(first, skeleton): endings without a closing mark that are complete, since they recur as most of what their first word begins
+    with. ``weight`` is how much a value bears witness."""
     firsts = scanned.select(F.explode("firsts").alias("first")).groupBy("first").agg(F.count("*").alias("all"))
-    ends = scanned.select("id", F.explode("ends").alias("e")).select("id", "e.first", "e.skeleton")
-    often = ends.groupBy("first", "skeleton").agg(F.count("*").alias("n")).where((F.col("n") >= COMPLETE_TIMES) & F.col("skeleton").contains(" "))
-    whole = often.join(firsts, "first").where(F.col("n") >= F.lit(COMPLETE_SHARE) * F.col("all")).select("first", "skeleton")
-    return ends.join(whole, ["first", "skeleton"], "left_anti").select("id").distinct()
+    often = _ends(scanned).groupBy("first", "skeleton").agg(F.sum(F.lit(weight) if isinstance(weight, int) else weight).alias("n"))
+    often = often.where((F.col("n") >= COMPLETE_TIMES) & F.col("skeleton").contains(" "))
+    return often.join(firsts, "first").where(F.col("n") >= F.lit(COMPLETE_SHARE) * F.col("all")).select("first", "skeleton")
+
+
+def field_limits(scanned: DataFrame) -> DataFrame:
+    """The censoring that values bear out whose endings don't recur: a note that is stored often piles up at one length, too."""
+    noted = _ends(scanned).join(notes(scanned), ["first", "skeleton"], "left_semi").select("id").distinct()
+    return censoring(length_histogram(scanned.join(noted, "id", "left_anti")))
+
+
+def cut_texts(placed: DataFrame) -> DataFrame:
+    """(id): values with a text whose last sentence is one that the corpus carries on. An ending that recurs at field limits recurs
+    because it was cut there: a value's witness to a complete ending is 1 less the posterior of its length."""
+    whole = notes(placed, 1 - F.col("posterior"))
+    return _ends(placed).join(whole, ["first", "skeleton"], "left_anti").select("id").distinct()
 
 
 def scores(df: DataFrame, id_col: str = "desc_id", source: str = "model_id", value: str = "description_json") -> DataFrame:
     """(id, source, closed, cut, posterior, limit, score): every value with a text, its evidence and the sum of it."""
     rows = stored(scan(df, id_col, source, value), "values")
-    cut = cut_texts(rows).withColumn("cut", F.lit(True))
-    limits = censoring(length_histogram(rows))
+    limits = stored(field_limits(rows), "limits")
     by = {u: limits.where(F.col("unit") == u).select("source", F.col("len").alias(u), F.col("limit").alias(f"limit_{u}"), F.col("posterior").alias(f"p_{u}")) for u in ("chars", "bytes")}
-    out = rows.drop("firsts", "ends").join(by["chars"], ["source", "chars"], "left").join(by["bytes"], ["source", "bytes"], "left").join(cut, "id", "left")
-    p = F.least(F.greatest(F.coalesce("p_chars", F.lit(0.0)), F.coalesce("p_bytes", F.lit(0.0)), F.lit(0.02)), F.lit(0.999))
+    placed = rows.join(by["chars"], ["source", "chars"], "left").join(by["bytes"], ["source", "bytes"], "left")
+    placed = placed.withColumn("posterior", F.greatest(F.coalesce("p_chars", F.lit(0.0)), F.coalesce("p_bytes", F.lit(0.0))))
+    out = placed.drop("firsts", "ends").join(cut_texts(placed).withColumn("cut", F.lit(True)), "id", "left")
+    p = F.least(F.greatest(F.col("posterior"), F.lit(0.02)), F.lit(0.999))
     cut_ = F.coalesce("cut", F.lit(False))
     score = F.log(p / (1 - p)) + F.when(~F.col("closed"), OPEN).when(cut_, CUT).otherwise(ENDED)
     return out.select("id", "source", "closed", cut_.alias("cut"), p.alias("posterior"), F.coalesce("limit_chars", "limit_bytes").alias("limit"), score.alias("score"))

@@ -88,6 +88,24 @@ def test_truncated(spark):
     assert truncation.truncated(df.where("false")).count() == 0
 
 
+def test_an_ending_that_recurs_only_at_a_limit_is_cut(spark):
+    size = 300  # many values end at this length, and twenty of these with one ending, whose JSON was closed
+    ends, rows = "Gauges of the pump are", []
+    for k in range(400):
+        whole = value(f"The red pump number {k} leads to the wall. " + "The blue pump is larger than the door. " * (k % 9))
+        rows.append((k, "m", whole))
+    rows += [(1000 + k, "m", value("The red pump leads to the wall. " * 20)[: size - 3] + f"{k:03}") for k in range(60)]
+    room = size - len(value("")) - len(ends)
+    at_limit = [(2000 + k, "m", value((f"Pump {k:02} leads to the wall. " + "The blue pump is larger than the door. " * 9)[: room - 2] + ". " + ends)) for k in range(20)]
+    elsewhere = [(3000 + k, "m", value("The blue pump is larger than the door. " * (1 + k % 9) + ends)) for k in range(20)]
+    assert {len(v) for _, _, v in at_limit} == {size}
+    schema = "desc_id bigint, model_id string, description_json string"
+    found = lambda more: {r.id for r in truncation.truncated(spark.createDataFrame(rows + more, schema)).collect()}
+    cut = {1000 + k for k in range(60)}
+    assert found(at_limit) == cut | {i for i, _, _ in at_limit}
+    assert found(at_limit + elsewhere) == cut and found(elsewhere) == cut
+
+
 def test_censored_fit_finds_the_limit():
     import numpy as np
 
