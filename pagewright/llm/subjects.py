@@ -3,7 +3,7 @@
 A latent Dirichlet topic model is fitted by variational EM over all documents: every iteration is one Spark job in which
 tasks infer the topic proportions of their documents and send the expected word counts of each topic, ``topics x
 vocabulary`` numbers whatever the corpus. The model has a topic for each subject and language and one more per language, for
-all that belongs to no subject, besides a few spare ones. The first assignment takes documents with labels (at most ``LABELS`` rows are
+all that belongs to no subject, besides a few spare ones. Frequent words that all labels use alike are no model terms. The first assignment takes documents with labels (at most ``LABELS`` rows are
 used for it) to their labels' topics and all others to their language's rest; from then on labels play no part, so wrong
 and missing ones wash out. Afterwards every topic is mapped to a subject by its top terms: the subject that labels tie
 most of these terms to, or none where unlabelled text claims more of them or another subject comes near.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .words import WORD
 
-VOCABULARY, STOP_SHARE, LABELS, LANGUAGES = 30_000, 0.2, 50_000, 8
+STOP_SHARE, LABELS, EVEN, EXPECTED = 0.2, 50_000, 1.5, 20
 ITERATIONS, INNER, ALPHA, ETA, SPARE, ACTIVE = 5, 4, 0.05, 0.01, 3, 0.01
 TOP_TERMS, CLEAR, VOTES, SHARE = 40, 1.5, 1.0, 0.25
 _END = re.compile(r"[.!?…][)\]\"”’»]*\s+")
@@ -67,9 +67,9 @@ def language(lang):
     return F.when(code.rlike("^[a-z]{2}$") & (F.lower(F.trim(lang)) != "und"), code)
 
 
-def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """The ``most`` words that stand in most documents, of those in at least two; words in more than STOP_SHARE of all documents say
-    nothing about a subject and are left out. Counting runs in every task before the shuffle."""
+def vocabulary(docs: DataFrame) -> tuple[list[str], int]:
+    """The words that stand in at least two documents, the most frequent first, and how many of them stand in more than STOP_SHARE of
+    all documents. Counting runs in every task before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -85,7 +85,31 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> list[str]:
 
     df = docs.select("text").where("text IS NOT NULL").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     usual = docs.count() * STOP_SHARE
-    return [r.word for r in df.where((F.col("n") > 1) & (F.col("n") <= max(usual, 2)) & (F.length("word") > 1)).orderBy(F.desc("n"), "word").limit(most).select("word").toLocalIterator()]
+    rows = [(r.word, r.n) for r in df.where((F.col("n") > 1) & (F.length("word") > 1)).orderBy(F.desc("n"), "word").toLocalIterator()]
+    return [w for w, _ in rows], sum(n > max(usual, 2) for _, n in rows)
+
+
+def even_words(total: np.ndarray, names: list[tuple[str, str]], common: int) -> np.ndarray:
+    """Which of the first ``common`` words tell no subject from another. ``total`` has the words' counts by label ('' has the unlabelled)
+    and language. In a language each label is expected to use a word at the language's rate. A word is even if every label that is
+    used, over all languages and in each, comes within EVEN times what is expected; fewer than EXPECTED expected uses prove nothing."""
+    out = np.zeros(total.shape[1], bool)
+    seen, size = total[:, :common], total.sum(axis=1, keepdims=True)
+    langs = np.array([g for _, g in names])
+    expected = np.zeros_like(seen)
+    for g in set(langs):
+        own = langs == g
+        expected[own] = size[own] * seen[own].sum(axis=0) / max(size[own].sum(), 1e-30)
+    subjects = np.array([s for s, _ in names])
+    by = [subjects == s for s in dict.fromkeys(subjects.tolist())]
+    used = [own for own in by if size[own].sum() > 0]
+    if len(used) < 4 or not common:  # with few labels an even word can still make half of one's chance
+        return out
+    fits = lambda n, e: (n <= EVEN * e) & (e <= EVEN * n)
+    pooled = [(seen[own].sum(axis=0), expected[own].sum(axis=0)) for own in used]
+    whole = np.all([(e >= EXPECTED) & fits(n, e) for n, e in pooled], axis=0)
+    out[:common] = whole & np.where(expected >= EXPECTED, fits(seen, expected), seen <= EVEN * EXPECTED).all(axis=0)
+    return out
 
 
 def bags(docs: DataFrame, vocab: list[str]) -> DataFrame:
@@ -143,6 +167,11 @@ def _expected(pdf: pd.DataFrame, by_word: np.ndarray, alpha: float, inner: int,
     """Adds the expected uses of each word by topic, short of the factor ``by_word`` (vocabulary x topics), to ``acc``. Only the
     words that stand in the documents are touched, and after the first pass only the topics."""
     terms, counts, sizes = _unpacked(pdf)
+    told = by_word[:, 0][terms] > 0  # even words have no chance in any topic
+    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[told], minlength=len(sizes))
+    terms, counts, sizes = terms[told], counts[told], sizes[sizes > 0]
+    if not len(sizes):
+        return
     starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
     chance = by_word[terms]
     active = np.arange(by_word.shape[1])
@@ -184,14 +213,14 @@ def _emitted(total: np.ndarray) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], iterations: int = ITERATIONS) -> tuple[Topics, DataFrame]:
     """The fitted topics of all documents (doc_id, text, lang), and the documents as bags of numbers."""
-    vocab = vocabulary(docs)
+    vocab, common = vocabulary(docs)
     held = stored(bags(docs, vocab), "bags")
     worded = held.where(F.length("terms") > 0)
     spark, v = docs.sparkSession, max(1, len(vocab))
     clean = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(subjects)).distinct()
     marks = clean.groupBy("doc_id").agg(F.collect_set("subject").alias("marks")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS)
     known = {r.doc_id: r.marks for r in marks.toLocalIterator()}
-    langs = [r.lang for r in held.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    langs = [r.lang for r in held.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     names = [(s, g) for g in langs or ["xx"] for s in [*subjects, ""]] + [("", f"spare-{i}") for i in range(SPARE)]
     number = {x: i for i, x in enumerate(names)}
     first = spark.sparkContext.broadcast((known, number))
@@ -208,12 +237,17 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], iterations: int
 
     total = _summed(worded.select("doc_id", "lang", "terms", "counts").mapInPandas(assigned, "topic int, counts binary"), len(names), v)
     affinity = total[: len(names) - SPARE].copy()
+    even = even_words(affinity, names[: len(names) - SPARE], common)
+
+    def chances(total: np.ndarray) -> np.ndarray:
+        chance = np.where(even, 0, total + ETA)
+        return chance / np.maximum(chance.sum(axis=1, keepdims=True), 1e-30)
+
     # spare topics start flat, with more than their share of rare words, and so take what fits no subject's topic
     flat = np.sqrt(total.sum(axis=0))
     total[len(names) - SPARE :] = flat * np.random.default_rng(8).uniform(0.5, 1.5, (SPARE, v))
     for _ in range(iterations):
-        chance = total + ETA
-        model = spark.sparkContext.broadcast(np.ascontiguousarray((chance / chance.sum(axis=1, keepdims=True)).T.astype(np.float32)))
+        model = spark.sparkContext.broadcast(np.ascontiguousarray(chances(total).T.astype(np.float32)))
 
         def step(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             acc = np.zeros(model.value.shape, np.float32)
@@ -224,14 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], iterations: int
             yield from _emitted((acc * model.value).T)
 
         total = _summed(worded.select("lang", "terms", "counts").mapInPandas(step, "topic int, counts binary"), len(names), v)
-    chance = total + ETA
-    chance /= chance.sum(axis=1, keepdims=True)
+    chance = chances(total)
     return Topics(names, vocab, chance, subjects, topic_meanings(chance, affinity, names, subjects)), held
 
 
 def distinctive(chance: np.ndarray) -> np.ndarray:
     """How far each topic's chance of a word outweighs the mean of all topics: ranks its top terms."""
-    return chance * np.log(chance / chance.mean(axis=0, keepdims=True))
+    return chance * np.log(np.maximum(chance, 1e-30) / np.maximum(chance.mean(axis=0, keepdims=True), 1e-30))
 
 
 def topic_meanings(chance: np.ndarray, affinity: np.ndarray, names: list[tuple[str, str]], subjects: list[str]) -> list[str | None]:

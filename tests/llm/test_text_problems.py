@@ -213,3 +213,19 @@ def test_subjects(spark, monkeypatch):
     found = {(r.doc_id, r.subject) for r in subjects.assigned(d, lab, names).collect()}
     assert len(found & truth) >= 0.95 * len(truth) and len(found - truth) <= 0.05 * len(found)
     assert subjects.assigned(d.where("false"), lab, names).count() == 0
+
+
+def test_a_frequent_subject_keeps_its_words(spark):
+    import random
+
+    rng = random.Random(4)
+    terms = {s: [f"{s}{k}" for k in "abcdef"] for s in ("law", "music", "sport", "art", "")}
+    sentence = lambda s: " ".join(["The"] + [w for _ in range(4) for w in (rng.choice(terms[s]), rng.choice(["with", "near", "and"]))]) + "."
+    own = ["law" if k % 2 else ("music", "sport", "art", "")[k // 2 % 4] for k in range(800)]  # half of all documents treat one subject
+    d = spark.createDataFrame([(k, " ".join(sentence(s) for _ in range(6)), "en") for k, s in enumerate(own)], "doc_id bigint, text string, lang string")
+    lab = spark.createDataFrame([(k, s) for k, s in enumerate(own) if s and k % 3 == 0], "doc_id bigint, subject string")
+    found = {(r.doc_id, r.subject) for r in subjects.assigned(d, lab, spark.createDataFrame([("law",), ("music",), ("sport",), ("art",)], "subject string")).collect()}
+    assert found == {(k, s) for k, s in enumerate(own) if s}
+    topics, _ = subjects.fit(d, lab, ["art", "law", "music", "sport"])
+    left_out = {w for w, c in zip(topics.vocab, topics.chance.max(axis=0)) if not c}
+    assert {"the", "and"} <= left_out <= {"the", "with", "near", "and"}
