@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +35,15 @@ from ..session import stored
 
 MAX_LENGTH, MIN_EXCESS, EM_STEPS = 20_000, 12, 40
 COMPLETE_SHARE, COMPLETE_TIMES = 0.02, 2
+#: Strings of up to so many words are judged by their own recurrence: labels, and texts of one short sentence.
+SHORT = 6
 #: Log-odds of the evidence: JSON that doesn't close, a text that stops inside a sentence, a text that ends well.
 OPEN, CUT, ENDED = 12.0, 9.0, -9.0
 
 _FENCE = re.compile(r"^\s*```\w*|```\s*$")
 _STRING = re.compile(r'"[^"]*"')
 _TEXT = re.compile(r'"(?:visualDescription|teachingExplanation)"\s*:\s*"([^"]*)"')
+_LITERAL = re.compile(r'"([^"]*)"(\s*:)?')
 _ENDED = re.compile(r"""[.!?。:;][)\]"'”’»“]*$""")
 _BREAK = re.compile(r"""[.!?;][)\]"'”’»]?\s+""")
 _EDGE = " \t\r\n-–•*…"
@@ -62,17 +66,35 @@ def skeleton(sentence: str) -> str:
     return re.sub(r"\d+", "0", sentence.strip(_EDGE).lower())
 
 
-def sentence_evidence(text: str) -> tuple[list[str], tuple[str, str] | None]:
-    """The first word of each sentence, and first word and skeleton of the last if it has no closing mark."""
+def _hash(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
+
+def sentence_evidence(text: str, own: int) -> tuple[list[tuple[str, int]], tuple[str, str, int] | None]:
+    """First word and place of each sentence, and first word, skeleton and place of the last if it has no closing mark. The place is
+    a hash of the text up to there, so copies have it in common; a text of one short sentence has ``own``."""
     text = re.sub(r"\\[nrt]", " ", re.sub(r"\\u20[0-9a-f]{2}", "’", text)).rstrip()
     text = text.removesuffix("...").rstrip(_EDGE)
-    parts = [w for u in _BREAK.split(text) if (w := skeleton(u))]
-    firsts = [u.split()[0] for u in parts]
-    return firsts, None if not parts or _ENDED.search(text) else (firsts[-1], parts[-1])
+    parts, places, so_far = [w for u in _BREAK.split(text) if (w := skeleton(u))], [], 0
+    for w in parts:
+        so_far = _hash(f"{so_far} {w}")
+        places.append(so_far)
+    if len(parts) == 1:
+        places = [own if len(parts[0].split()) <= SHORT else _hash(text)]
+    firsts = [(u.split()[0], h) for u, h in zip(parts, places)]
+    return firsts, None if not parts or _ENDED.search(text) else (firsts[-1][0], parts[-1], places[-1])
+
+
+def other_strings(plain: str) -> tuple[list[str], list[str]]:
+    """The string values besides the two descriptions: longer texts as they are, and skeletons of labels."""
+    found = [x for x, key in _LITERAL.findall(_TEXT.sub("", plain)) if x and not key]
+    texts = [x for x in found if len(x.split()) > SHORT]
+    labels = {skeleton(re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1), 16)), x)) for x in found if len(x.split()) <= SHORT}
+    return texts, sorted(x for x in labels - {""} if x.isprintable())
 
 
 def scan(df: DataFrame, id_col: str, source: str, value: str) -> DataFrame:
-    """(id, source, chars, bytes, closed, firsts, ends) of every value that isn't blank: all later steps read this."""
+    """(id, source, chars, bytes, closed, firsts, ends, labels, copy) of every value that isn't blank: all later steps read this."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -80,13 +102,15 @@ def scan(df: DataFrame, id_col: str, source: str, value: str) -> DataFrame:
             for i, s, v in zip(pdf["id"], pdf["source"], pdf["value"]):
                 plain = plain_json(v)
                 closed = json_closes(plain)
-                seen = [sentence_evidence(t) for t in _TEXT.findall(plain)] if closed else []
-                ends = [{"first": e[0], "skeleton": e[1]} for _, e in seen if e]
-                rows.append((i, s, min(len(v), MAX_LENGTH), min(len(v.encode()), MAX_LENGTH), closed, [w for f, _ in seen for w in f], ends))
-            yield pd.DataFrame(rows, columns=["id", "source", "chars", "bytes", "closed", "firsts", "ends"])
+                more, labels = other_strings(plain) if closed else ([], [])
+                seen = [sentence_evidence(t, i) for t in _TEXT.findall(plain) + more] if closed else []
+                firsts = [{"first": w, "place": h} for f, _ in seen for w, h in f]
+                ends = [{"first": e[0], "skeleton": e[1], "place": e[2]} for _, e in seen if e]
+                rows.append((i, s, min(len(v), MAX_LENGTH), min(len(v.encode()), MAX_LENGTH), closed, firsts, ends, labels, _hash(plain)))
+            yield pd.DataFrame(rows, columns=["id", "source", "chars", "bytes", "closed", "firsts", "ends", "labels", "copy"])
 
     ok = df.where(F.trim(F.col(value)) != "").select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(value).alias("value"))
-    return ok.mapInPandas(run, "id bigint, source string, chars int, bytes int, closed boolean, firsts array<string>, ends array<struct<first string, skeleton string>>")
+    return ok.mapInPandas(run, "id bigint, source string, chars int, bytes int, closed boolean, firsts array<struct<first string, place bigint>>, ends array<struct<first string, skeleton string, place bigint>>, labels array<string>, copy bigint")
 
 
 def length_histogram(scanned: DataFrame) -> DataFrame:
@@ -137,18 +161,30 @@ def censoring(hist: DataFrame) -> DataFrame:
 
 
 def _ends(scanned: DataFrame) -> DataFrame:
-    return scanned.select("*", F.explode("ends").alias("e")).select("*", "e.first", "e.skeleton").drop("ends", "firsts", "e")
+    return scanned.select("*", F.explode("ends").alias("e")).select("*", "e.first", "e.skeleton", "e.place").drop("ends", "firsts", "labels", "e")
 
 
 def notes(scanned: DataFrame, weight=1) -> DataFrame:
     """(first, skeleton): endings without a closing mark that are complete, since they recur as most of what their first word begins
-    with. ``weight`` is how much a value bears witness."""
-    firsts = scanned.select(F.explode("firsts").alias("first")).groupBy("first").agg(F.count("*").alias("all"))
-    often = _ends(scanned).groupBy("first", "skeleton").agg(F.sum(F.lit(weight) if isinstance(weight, int) else weight).alias("n"))
-    often = often.where((F.col("n") >= COMPLETE_TIMES) & F.col("skeleton").contains(" "))
+    with. Sentences count once for each text that leads up to them, so copies don't bear each other out. ``weight`` is how much a
+    value bears witness."""
+    firsts = scanned.select(F.explode("firsts").alias("f")).select("f.first", "f.place").distinct().groupBy("first").agg(F.count("*").alias("all"))
+    once = _ends(scanned).groupBy("first", "skeleton", "place").agg(F.max(F.lit(weight) if isinstance(weight, int) else weight).alias("n"))
+    often = once.groupBy("first", "skeleton").agg(F.sum("n").alias("n")).where((F.col("n") >= COMPLETE_TIMES) & F.col("skeleton").contains(" "))
     return often.join(firsts, "first").where(F.col("n") >= F.lit(COMPLETE_SHARE) * F.col("all")).select("first", "skeleton")
 
 
+def cut_labels(scanned: DataFrame) -> DataFrame:
+    """(id): values with a label that stops inside the word with which a recurring label goes on, and is rare beside it."""
+    each = scanned.select("id", "copy", F.explode("labels").alias("label"))
+    n = each.select("copy", "label").distinct().groupBy("label").agg(F.count("*").alias("n"))
+    longer = n.where(F.col("n") >= COMPLETE_TIMES).select("label", "n", F.explode(F.expr("sequence(0, length(label) - 1)")).alias("k"))
+    longer = longer.where(F.expr(r"k > 0 AND substring(label, k, 2) RLIKE '^\\p{L}\\p{L}$'")).select(F.expr("substring(label, 1, k)").alias("label"), F.col("n").alias("m"))
+    beyond = longer.groupBy("label").agg(F.sum("m").alias("m"))
+    cut = n.join(beyond, "label").where((F.col("n") < COMPLETE_TIMES) | (F.col("n") < F.lit(COMPLETE_SHARE) * (F.col("n") + F.col("m"))))
+    return each.join(cut.select("label"), "label", "left_semi").select("id").distinct()
+
+
 def field_limits(scanned: DataFrame) -> DataFrame:
     """The censoring that values bear out whose endings don't recur: a note that is stored often piles up at one length, too."""
     noted = _ends(scanned).join(notes(scanned), ["first", "skeleton"], "left_semi").select("id").distinct()
@@ -156,10 +192,11 @@ def field_limits(scanned: DataFrame) -> DataFrame:
 
 
 def cut_texts(placed: DataFrame) -> DataFrame:
-    """(id): values with a text whose last sentence is one that the corpus carries on. An ending that recurs at field limits recurs
+    """(id): values with a text whose last sentence is one that the corpus carries on, or a cut label. An ending that recurs at field limits recurs
     because it was cut there: a value's witness to a complete ending is 1 less the posterior of its length."""
     whole = notes(placed, 1 - F.col("posterior"))
-    return _ends(placed).join(whole, ["first", "skeleton"], "left_anti").select("id").distinct()
+    texts = _ends(placed).join(whole, ["first", "skeleton"], "left_anti").select("id")
+    return texts.unionByName(cut_labels(placed)).distinct()
 
 
 def scores(df: DataFrame, id_col: str = "desc_id", source: str = "model_id", value: str = "description_json") -> DataFrame:
@@ -169,7 +206,7 @@ def scores(df: DataFrame, id_col: str = "desc_id", source: str = "model_id", val
     by = {u: limits.where(F.col("unit") == u).select("source", F.col("len").alias(u), F.col("limit").alias(f"limit_{u}"), F.col("posterior").alias(f"p_{u}")) for u in ("chars", "bytes")}
     placed = rows.join(by["chars"], ["source", "chars"], "left").join(by["bytes"], ["source", "bytes"], "left")
     placed = placed.withColumn("posterior", F.greatest(F.coalesce("p_chars", F.lit(0.0)), F.coalesce("p_bytes", F.lit(0.0))))
-    out = placed.drop("firsts", "ends").join(cut_texts(placed).withColumn("cut", F.lit(True)), "id", "left")
+    out = placed.drop("firsts", "ends", "labels", "copy").join(cut_texts(placed).withColumn("cut", F.lit(True)), "id", "left")
     p = F.least(F.greatest(F.col("posterior"), F.lit(0.02)), F.lit(0.999))
     cut_ = F.coalesce("cut", F.lit(False))
     score = F.log(p / (1 - p)) + F.when(~F.col("closed"), OPEN).when(cut_, CUT).otherwise(ENDED)

@@ -106,6 +106,16 @@ def test_an_ending_that_recurs_only_at_a_limit_is_cut(spark):
     assert found(at_limit + elsewhere) == cut and found(elsewhere) == cut
 
 
+def test_copies_do_not_make_an_ending_complete_and_labels_are_read(spark):
+    whole = [value(f"The red pump number {k} leads to the wall. The blue pump is larger than the door.", importantVisualElements=["glacier tongue", "Größe"]) for k in range(40)]
+    note = [value("The red pump leads to the wall. " * (k + 1) + "Gauge: see panel (b)") for k in range(5)]
+    copies = [value("The red pump leads to the wall. Valves of the pump are larg")] * 30
+    labels = [value("All is well.", importantVisualElements=["glacier ton"]), value("All is well.", importantVisualElements=["Gr\u00f6"]), value("All is well.", caption="The red pump leads to the wall and the blu")]
+    rows = list(enumerate(whole + note + copies + labels + [value("All is well.", importantVisualElements=["new", "glacier", "x1"])]))
+    df = spark.createDataFrame([(i, "m", v) for i, v in rows], "desc_id bigint, model_id string, description_json string")
+    assert sorted(r.id for r in truncation.truncated(df).collect()) == list(range(45, 78))
+
+
 def test_censored_fit_finds_the_limit():
     import numpy as np
 
