@@ -351,16 +351,20 @@ def _with_copies(near: DataFrame, copies: DataFrame) -> DataFrame:
     return spread.unionByName(equal).select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"), "similarity")
 
 
-def classes(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, class_id, links): connected records get the least id they can reach. Labels spread along links with a shortcut to
-    the label's own label, so the rounds grow as the logarithm of the longest chain; each round is written, never collected."""
+def classes(pairs: DataFrame) -> DataFrame:
+    """(id, class_id, links): connected records get the least id they can reach. A smaller label that a record sees is also written
+    to the label that it had, and labels are replaced by their own, so whole trees are hooked at once. Goes on until nothing moves;
+    each round is written, never collected."""
     links = stored(pairs.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).distinct(), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("links")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         jump = label.select(F.col("a").alias("label"), F.col("label").alias("far"))
-        new = label.join(near, "a").join(jump, "label", "left").select("a", F.least("label", "near", "far").alias("new"), "links", F.col("label").alias("old"))
+        hook = label.join(near, "a").groupBy("label").agg(F.min("near").alias("hook"))  # the least that any record with this label sees
+        at = hook.select(F.col("label").alias("a"), F.col("hook").alias("own"))
+        new = label.join(near, "a").join(jump, "label", "left").join(hook, "label", "left").join(at, "a", "left")
+        new = new.select("a", F.least("label", "near", "far", "hook", "own").alias("new"), "links", F.col("label").alias("old"))
         new = stored(new, "labels")
         moved = new.where(F.col("new") != F.col("old")).limit(1).count()
         label = new.select("a", F.col("new").alias("label"), "links")

@@ -84,3 +84,11 @@ def test_empty_table_and_classes(spark):
     out = {(r.id, r.class_id, r.links) for r in N.classes(pairs).collect()}
     assert out == {(1, 1, 1), (2, 1, 2), (3, 1, 2), (4, 1, 1), (7, 7, 1), (9, 7, 1)}
     assert N.classes(pairs.where(F.lit(False))).count() == 0
+
+
+def test_a_long_chain_is_one_class(spark):
+    ids = [*range(1, 61, 2), *range(60, 0, -2)]  # ids fall towards both ends of a path
+    links = spark.createDataFrame([(min(x), max(x)) for x in zip(ids, ids[1:])], "id_1 bigint, id_2 bigint")
+    out = N.classes(links).collect()
+    assert sorted(r.id for r in out) == sorted(ids) and {r.class_id for r in out} == {1}
+    assert sum(r.links for r in out) == 2 * (len(ids) - 1)
