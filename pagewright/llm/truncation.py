@@ -1,20 +1,25 @@
 """Problem 3: values cut off by a field limit or in the middle of a transfer.
 
-Three pieces of evidence meet in one log-odds score per value:
-
-* *Censoring.* The lengths of each source are taken as log-normal and right-censored: whole values contribute a density,
-  cut ones the chance of being longer. The two parameters are the maximum-likelihood ones (EM over the source's length
-  histogram). Where many values end at one length, more than the fitted density allows, that length is a candidate limit, and
-  the share of the excess is the posterior chance that a value of this length was censored there. Lengths are taken in
-  characters and in UTF-8 bytes, since either may be limited; a byte limit can leave up to three bytes unused.
-* *Structure.* Whether the JSON closes: string literals are taken out, then brackets counted.
-* *Endings.* For closed JSON, whether a text value stops inside a sentence. The last sentence of a value without a closing
-  mark is compared with how such sentences go on in all values: a complete note, legend or formula is most of what its
-  first word begins with, while a cut sentence is a tiny part of it. Here the posterior decides: an ending that recurs only at
-  field limits is cut. A text that ends with a closing mark in closed JSON stops inside no sentence, whatever its length.
-
-Histograms and sentence counts are aggregations over all rows; only (source, length) histograms, of bounded size since
-lengths above ``MAX_LENGTH`` share one bin, are fitted on grouped tasks.
+A value is cut if its log-odds are above 0. They are the sum of three terms, each of which can outweigh the others:
+
+* *Prior: the censoring posterior.* The lengths of each source are taken as log-normal and right-censored: whole values
+  contribute a density, cut ones the chance of being longer. The two parameters are the maximum-likelihood ones (EM over the
+  source's length histogram). Where many values end at one length, more than the fitted density allows, that length is a
+  candidate limit, and the share of the excess is the posterior chance that a value of this length was censored there. It is
+  taken for whole values, in characters and in UTF-8 bytes (a byte limit can leave up to three bytes unused), and for every
+  text inside them, since fields have limits of their own. At any other length the prior is the share of values that a
+  transfer broke off, counted by those that are open or stop inside a sentence.
+  A pile of values at one length is a limit only if what stands there looks cut, by the two other terms.
+* *Structure.* Whether the JSON closes: string literals are taken out, then brackets counted. How often cut values are open is
+  counted at the limit itself, so a field that is closed after it was cut speaks neither way there.
+* *Ending.* What the text that stops would look like, cut or whole. A cut falls behind a closing mark as often as sentences
+  end per character. An ending without a mark that recurs as most of what its first word begins with is a complete note,
+  legend or formula, of a known share, and met by chance once in all characters for each that there is; it bears witness less
+  the more of it stands at limits. One that doesn't recur is whole
+  with the chance of a note that no other text has, by Turing's estimate from notes that are found just twice.
+
+All weights are counts over all rows. Histograms and sentence counts are aggregations; only (source, length) histograms, with
+a row for each length that occurs, are fitted on grouped tasks.
 
 Nulls and odd rows: a null or blank value, ``{}`` and other complete JSON without text are not cases; a null source is a source
 of its own; repeated rows are judged alike; an empty table gives empty results; extra columns are ignored.
@@ -33,12 +38,10 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-MAX_LENGTH, MIN_EXCESS, EM_STEPS = 20_000, 12, 40
+MIN_EXCESS, EM_STEPS = 12, 40
 COMPLETE_SHARE, COMPLETE_TIMES = 0.02, 2
 #: Strings of up to so many words are judged by their own recurrence: labels, and texts of one short sentence.
 SHORT = 6
-#: Log-odds of the evidence: JSON that doesn't close, a text that stops inside a sentence, a text that ends well.
-OPEN, CUT, ENDED = 12.0, 9.0, -9.0
 
 _FENCE = re.compile(r"^\s*```\w*|```\s*$")
 _STRING = re.compile(r'"[^"]*"')
@@ -56,8 +59,6 @@ def plain_json(value: str) -> str:
 
 def json_closes(plain: str) -> bool:
     """Whether the JSON text comes to its own end, however badly formed it is on the way."""
-    if plain.endswith("}"):
-        return True
     left = _STRING.sub("", plain)
     return '"' not in left and sum(map(left.count, "{[")) <= sum(map(left.count, "}]"))
 
@@ -94,7 +95,8 @@ def other_strings(plain: str) -> tuple[list[str], list[str]]:
 
 
 def scan(df: DataFrame, id_col: str, source: str, value: str) -> DataFrame:
-    """(id, source, chars, bytes, closed, firsts, ends, labels, copy) of every value that isn't blank: all later steps read this."""
+    """(id, source, chars, bytes, closed, firsts, texts, labels, copy) of every value that isn't blank: all later steps read this.
+    ``texts`` has each text's length and, if it has no closing mark, the first word, skeleton and place of its last sentence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -103,20 +105,27 @@ def scan(df: DataFrame, id_col: str, source: str, value: str) -> DataFrame:
                 plain = plain_json(v)
                 closed = json_closes(plain)
                 more, labels = other_strings(plain) if closed else ([], [])
-                seen = [sentence_evidence(t, i) for t in _TEXT.findall(plain) + more] if closed else []
+                texts = [t for t in _TEXT.findall(plain) + more if t.strip()] if closed else []
+                seen = [sentence_evidence(t, i) for t in texts]
                 firsts = [{"first": w, "place": h} for f, _ in seen for w, h in f]
-                ends = [{"first": e[0], "skeleton": e[1], "place": e[2]} for _, e in seen if e]
-                rows.append((i, s, min(len(v), MAX_LENGTH), min(len(v.encode()), MAX_LENGTH), closed, firsts, ends, labels, _hash(plain)))
-            yield pd.DataFrame(rows, columns=["id", "source", "chars", "bytes", "closed", "firsts", "ends", "labels", "copy"])
+                ends = [{"len": len(t), "same": _hash(t), "sentences": len(f), "first": e and e[0], "skeleton": e and e[1], "place": e and e[2]} for t, (f, e) in zip(texts, seen)]
+                rows.append((i, s, len(v), len(v.encode()), closed, firsts, ends, labels, _hash(plain)))
+            yield pd.DataFrame(rows, columns=["id", "source", "chars", "bytes", "closed", "firsts", "texts", "labels", "copy"])
 
     ok = df.where(F.trim(F.col(value)) != "").select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(value).alias("value"))
-    return ok.mapInPandas(run, "id bigint, source string, chars int, bytes int, closed boolean, firsts array<struct<first string, place bigint>>, ends array<struct<first string, skeleton string, place bigint>>, labels array<string>, copy bigint")
+    text = "struct<len int, same bigint, sentences int, first string, skeleton string, place bigint>"
+    return ok.mapInPandas(run, f"id bigint, source string, chars int, bytes int, closed boolean, firsts array<struct<first string, place bigint>>, texts array<{text}>, labels array<string>, copy bigint")
 
 
-def length_histogram(scanned: DataFrame) -> DataFrame:
-    """(source, unit, len, n) of all values, in characters and in bytes."""
-    units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("len"))))
-    return scanned.select("source", units.alias("u")).groupBy("source", "u.unit", "u.len").agg(F.count("*").alias("n"))
+def length_histogram(scanned: DataFrame, noted: DataFrame) -> DataFrame:
+    """(source, unit, len, n) of all different values, in characters and in bytes, and of the different texts in them. One that is
+    stored often would pile up at its length without any limit; so would values and texts with an ending that recurs (``noted``: id,
+    nth), which are left out."""
+    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("len")) for u in ("chars", "bytes")]))
+    values = scanned.join(noted.select("id").distinct(), "id", "left_anti").select("source", "chars", "bytes", "copy").distinct()
+    texts = _texts(scanned).join(noted, ["id", "nth"], "left_anti").select("source", "len", "same").distinct()
+    rows = values.select("source", units.alias("u")).select("source", "u.unit", "u.len").unionByName(texts.select("source", F.lit("text").alias("unit"), "len"))
+    return rows.groupBy("source", "unit", "len").agg(F.count("*").alias("n"))
 
 
 def _normal_tail(z: np.ndarray) -> np.ndarray:
@@ -126,14 +135,16 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
 
 
 def fit_censored(lengths: np.ndarray, n: np.ndarray, unit: str) -> pd.DataFrame:
-    """(len, limit, posterior) at the candidate limits of one source's histogram, and its parameters."""
+    """(len, limit, posterior) at the candidate limits of one source's histogram (lengths in order), and its parameters."""
     y, slack = np.log(np.maximum(lengths, 1)), 3 if unit == "bytes" else 0
-    dense = np.zeros(int(lengths.max()) + 5)
-    dense[lengths] = n
-    around = np.array([np.median(dense[max(0, v - 15) : v + 16]) for v in lengths])
+    # the median of the 31 lengths around, those that don't occur among them
+    some = [n[a:b] for a, b in zip(np.searchsorted(lengths, lengths - 15), np.searchsorted(lengths, lengths + 15, "right"))]
+    around = np.array([np.sort(x)[::-1][15] if len(x) > 15 else 0.0 for x in some])
     # excess over the neighbourhood picks candidates, the fitted density then sets their posterior
     peaks = lengths[(n >= MIN_EXCESS) & (n > 4 * (around + 1)) & (lengths > 8)]
-    group = np.array([next((p for p in peaks if p - slack <= v <= p), 0) for v in lengths])
+    near = np.searchsorted(peaks, lengths)
+    group = np.where(near < len(peaks), np.append(peaks, 0)[near], 0)
+    group = np.where(group - slack <= lengths, group, 0)
     w = np.where(group > 0, 1.0, 0.0)
     mu, sd = np.average(y, weights=n), 1.0
     for _ in range(EM_STEPS):
@@ -160,18 +171,24 @@ def censoring(hist: DataFrame) -> DataFrame:
     return hist.groupBy("source", "unit").applyInPandas(run, "source string, unit string, len int, limit int, posterior double, mu double, sd double")
 
 
-def _ends(scanned: DataFrame) -> DataFrame:
-    return scanned.select("*", F.explode("ends").alias("e")).select("*", "e.first", "e.skeleton", "e.place").drop("ends", "firsts", "labels", "e")
+def _texts(scanned: DataFrame) -> DataFrame:
+    rows = scanned.select("id", "source", "chars", "bytes", F.posexplode("texts").alias("nth", "t"))
+    return rows.select("id", "source", "chars", "bytes", "nth", "t.*")
 
 
-def notes(scanned: DataFrame, weight=1) -> DataFrame:
-    """(first, skeleton): endings without a closing mark that are complete, since they recur as most of what their first word begins
-    with. Sentences count once for each text that leads up to them, so copies don't bear each other out. ``weight`` is how much a
-    value bears witness."""
+def _ends(texts: DataFrame) -> DataFrame:
+    """Of texts, those that end without a closing mark."""
+    return texts.where("skeleton IS NOT NULL")
+
+
+def notes(scanned: DataFrame, ends: DataFrame, weight=None) -> DataFrame:
+    """(first, skeleton, n): endings without a closing mark that are complete, since they recur as most of what their first word
+    begins with. Sentences count once for each text that leads up to them, so copies don't bear each other out. ``weight`` is how
+    much a text bears witness (1 unless stated)."""
     firsts = scanned.select(F.explode("firsts").alias("f")).select("f.first", "f.place").distinct().groupBy("first").agg(F.count("*").alias("all"))
-    once = _ends(scanned).groupBy("first", "skeleton", "place").agg(F.max(F.lit(weight) if isinstance(weight, int) else weight).alias("n"))
+    once = ends.groupBy("first", "skeleton", "place").agg(F.max(F.lit(1.0) if weight is None else weight).alias("n"))
     often = once.groupBy("first", "skeleton").agg(F.sum("n").alias("n")).where((F.col("n") >= COMPLETE_TIMES) & F.col("skeleton").contains(" "))
-    return often.join(firsts, "first").where(F.col("n") >= F.lit(COMPLETE_SHARE) * F.col("all")).select("first", "skeleton")
+    return often.join(firsts, "first").where(F.col("n") >= F.lit(COMPLETE_SHARE) * F.col("all")).select("first", "skeleton", "n")
 
 
 def cut_labels(scanned: DataFrame) -> DataFrame:
@@ -186,31 +203,87 @@ def cut_labels(scanned: DataFrame) -> DataFrame:
 
 
 def field_limits(scanned: DataFrame) -> DataFrame:
-    """The censoring that values bear out whose endings don't recur: a note that is stored often piles up at one length, too."""
-    noted = _ends(scanned).join(notes(scanned), ["first", "skeleton"], "left_semi").select("id").distinct()
-    return censoring(length_histogram(scanned.join(noted, "id", "left_anti")))
+    """Candidate limits of values and texts by source, each length with its censoring posterior."""
+    ends = _ends(_texts(scanned))
+    noted = ends.join(notes(scanned, ends), ["first", "skeleton"], "left_semi").select("id", "nth")
+    return censoring(length_histogram(scanned, noted))
+
+
+def _placed(rows: DataFrame, limits: DataFrame, units: dict[str, str]) -> DataFrame:
+    """Rows with the greatest posterior that the lengths in the columns of ``units`` have, and its limit ("unit length")."""
+    for column, unit in units.items():
+        at = limits.where(F.col("unit") == unit).select("source", F.col("len").alias(column), F.struct("posterior", F.concat_ws(" ", "unit", "limit").alias("limit")).alias(f"_{unit}"))
+        rows = rows.join(at, ["source", column], "left")
+    best = F.greatest(*[F.col(f"_{u}") for u in units.values()]) if len(units) > 1 else F.col(f"_{next(iter(units.values()))}")
+    return rows.withColumn("_best", best).drop(*[f"_{u}" for u in units.values()]).select("*", F.coalesce("_best.posterior", F.lit(0.0)).alias("posterior"), F.col("_best.limit").alias("limit")).drop("_best")
 
 
-def cut_texts(placed: DataFrame) -> DataFrame:
-    """(id): values with a text whose last sentence is one that the corpus carries on, or a cut label. An ending that recurs at field limits recurs
-    because it was cut there: a value's witness to a complete ending is 1 less the posterior of its length."""
-    whole = notes(placed, 1 - F.col("posterior"))
-    texts = _ends(placed).join(whole, ["first", "skeleton"], "left_anti").select("id")
-    return texts.unionByName(cut_labels(placed)).distinct()
+def _logit(p):
+    return F.log(p / (1 - p))
 
 
 def scores(df: DataFrame, id_col: str = "desc_id", source: str = "model_id", value: str = "description_json") -> DataFrame:
-    """(id, source, closed, cut, posterior, limit, score): every value with a text, its evidence and the sum of it."""
+    """(id, source, closed, ending, posterior, limit, score): every value that isn't blank with the evidence that speaks most for a cut.
+    ``ending`` is 'open', 'ended' (behind a closing mark), 'note', 'cut' or 'none' (no text)."""
     rows = stored(scan(df, id_col, source, value), "values")
     limits = stored(field_limits(rows), "limits")
-    by = {u: limits.where(F.col("unit") == u).select("source", F.col("len").alias(u), F.col("limit").alias(f"limit_{u}"), F.col("posterior").alias(f"p_{u}")) for u in ("chars", "bytes")}
-    placed = rows.join(by["chars"], ["source", "chars"], "left").join(by["bytes"], ["source", "bytes"], "left")
-    placed = placed.withColumn("posterior", F.greatest(F.coalesce("p_chars", F.lit(0.0)), F.coalesce("p_bytes", F.lit(0.0))))
-    out = placed.drop("firsts", "ends", "labels", "copy").join(cut_texts(placed).withColumn("cut", F.lit(True)), "id", "left")
-    p = F.least(F.greatest(F.col("posterior"), F.lit(0.02)), F.lit(0.999))
-    cut_ = F.coalesce("cut", F.lit(False))
-    score = F.log(p / (1 - p)) + F.when(~F.col("closed"), OPEN).when(cut_, CUT).otherwise(ENDED)
-    return out.select("id", "source", "closed", cut_.alias("cut"), p.alias("posterior"), F.coalesce("limit_chars", "limit_bytes").alias("limit"), score.alias("score"))
+    values = _placed(rows.select("id", "source", "chars", "bytes", "closed"), limits, {"chars": "chars", "bytes": "bytes"})
+    texts = _placed(_texts(rows), limits, {"len": "text"}).withColumnsRenamed({"posterior": "text_posterior", "limit": "text_limit"})
+    texts = texts.join(values.select("id", F.col("posterior").alias("value_posterior")).groupBy("id").agg(F.max("value_posterior").alias("value_posterior")), "id", "left")
+    ends = _ends(texts)
+    known = stored(notes(rows, ends, 1 - F.greatest("text_posterior", F.coalesce("value_posterior", F.lit(0.0)))), "notes")
+    texts = texts.join(known.select("first", "skeleton", F.lit(True).alias("note")), ["first", "skeleton"], "left")
+    texts = texts.withColumn("ending", F.when(F.col("skeleton").isNull(), "ended").when(F.col("note"), "note").otherwise("cut"))
+    texts = stored(texts.select("id", "nth", "len", "sentences", "ending", "text_posterior", "text_limit"), "texts")
+    labels = cut_labels(rows).withColumn("label_cut", F.lit(True))
+
+    # every weight is a count over all rows
+    n = texts.agg(F.count("*").alias("n"), F.sum("sentences").alias("sentences"), F.sum("len").alias("chars"), *[F.count_if(F.col("ending") == k).alias(k) for k in ("ended", "note")]).first()
+    twice = known.where(F.round("n") == 2).count()
+    total = max(n.n, 1)
+    behind = min(0.5, ((n.sentences or 0) + 1) / ((n.chars or 0) + 2))  # a cut anywhere falls behind a sentence
+    whole = {"ended": (n.ended + 1) / (total + 3), "note": (n.note + 1) / (total + 3), "cut": (2 * twice + 0.5) / (total + 1)}
+    cut = {"ended": behind, "note": (n.note + 1) / ((n.chars or 0) + 2), "cut": 1 - behind}
+    odds = F.create_map(*[F.lit(x) for k in whole for x in (k, float(np.log(cut[k] / whole[k])))])
+
+    values = values.join(texts.groupBy("id").agg(F.max_by("ending", "nth").alias("last")), "id", "left").join(labels, "id", "left")
+    ending = F.when(~F.col("closed"), "open").when(F.col("label_cut"), "cut").otherwise(F.coalesce("last", F.lit("none")))
+    of_ending = F.when(F.col("ending") == "open", 0.0).when(F.col("ending") == "none", F.lit(float(np.log(behind)))).otherwise(odds[F.col("ending")])
+    values = stored(values.withColumn("ending", ending).withColumn("of_ending", of_ending).drop("last", "label_cut"), "evidence")
+    v = values.agg(F.count("*").alias("n"), F.count_if(F.col("ending").isin("open", "cut") & (F.col("posterior") < 0.5)).alias("off")).first()
+    base, whole_open = (v.off + 0.5) / (v.n + 1), 0.5 / (v.n + 1)
+
+    # a pile of values at one length is a limit if what stands there looks cut
+    seen = F.when(F.col("closed"), F.col("of_ending")).otherwise(F.lit(float(-np.log(whole_open))))
+    piles = values.where("limit IS NOT NULL").select("source", "limit", "posterior", "ending", seen.alias("seen"), (~F.col("closed")).alias("open"))
+    named = texts.join(values.select("id", "source").distinct(), "id").where("text_limit IS NOT NULL")
+    piles = piles.unionByName(named.select("source", F.col("text_limit").alias("limit"), F.col("text_posterior").alias("posterior"), "ending", odds[F.col("ending")].alias("seen"), F.lit(False).alias("open")))
+    speaks = F.sum(F.log(F.col("posterior") * F.exp("seen") + 1 - F.least("posterior", F.lit(1 - 1e-6))))
+    # structure: how often what was cut there is open
+    share = (F.least(F.count_if("open"), F.sum("posterior")) + 0.5) / (F.sum("posterior") + 1)
+    # a note that recurs was left out of the histograms: where it stands at a limit, it is one of the notes there or of what was cut there
+    other = F.when(F.col("ending") != "note", F.col("posterior")).otherwise(0.0)
+    as_note = F.log((F.sum(other) + 0.5) / (F.sum(1 - other) + 0.5))
+    real = stored(piles.groupBy("source", "limit").agg(speaks.alias("speaks"), share.alias("open_share"), as_note.alias("as_note")).where("speaks > 0"), "real-limits")
+
+    def prior(p):
+        """A length off the limits has the share of values that were broken off; at one, no chance is taken for certain."""
+        odds = _logit(F.greatest(F.lit(base), F.least(p, F.lit(1 - 1e-6))))
+        return F.when((F.col("ending") == "note") & F.col("as_note").isNotNull(), F.least("as_note", odds)).otherwise(odds)
+
+    values = values.join(real.select("source", "limit", "open_share", "as_note"), ["source", "limit"], "left")
+    at = F.when(F.col("open_share").isNotNull(), F.col("posterior")).otherwise(0.0)
+    open_share = F.coalesce("open_share", F.lit(0.5))
+    structure = F.when(F.col("closed"), F.log(1 - open_share) - float(np.log(1 - whole_open))).otherwise(F.log(open_share) - float(np.log(whole_open)))
+    by_value = values.select("id", "source", "closed", "ending", at.alias("posterior"), F.when(F.col("open_share").isNotNull(), F.col("limit")).alias("limit"), (prior(at) + structure + F.col("of_ending")).alias("score"))
+
+    at = F.when(F.col("open_share").isNotNull(), F.col("text_posterior")).otherwise(0.0)
+    by_text = named.join(real.select("source", F.col("limit").alias("text_limit"), "open_share", "as_note"), ["source", "text_limit"])
+    by_text = by_text.unionByName(texts.where("ending = 'cut'").join(values.select("id", "source").distinct(), "id"), allowMissingColumns=True)
+    by_text = by_text.select("id", F.struct((prior(at) + odds[F.col("ending")]).alias("score"), "ending", at.alias("posterior"), F.when(F.col("open_share").isNotNull(), F.col("text_limit")).alias("limit")).alias("t"))
+    out = by_value.join(by_text.groupBy("id").agg(F.max("t").alias("t")), "id", "left")
+    more = F.coalesce(F.col("t.score") > F.col("score"), F.lit(False))
+    return out.select("id", "source", "closed", *[F.when(more, F.col(f"t.{c}")).otherwise(F.col(c)).alias(c) for c in ("ending", "posterior", "limit", "score")])
 
 
 def truncated(df: DataFrame, **columns) -> DataFrame:

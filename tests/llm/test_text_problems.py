@@ -116,6 +116,27 @@ def test_copies_do_not_make_an_ending_complete_and_labels_are_read(spark):
     assert sorted(r.id for r in truncation.truncated(df).collect()) == list(range(45, 78))
 
 
+def test_the_posterior_overrules_an_ending_and_limits_may_be_large(spark):
+    # of 80 values that stop at 25,000 characters, with their JSON closed there, three stop behind a full sentence
+    size, sentence = 25_000, "The blue pump is larger than the door. "
+    room = size - len(value(""))
+    rows = [(k, "m", value(f"The red pump number {k} leads to the wall. " + sentence * (k * 7 % 900))) for k in range(400)]
+    text = lambda k: f"Pump {k:03} leads to the wall. " + sentence * 700
+    behind = [f"Pump {k:03} is {'x' * (room % 39 + 39 * 2)}. " + sentence * 700 for k in range(3)]
+    behind = [t[: t.rindex(".", 0, room) + 1] for t in behind]
+    behind = [("A" * (room - len(t) - 1) + " " + t) if len(t) < room else t for t in behind]
+    limited = [(1000 + k, "m", value(text(k)[:room] if k < 77 else behind[k - 77])) for k in range(80)]
+    assert {len(v) for _, _, v in limited} == {size} and all(v.count('."') for _, _, v in limited[77:])
+    out = {r.id: r for r in truncation.scores(spark.createDataFrame(rows + limited, "desc_id bigint, model_id string, description_json string")).collect()}
+    assert {i for i, r in out.items() if r.score > 0} == {i for i, _, _ in limited}
+    assert {(out[i].closed, out[i].ending) for i in (1077, 1078, 1079)} == {(True, "ended")} and {out[i].limit.split()[0] for i in (1077, 1078, 1079)} <= {"chars", "bytes", "text"}
+    assert all(out[k].ending == "ended" and out[k].score < 0 for k in range(400))
+
+
+def test_brackets_are_counted():
+    assert truncation.json_closes('{"a": {"b": 1}}') and not truncation.json_closes('{"a": {"b": 1}') and not truncation.json_closes('{"a": "b}')
+
+
 def test_censored_fit_finds_the_limit():
     import numpy as np
 
