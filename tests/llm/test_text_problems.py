@@ -197,18 +197,41 @@ def test_scanned_pages(spark):
     assert ocr.damages(df.where("false")).count() == 0
 
 
-def test_editor_on_words_it_has_not_seen():
+def test_the_perceptron_decides_on_words_it_has_not_seen(spark):
     import numpy as np
-
-    words = {a + b: 500 for a in ("garden", "window", "market", "planet", "silver", "letter", "castle", "mirror", "candle", "thunder") for b in ("s", "ing", "less", "worm", "mill", "tide", "clock", "heim")}
-    known = dict(list(words.items())[::2])
-    reader = ocr.Reader(words, ocr.train_editor(known), ocr.train_joiner(known))
-    rng, right, n = np.random.default_rng(5), 0, 0
-    for w in list(words)[1::2]:
-        bad = ocr.garble(w, rng)
-        n, right = n + 1, right + (reader.misread(bad[0]) == w)
-        assert reader.misread(w) is None
-    assert right >= 0.9 * n
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    parts = ["gar", "win", "mar", "pla", "sil", "let", "cas", "mir", "can", "thun", "bre", "for"], ["den", "dow", "ket", "net", "ver", "ter", "tle", "ror", "dle", "der"], ["s", "ing", "less", "worm", "mill", "tide", "clock", "heim"]
+    right = [a + b + c for a in parts[0] for b in parts[1] for c in parts[2]]
+    shown, held = right[::2], right[1::2]  # the editor is trained on the first half
+    known = spark.createDataFrame([(w, None, None, 400) for w in shown], "word string, hyphen string, right string, n bigint")
+    weights = ocr.train(known)
+    bad = [(g[0], w) for w in held if (g := ocr.garble(w, rng)) and g[0] not in right]
+    words = spark.createDataFrame([(w, None, None, 400) for w in right] + [(g, None, None, 1) for g in dict(bad)] + [("gar", "-", "dens", 1), ("2", "-", "dens", 1), ("planets", "-", "castles", 1)], known.schema)
+
+    def verdicts(weights):
+        editor = spark.sparkContext.broadcast((weights, 40))
+        out = ocr.word_verdicts(words, editor, ocr.Editor(weights, 40)).unionByName(ocr.line_end_verdicts(words, editor))
+        return {r.key: r.value for r in out.collect()}
+
+    found = verdicts(weights)
+    assert sum(found.get(g) == w for g, w in bad) >= 0.95 * len(bad) and not set(found) & set(right)
+    assert found["gar\x1f-\x1fdens"] == "join" and "planets\x1f-\x1fcastles" not in found
+    # without its weights the counts and the edits alone find nothing, and without those of characters far less
+    assert verdicts({}) == {}
+    blunt = {f: r for f, r in weights.items() if f.startswith(("form", "ratio", "own", "edits", "c"))}
+    blunt = {f: {e: 0.0 for e in r} if f.startswith("c") else r for f, r in blunt.items()}
+    assert sum(verdicts(blunt).get(g) == w for g, w in bad) < sum(found.get(g) == w for g, w in bad)
+
+
+def test_verdicts_too_many_to_broadcast(spark):
+    pages = spark.createDataFrame([(1, "thc wall\nof the gar-\nden"), (2, "nothing here"), (3, "")], "chunk_id bigint, content string")
+    verdicts = spark.createDataFrame([("thc", "the"), ("gar\x1f-\x1fden", "join"), ("other", "word")], "key string, value string")
+    some, table = ocr.with_verdicts(pages, verdicts, most=1)
+    own = {r.chunk_id: json.loads(r.found) if r.found else {} for r in some.collect()}
+    assert table is None and own == {1: {"thc": "the", "gar\x1f-\x1fden": "join"}, 2: {}, 3: {}}
+    assert ocr.read_page("thc wall\nof the gar-\nden", set(), own[1]) == ("the wall of the garden", True, True)
 
 
 # -- subjects ------------------------------------------------------------------------------------------------------------
