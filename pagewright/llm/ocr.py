@@ -246,7 +246,7 @@ class Editor:
 
     def join(self, left: str, hyphen: str, right: str, n: dict[str, int]) -> str:
         out = self.model.scores(join_features(left, hyphen, right, n))
-        return max((JOIN, OWN, NONE), key=lambda k: (out.get(k, 0.0), k))
+        return max((NONE, JOIN, OWN), key=lambda k: out.get(k, 0.0))  # the first of equals: nothing is joined without a reason
 
 
 def garble(word: str, rng: np.random.Generator, edits: list | None = None) -> tuple[str, list[tuple[int, str]]] | None:

