@@ -113,8 +113,9 @@ def p8_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_topics(spark: SparkSession, d: str) -> DataFrame:
     """Each topic with its top terms and the subject that they were mapped to, for inspection."""
-    t, _ = subjects.fit(table(spark, d, "documents"), table(spark, d, "subject_labels"), subjects.subject_names(table(spark, d, "subjects")))
-    tops = [[t.vocab[i] for i in (-row).argsort(kind="stable")[:12]] for row in subjects.distinctive(t.chance)]
+    docs = table(spark, d, "documents")
+    t, _ = subjects.fit(docs, table(spark, d, "subject_labels"), subjects.subject_names(table(spark, d, "subjects")))
+    tops = subjects.top_terms(docs, t)
     rows = [(i, lang, meaning, " ".join(top)) for i, ((_, lang), meaning, top) in enumerate(zip(t.names, t.meaning, tops))]
     return spark.createDataFrame(rows, "topic int, lang string, subject string, top_terms string")
 

@@ -1,16 +1,18 @@
 """Problem 8: the subject areas that each document treats.
 
-A latent Dirichlet topic model is fitted by variational EM over all documents: every iteration is one Spark job in which
-tasks infer the topic proportions of their documents and send the expected word counts of each topic, ``topics x
-vocabulary`` numbers whatever the corpus. The model has a topic for each subject and language and one more per language, for
-all that belongs to no subject, besides a few spare ones. Frequent words that all labels use alike are no model terms. The first assignment takes documents with labels (at most ``LABELS`` rows are
-used for it) to their labels' topics and all others to their language's rest; from then on labels play no part, so wrong
-and missing ones wash out. Afterwards every topic is mapped to a subject by its top terms: the subject that labels tie
-most of these terms to, or none where unlabelled text claims more of them or another subject comes near.
-
-A document's proportions come from its sentences: each word votes for the subjects in proportion to the fitted topics'
-chances of it, a sentence treats the subject with most votes if these make up at least ``VOTES`` words that are clearly of one
-subject, and a document treats the subjects with at least a quarter of its sentences.
+A latent Dirichlet topic model is fitted by variational EM over all documents. Its unit is the sentence: a document has
+proportions of topics, a sentence one topic, and the topic gives its words. So a document's expected proportions are shares of
+its sentences, and a document treats the subjects whose topics make up at least a quarter. There is a topic for
+each subject and language and two more per language, for all that belongs to no subject; a sentence is in the language whose topics
+together give its words best, and has one of that language's topics. Words are hashed to ``2**BITS`` numbers, so every word
+counts and the model has one size whatever the corpus.
+
+Every iteration is a Spark job in which tasks infer the proportions of their documents and send the expected counts of each
+topic's words, which are added up in two levels. It ends when the likelihood of a word rises by less than ``TOLERANCE``. The first assignment takes
+documents with labels (at most ``LABELS`` rows are used for it) to their labels' topics and all others to their language's
+rest; from then on labels play no part, so wrong and missing ones wash out. Afterwards every topic is mapped to a subject by
+its top terms: the subject that labels tie most of these terms to, or none where unlabelled text claims more of them or
+another subject comes near.
 
 Nulls and odd rows: null, empty and wordless texts treat nothing; labels are compared in lower case, null, unknown and
 documentless ones are ignored; a null or odd ``lang`` only counts in the first assignment; copies are judged alike; a doc_id
@@ -27,15 +29,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .words import WORD
 
-STOP_SHARE, LABELS, EVEN, EXPECTED = 0.2, 50_000, 1.5, 20
-ITERATIONS, INNER, ALPHA, ETA, SPARE, ACTIVE = 5, 4, 0.05, 0.01, 3, 0.01
-TOP_TERMS, CLEAR, VOTES, SHARE = 40, 1.5, 1.0, 0.25
+BITS, LABELS, RESTS = 17, 50_000, ("", "~")
+TOLERANCE, INNER, ALPHA, PRIOR, ETA, DOCS_AT_ONCE = 0.01, 3, 0.05, 300.0, 1e-4, 100
+TOP_TERMS, CLEAR, SHARE, LEAST_WORDS = 40, 1.5, 0.25, 3
 _END = re.compile(r"[.!?…][)\]\"”’»]*\s+")
 _PAGE = re.compile(r"\s*(?:\[page [^\]]*\]|#+ .*|-{3,}|\|.*)\s*")
 
@@ -67,94 +70,38 @@ def language(lang):
     return F.when(code.rlike("^[a-z]{2}$") & (F.lower(F.trim(lang)) != "und"), code)
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[str], int]:
-    """The words that stand in at least two documents, the most frequent first, and how many of them stand in more than STOP_SHARE of
-    all documents. Counting runs in every task before the shuffle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        forms = Forms()
-        for pdf in batches:
-            for t in pdf["text"]:
-                seen.update(set().union(*map(forms.__getitem__, set(t.lower().split()))))
-            if len(seen) > 300_000:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen.clear()
-        if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-
-    df = docs.select("text").where("text IS NOT NULL").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    usual = docs.count() * STOP_SHARE
-    rows = [(r.word, r.n) for r in df.where((F.col("n") > 1) & (F.length("word") > 1)).orderBy(F.desc("n"), "word").toLocalIterator()]
-    return [w for w, _ in rows], sum(n > max(usual, 2) for _, n in rows)
-
-
-def even_words(total: np.ndarray, names: list[tuple[str, str]], common: int) -> np.ndarray:
-    """Which of the first ``common`` words tell no subject from another. ``total`` has the words' counts by label ('' has the unlabelled)
-    and language. In a language each label is expected to use a word at the language's rate. A word is even if every label that is
-    used, over all languages and in each, comes within EVEN times what is expected; fewer than EXPECTED expected uses prove nothing."""
-    out = np.zeros(total.shape[1], bool)
-    seen, size = total[:, :common], total.sum(axis=1, keepdims=True)
-    langs = np.array([g for _, g in names])
-    expected = np.zeros_like(seen)
-    for g in set(langs):
-        own = langs == g
-        expected[own] = size[own] * seen[own].sum(axis=0) / max(size[own].sum(), 1e-30)
-    subjects = np.array([s for s, _ in names])
-    by = [subjects == s for s in dict.fromkeys(subjects.tolist())]
-    used = [own for own in by if size[own].sum() > 0]
-    if len(used) < 4 or not common:  # with few labels an even word can still make half of one's chance
-        return out
-    fits = lambda n, e: (n <= EVEN * e) & (e <= EVEN * n)
-    pooled = [(seen[own].sum(axis=0), expected[own].sum(axis=0)) for own in used]
-    whole = np.all([(e >= EXPECTED) & fits(n, e) for n, e in pooled], axis=0)
-    out[:common] = whole & np.where(expected >= EXPECTED, fits(seen, expected), seen <= EVEN * EXPECTED).all(axis=0)
-    return out
+def number(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) & ((1 << BITS) - 1)
 
 
-def bags(docs: DataFrame, vocab: list[str]) -> DataFrame:
-    """(doc_id, lang, terms, counts, units, sizes): each document as the numbers of its words, in bytes; once as a bag, and once sentence
-    by sentence with the number of known words in each."""
-    known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocab)})
+def bags(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, units, sizes): each document as the numbers of its words, sentence by sentence, in bytes, with the sentences' sizes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = known.value
-        get = Forms(lambda found: [number.get(w, -1) for w in found]).__getitem__
+        get = Forms(lambda found: [number(w) for w in found]).__getitem__
         for pdf in batches:
             rows = []
             for i, lang, t in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
-                split = [u for x in sentences(t) if len(u := list(chain.from_iterable(map(get, x.split())))) >= 3]  # fewer words are no sentence
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
-                ids = np.fromiter(chain.from_iterable(split), np.int32, int(sizes.sum()))
-                known_ = ids >= 0
-                units = ids[known_]
-                sizes = np.bincount(np.repeat(np.arange(len(split)), sizes)[known_], minlength=len(split)).astype(np.int32)
-                terms, counts = np.unique(units, return_counts=True)
-                rows.append((i, lang, terms.tobytes(), np.minimum(counts, 65535).astype(np.uint16).tobytes(), units.tobytes(), sizes.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "terms", "counts", "units", "sizes"])
+                split = [u for x in sentences(t) if len(u := list(chain.from_iterable(map(get, x.split())))) >= LEAST_WORDS]  # fewer are no sentence
+                sizes = np.fromiter(map(len, split), np.int32, len(split))
+                rows.append((i, lang, np.fromiter(chain.from_iterable(split), np.int32, int(sizes.sum())).tobytes(), sizes.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "units", "sizes"])
 
     ok = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", language(F.col("lang")).alias("lang"), "text")
-    return ok.mapInPandas(run, "doc_id bigint, lang string, terms binary, counts binary, units binary, sizes binary")
+    return ok.mapInPandas(run, "doc_id bigint, lang string, units binary, sizes binary").where(F.length("sizes") > 0)
 
 
 @dataclass
 class Topics:
-    """``names`` of (subject or '', language) as first assigned, ``chance`` of each word in each topic, and the subject that
-    each topic's top terms speak for."""
+    """``names`` of (subject or rest, language) as first assigned, in blocks of one language, ``chance`` of each word in each topic, and
+    the subject that each topic's top terms speak for."""
 
     names: list[tuple[str, str]]
-    vocab: list[str]
     chance: np.ndarray
     subjects: list[str]
     meaning: list[str | None]
 
 
-def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    terms = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["terms"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["counts"]]).astype(np.float32)
-    return terms, counts, np.array([len(x) // 4 for x in pdf["terms"]])
-
-
 def _digamma(x: np.ndarray) -> np.ndarray:
     y = x + 6
     out = np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4)
@@ -163,103 +110,154 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _expected(pdf: pd.DataFrame, by_word: np.ndarray, alpha: float, inner: int, acc: np.ndarray) -> None:
-    """Adds the expected uses of each word by topic, short of the factor ``by_word`` (vocabulary x topics), to ``acc``. Only the
-    words that stand in the documents are touched, and after the first pass only the topics."""
-    terms, counts, sizes = _unpacked(pdf)
-    told = by_word[:, 0][terms] > 0  # even words have no chance in any topic
-    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[told], minlength=len(sizes))
-    terms, counts, sizes = terms[told], counts[told], sizes[sizes > 0]
-    if not len(sizes):
-        return
-    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-    chance = by_word[terms]
-    active = np.arange(by_word.shape[1])
-    weight = np.ones((len(sizes), len(active)), np.float32)
-    for n in range(inner):
-        used = counts / np.maximum(np.einsum("nk,nk->n", chance, weight[owner]), 1e-30)
-        gamma = weight * np.add.reduceat(chance * used[:, None], starts, axis=0) + alpha
-        if n == 0:  # topics without a share in any of these documents, such as other languages', stay without
-            some = np.flatnonzero(gamma.max(axis=0) > alpha + ACTIVE)
-            active, gamma, chance, weight = active[some], gamma[:, some], np.ascontiguousarray(chance[:, some]), weight[:, some]
-        last, weight = weight, np.exp(_digamma(gamma) - _digamma(gamma.sum(axis=1, keepdims=True))).astype(np.float32)
-    order = np.argsort(terms, kind="stable")
-    ordered = terms[order]
-    firsts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    acc[np.ix_(ordered[firsts], active)] += np.add.reduceat(last[owner[order]] * used[order, None], firsts, axis=0)
-
-
-def _summed(rows: DataFrame, k: int, v: int) -> np.ndarray:
-    """The topics' counts of all tasks: rows (topic, counts) added up one by one, k * v numbers in the end."""
+class Model:
+    """Logarithms of the topics' chances, laid out by language."""
+
+    def __init__(self, chance: np.ndarray, languages: int):
+        self.k, v = chance.shape
+        self.width = self.k // languages
+        log = np.log(chance).astype(np.float32)
+        self.blocks = [np.ascontiguousarray(log[g * self.width : (g + 1) * self.width].T) for g in range(languages)]
+        self.languages = np.ascontiguousarray(np.log(chance.reshape(languages, self.width, v).mean(axis=1)).T.astype(np.float32))
+
+    def expected(self, units: np.ndarray, sizes: np.ndarray, docs: np.ndarray, acc: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        """The expected number of each document's sentences in each topic, and the log-likelihood of all words. Adds the expected uses of
+        each word by topic to ``acc``. ``docs`` has each sentence's document, from 0 on."""
+        starts = np.cumsum(sizes) - sizes
+        lang = np.add.reduceat(self.languages[units], starts, axis=0).argmax(axis=1)
+        n = int(docs[-1]) + 1
+        like = np.empty((len(sizes), self.width), np.float32)
+        own = np.repeat(lang, sizes)
+        for g in np.unique(lang):
+            some = lang == g
+            size = sizes[some]
+            like[some] = np.add.reduceat(self.blocks[g][units[own == g]], np.cumsum(size) - size, axis=0)
+        at = lang[:, None] * self.width + np.arange(self.width)
+        prior = np.zeros((n, self.k), np.float32)
+        for _ in range(INNER + 1):
+            score = like + prior[docs[:, None], at]
+            top = score.max(axis=1, keepdims=True)
+            share = np.exp(score - top)
+            total = share.sum(axis=1, keepdims=True)
+            share /= total
+            count = np.bincount((docs[:, None] * self.k + at).ravel(), weights=share.ravel(), minlength=n * self.k).reshape(n, self.k)
+            gamma = count + ALPHA
+            prior = (_digamma(gamma) - _digamma(gamma.sum(axis=1, keepdims=True))).astype(np.float32)
+        if acc is not None:
+            sentence = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(own.astype(np.int64) << 32 | units, kind="stable")
+            code = (own.astype(np.int64) << 32 | units)[order]
+            firsts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            uses = np.add.reduceat(share[sentence[order]], firsts, axis=0)
+            for g in np.unique(lang):
+                mine = code[firsts] >> 32 == g
+                acc[(code[firsts][mine] & 0xFFFFFFFF)[:, None], g * self.width + np.arange(self.width)] += uses[mine]
+        return count, float((top + np.log(total)).sum())
+
+
+def _batches(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, units, sizes, docs) of a few documents at a time."""
+    for at in range(0, len(pdf), DOCS_AT_ONCE):
+        part = pdf.iloc[at : at + DOCS_AT_ONCE]
+        sizes = [np.frombuffer(x, np.int32) for x in part["sizes"]]
+        n = np.array([len(x) for x in sizes])
+        yield part, np.concatenate([np.frombuffer(x, np.int32) for x in part["units"]]), np.concatenate(sizes), np.repeat(np.arange(len(n)), n)
+
+
+SUMS = "topic int, terms binary, counts binary, worth double, words bigint"
+
+
+def _emitted(total: np.ndarray, worth: float = 0.0, words: int = 0) -> Iterator[pd.DataFrame]:
+    """A topic's words with a count, for each topic, and one row with the likelihood."""
+    for t, row in enumerate(total):
+        terms = np.flatnonzero(row).astype(np.int32)
+        if len(terms):
+            yield pd.DataFrame({"topic": [t], "terms": [terms.tobytes()], "counts": [row[terms].astype(np.float32).tobytes()], "worth": [0.0], "words": [0]})
+    yield pd.DataFrame({"topic": [-1], "terms": [b""], "counts": [b""], "worth": [worth], "words": [words]})
+
+
+def _summed(rows: DataFrame, k: int) -> tuple[np.ndarray, float]:
+    """The topics' counts of all tasks, added up in two levels, and the mean log-likelihood of a word."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
+        worth, words = 0.0, 0
         for pdf in batches:
-            for t, c in zip(pdf["topic"], pdf["counts"]):
-                sums[t] = sums.get(t, 0) + np.frombuffer(c, np.float32).astype(np.float64)
-        for t, c in sums.items():
-            yield pd.DataFrame({"topic": [t], "counts": [c.astype(np.float32).tobytes()]})
-
-    out = np.zeros((k, v), np.float64)
-    for r in rows.repartition(min(k, 16), "topic").mapInPandas(add, "topic int, counts binary").toLocalIterator():
-        out[r.topic] = np.frombuffer(r.counts, np.float32)
-    return out
-
-
-def _emitted(total: np.ndarray) -> Iterator[pd.DataFrame]:
-    for t in np.flatnonzero(total.any(axis=1)):
-        yield pd.DataFrame({"topic": [t], "counts": [total[t].astype(np.float32).tobytes()]})
-
-
-def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], iterations: int = ITERATIONS) -> tuple[Topics, DataFrame]:
+            for t, terms, counts, x, n in zip(pdf["topic"], pdf["terms"], pdf["counts"], pdf["worth"], pdf["words"]):
+                worth, words = worth + x, words + n
+                if t >= 0:
+                    sums.setdefault(t, np.zeros(1 << BITS))[np.frombuffer(terms, np.int32)] += np.frombuffer(counts, np.float32)
+        for t, row in sums.items():
+            yield next(_emitted(row[None])).assign(topic=t)
+        if words or worth:
+            yield from _emitted(np.zeros((0, 1)), worth, words)
+
+    some = rows.withColumn("some", F.spark_partition_id() % 16)
+    once = some.repartition(32, "topic", "some").select("topic", "terms", "counts", "worth", "words").mapInPandas(add, SUMS)
+    out, worth, words = np.zeros((k, 1 << BITS)), 0.0, 0
+    for r in once.repartition(16, "topic").mapInPandas(add, SUMS).toLocalIterator():  # k * 2**BITS numbers at most
+        if r.topic >= 0:
+            out[r.topic, np.frombuffer(r.terms, np.int32)] = np.frombuffer(r.counts, np.float32)
+        worth, words = worth + r.worth, words + r.words
+    return out, worth / max(words, 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[Topics, DataFrame]:
     """The fitted topics of all documents (doc_id, text, lang), and the documents as bags of numbers."""
-    vocab, common = vocabulary(docs)
-    held = stored(bags(docs, vocab), "bags")
-    worded = held.where(F.length("terms") > 0)
-    spark, v = docs.sparkSession, max(1, len(vocab))
+    held = stored(bags(docs), "bags")
+    spark = docs.sparkSession
     clean = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(subjects)).distinct()
     marks = clean.groupBy("doc_id").agg(F.collect_set("subject").alias("marks")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS)
     known = {r.doc_id: r.marks for r in marks.toLocalIterator()}
-    langs = [r.lang for r in held.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
-    names = [(s, g) for g in langs or ["xx"] for s in [*subjects, ""]] + [("", f"spare-{i}") for i in range(SPARE)]
-    number = {x: i for i, x in enumerate(names)}
-    first = spark.sparkContext.broadcast((known, number))
+    langs = [r.lang for r in held.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").toLocalIterator()] or ["xx"]  # at most 676
+    names = [(s, g) for g in langs for s in [*subjects, *RESTS]]
+    first = spark.sparkContext.broadcast((known, {x: i for i, x in enumerate(names)}))
 
     def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks, at = first.value
-        total = np.zeros((len(at), v), np.float64)
+        total = np.zeros((len(at), 1 << BITS), np.float32)
         for pdf in batches:
-            for i, lang, terms, counts in zip(pdf["doc_id"], pdf["lang"], pdf["terms"], pdf["counts"]):
+            for i, lang, units in zip(pdf["doc_id"], pdf["lang"], pdf["units"]):
                 own = [at[m, lang] for m in marks.get(i, [""]) if (m, lang) in at]
+                terms, counts = np.unique(np.frombuffer(units, np.int32), return_counts=True)
                 for t in own:
-                    total[t, np.frombuffer(terms, np.int32)] += np.frombuffer(counts, np.uint16) / len(own)
+                    total[t, terms] += counts / np.float32(len(own))
         yield from _emitted(total)
 
-    total = _summed(worded.select("doc_id", "lang", "terms", "counts").mapInPandas(assigned, "topic int, counts binary"), len(names), v)
-    affinity = total[: len(names) - SPARE].copy()
-    even = even_words(affinity, names[: len(names) - SPARE], common)
+    total, _ = _summed(held.select("doc_id", "lang", "units").mapInPandas(assigned, SUMS), len(names))
+    affinity = total.copy()
+    # a language's second rest topic starts flat, with more than its share of rare words, and takes what fits no other
+    rng = np.random.default_rng(8)
+    for g in range(len(langs)):
+        block = slice(g * (len(subjects) + 2), (g + 1) * (len(subjects) + 2))
+        total[block.stop - 1] = np.sqrt(total[block].sum(axis=0)) * rng.uniform(0.5, 1.5, total.shape[1])
+
+    # a topic's prior is PRIOR words of its language, so a word that it lacks speaks neither for nor against a small topic
+    width = len(subjects) + len(RESTS)
+    of_language = affinity.reshape(len(langs), width, -1).sum(axis=1) + ETA
+    of_language = np.repeat(PRIOR * of_language / of_language.sum(axis=1, keepdims=True), width, axis=0)
 
     def chances(total: np.ndarray) -> np.ndarray:
-        chance = np.where(even, 0, total + ETA)
-        return chance / np.maximum(chance.sum(axis=1, keepdims=True), 1e-30)
+        return (total + of_language) / (total + of_language).sum(axis=1, keepdims=True)
 
-    # spare topics start flat, with more than their share of rare words, and so take what fits no subject's topic
-    flat = np.sqrt(total.sum(axis=0))
-    total[len(names) - SPARE :] = flat * np.random.default_rng(8).uniform(0.5, 1.5, (SPARE, v))
-    for _ in range(iterations):
-        model = spark.sparkContext.broadcast(np.ascontiguousarray(chances(total).T.astype(np.float32)))
+    worth = -np.inf
+    while True:  # the likelihood never falls, so this ends
+        model = spark.sparkContext.broadcast(Model(chances(total), len(langs)))
 
         def step(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            acc = np.zeros(model.value.shape, np.float32)
+            acc = np.zeros((1 << BITS, model.value.k), np.float32)
+            worth, words = 0.0, 0
             for pdf in batches:
-                pdf = pdf.sort_values("lang")  # documents of one language have few topics between them
-                for at in range(0, len(pdf), 64):
-                    _expected(pdf.iloc[at : at + 64], model.value, ALPHA, INNER, acc)
-            yield from _emitted((acc * model.value).T)
-
-        total = _summed(worded.select("lang", "terms", "counts").mapInPandas(step, "topic int, counts binary"), len(names), v)
+                for _, units, sizes, of in _batches(pdf):
+                    worth, words = worth + model.value.expected(units, sizes, of, acc)[1], words + len(units)
+            yield from _emitted(np.ascontiguousarray(acc.T), worth, words)
+
+        total, now = _summed(held.select("units", "sizes").mapInPandas(step, SUMS), len(names))
+        if now - worth < TOLERANCE:
+            break
+        worth = now
     chance = chances(total)
-    return Topics(names, vocab, chance, subjects, topic_meanings(chance, affinity, names, subjects)), held
+    return Topics(names, chance, subjects, topic_meanings(chance, chances(affinity), names, subjects)), held
 
 
 def distinctive(chance: np.ndarray) -> np.ndarray:
@@ -267,14 +265,14 @@ def distinctive(chance: np.ndarray) -> np.ndarray:
     return chance * np.log(np.maximum(chance, 1e-30) / np.maximum(chance.mean(axis=0, keepdims=True), 1e-30))
 
 
-def topic_meanings(chance: np.ndarray, affinity: np.ndarray, names: list[tuple[str, str]], subjects: list[str]) -> list[str | None]:
-    """Each topic's subject by its top terms. A term speaks for a subject in proportion to its rate in the documents labelled so,
+def topic_meanings(chance: np.ndarray, labelled: np.ndarray, names: list[tuple[str, str]], subjects: list[str]) -> list[str | None]:
+    """Each topic's subject by its top terms. A term speaks for a subject in proportion to its rate in the documents ``labelled`` so,
     of whatever language, and counts by how distinctive of the topic it is."""
-    rate = (affinity + 0.01) / (affinity + 0.01).sum(axis=1, keepdims=True)
-    share = rate / rate.sum(axis=0, keepdims=True)
-    share = np.stack([share[[i for i, x in enumerate(names[: len(share)]) if x[0] == s]].sum(axis=0) for s in [*subjects, ""]])
+    firsts = [s for s, _ in names]
+    share = np.stack([labelled[[i for i, x in enumerate(firsts) if x == s]].sum(axis=0) for s in [*subjects, ""]])
+    share /= share.sum(axis=0, keepdims=True)
     out: list[str | None] = []
-    for (first, _), row in zip(names, distinctive(chance)):
+    for first, row in zip(firsts, distinctive(chance)):
         top = np.argsort(-row, kind="stable")[:TOP_TERMS]
         say = share[:, top] @ row[top]
         best = int(np.argmax(say[:-1]))
@@ -285,39 +283,43 @@ def topic_meanings(chance: np.ndarray, affinity: np.ndarray, names: list[tuple[s
     return out
 
 
-def word_votes(t: Topics) -> np.ndarray:
-    """(vocabulary x subjects): a word's chance to be of each subject, where it is clearly of one, else 0."""
-    sums = np.stack([t.chance[[i for i, m in enumerate(t.meaning) if m == s]].sum(axis=0) if s in t.meaning else np.zeros(len(t.vocab)) for s in t.subjects], axis=1)
-    rest = t.chance[[i for i, m in enumerate(t.meaning) if m is None]].sum(axis=0) if None in t.meaning else np.zeros(len(t.vocab))
-    share = sums / np.maximum(sums.sum(axis=1) + rest, 1e-30)[:, None]
-    return np.where(share >= 0.5, share, 0).astype(np.float32)
+def subject_shares(held: DataFrame, topics: Topics) -> DataFrame:
+    """(doc_id, subject, sentences, of, share): the proportions of each document's topics, added up by subject and taken to whole sentences."""
+    languages = len(topics.names) // (len(topics.subjects) + len(RESTS))
+    says = np.array([[m == s for s in topics.subjects] for m in topics.meaning], float).reshape(len(topics.names), len(topics.subjects))
+    model = held.sparkSession.sparkContext.broadcast((Model(topics.chance, languages), says))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fitted, says = model.value
+        for pdf in batches:
+            for part, units, sizes, of in _batches(pdf):
+                treated = fitted.expected(units, sizes, of)[0] @ says
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "of": np.bincount(of, minlength=len(part)), **{f"s{k}": x for k, x in enumerate(treated.T)}})
+
+    count = range(len(topics.subjects))
+    rows = held.select("doc_id", "units", "sizes").mapInPandas(run, ", ".join(["doc_id bigint, of bigint", *[f"s{k} double" for k in count]]))
+    rows = rows.groupBy("doc_id").agg(F.sum("of").alias("of"), *[F.round(F.sum(f"s{k}")).cast("bigint").alias(f"s{k}") for k in count])
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("subject"), F.col(f"s{k}").alias("sentences")) for k, x in enumerate(topics.subjects)])).alias("x")
+    return rows.select("doc_id", "of", each).where("x.sentences > 0").select("doc_id", "x.subject", "x.sentences", "of", (F.col("x.sentences") / F.col("of")).alias("share"))
 
 
-def subject_shares(held: DataFrame, topics: Topics) -> DataFrame:
-    """(doc_id, subject, sentences, of, share) of bagged documents: for each subject that at least one sentence treats."""
-    model = held.sparkSession.sparkContext.broadcast((np.concatenate([word_votes(topics), np.zeros((1, len(topics.subjects)), np.float32)]), topics.subjects))
+def top_terms(docs: DataFrame, topics: Topics, most: int = 12) -> list[list[str]]:
+    """The words of each topic's most distinctive numbers, for inspection: of the words with one number the most frequent."""
+    tops = [(-row).argsort(kind="stable")[:most] for row in distinctive(topics.chance)]
+    wanted = docs.sparkSession.sparkContext.broadcast(set(np.concatenate(tops).tolist()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        votes, names = model.value
+        seen: Counter = Counter()
+        get = Forms(lambda found: [w for w in found if number(w) in wanted.value]).__getitem__
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
-                sizes = [np.frombuffer(x, np.int32) for x in part["sizes"]]
-                n = np.array([len(x) for x in sizes])
-                if not n.sum():
-                    continue
-                sizes = np.concatenate(sizes)
-                words_ = np.concatenate([np.frombuffer(x, np.int32) for x in part["units"]])
-                ends = np.cumsum(sizes)
-                padded = np.insert(words_, ends, len(votes) - 1)  # every sentence gets a word without a vote, so that none is empty
-                score = np.add.reduceat(votes[padded], ends - sizes + np.arange(len(sizes)), axis=0)
-                clear = score.max(axis=1) >= VOTES
-                treated = np.bincount(np.repeat(np.arange(len(n)), n)[clear] * len(names) + score.argmax(axis=1)[clear], minlength=len(n) * len(names)).reshape(len(n), len(names))
-                doc, subject = np.nonzero(treated)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[doc], "subject": np.array(names, object)[subject], "sentences": treated[doc, subject], "of": n[doc]})
-
-    rows = held.select("doc_id", "units", "sizes").mapInPandas(run, "doc_id bigint, subject string, sentences bigint, of bigint")
-    return rows.groupBy("doc_id", "subject").agg(F.sum("sentences").alias("sentences"), F.max("of").alias("of")).withColumn("share", F.col("sentences") / F.col("of"))
+            for t in pdf["text"]:
+                seen.update(chain.from_iterable(map(get, t.lower().split())))
+            yield pd.DataFrame([(number(w), w, n) for w, n in seen.items()], columns=["number", "word", "n"])
+            seen.clear()
+
+    rows = docs.where("text IS NOT NULL").select("text").mapInPandas(run, "number int, word string, n bigint").groupBy("number", "word").agg(F.sum("n").alias("n"))
+    name = {r.number: r.word for r in rows.groupBy("number").agg(F.max_by("word", F.struct("n", "word")).alias("word")).toLocalIterator()}
+    return [[name.get(int(i), "") for i in top] for top in tops]
 
 
 def subject_names(subjects: DataFrame) -> list[str]:
@@ -326,6 +328,9 @@ def subject_names(subjects: DataFrame) -> list[str]:
 
 
 def assigned(docs: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, subject): every area that at least ``share`` of the document's sentences treat."""
-    topics, held = fit(docs, labels, subject_names(subjects))
+    """(doc_id, subject): every area whose topics make up at least ``share`` of the document's proportions, in whole sentences."""
+    names = subject_names(subjects)
+    if not names:
+        return docs.select("doc_id", F.lit("").alias("subject")).where("false")
+    topics, held = fit(docs, labels, names)
     return subject_shares(held, topics).where(F.col("share") >= share).select("doc_id", "subject")

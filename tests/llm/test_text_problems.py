@@ -233,8 +233,7 @@ def test_verdicts_too_many_to_broadcast(spark):
 # -- subjects ------------------------------------------------------------------------------------------------------------
 
 
-def test_subjects(spark, monkeypatch):
-    monkeypatch.setattr(subjects, "STOP_SHARE", 1.0)  # there are few words here
+def test_subjects(spark):
     import random
 
     rng = random.Random(3)
@@ -277,5 +276,27 @@ def test_a_frequent_subject_keeps_its_words(spark):
     found = {(r.doc_id, r.subject) for r in subjects.assigned(d, lab, spark.createDataFrame([("law",), ("music",), ("sport",), ("art",)], "subject string")).collect()}
     assert found == {(k, s) for k, s in enumerate(own) if s}
     topics, _ = subjects.fit(d, lab, ["art", "law", "music", "sport"])
-    left_out = {w for w, c in zip(topics.vocab, topics.chance.max(axis=0)) if not c}
-    assert {"the", "and"} <= left_out <= {"the", "with", "near", "and"}
+    tops = dict(zip(topics.names, subjects.top_terms(d, topics, 6)))
+    assert set(tops["law", "en"]) == set(terms["law"])
+
+
+def test_nine_languages_and_shares_of_sentences(spark):
+    import random
+
+    rng, docs, truth, lab = random.Random(6), [], set(), []
+    langs = ["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh", "ii"]
+    word = lambda g, s, k: f"{g}{s}{'abcdefghij'[k]}"
+    def sentence(g, s):
+        return " ".join(x for _ in range(4) for x in (word(g, s, rng.randrange(10)), word(g, "x", rng.randrange(6)))) + "."
+    for g in langs:
+        for k in range(60):
+            own, other = ("law", "sport") if k % 2 else ("sport", "rest")
+            n = k % 4 + 1  # of 8 sentences
+            i = len(docs)
+            docs.append((i, " ".join([sentence(g, own)] * 0 + [sentence(g, own) for _ in range(8 - n)] + [sentence(g, other) for _ in range(n)]), g if k % 5 else None))
+            truth |= {(i, own)} | ({(i, other)} if n >= 2 and other != "rest" else set())
+            if k % 3 == 0:
+                lab.append((i, own))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    found = {(r.doc_id, r.subject) for r in subjects.assigned(d, spark.createDataFrame(lab, "doc_id bigint, subject string"), spark.createDataFrame([("law",), ("sport",)], "subject string")).collect()}
+    assert len(found & truth) >= 0.95 * len(truth) and len(found - truth) <= 0.05 * len(found)
