@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .leaks import _term_hashes
-from .words import WordHashes, hashed_words, mix
+from .words import WordHashes, gram_hashes, hashed_words, mix
 
 N, THRESHOLD, MIN_WORDS = 3, 0.6, 30
 SKETCH_BITS, SLICES = 22, 64
@@ -46,7 +45,7 @@ TEXTS_AT_ONCE = 1000
 def gram_sets(texts, memo: WordHashes, n: int = N, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """All texts' sets of n-gram hashes, each sorted, one after the other, and the sets' sizes (0: no record)."""
     flat, sizes = hashed_words(texts, memo)
-    h, owner, _ = _term_hashes(flat, sizes, n)
+    h, owner, _ = gram_hashes(flat, sizes, n)
     keep = sizes[owner] >= max(min_words, n)
     h, owner = h[keep], owner[keep]
     order = np.lexsort((h, owner))

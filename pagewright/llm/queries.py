@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored, table
+from ..session import stored, stored_once, table
 from . import leaks, mojibake, near_dups, ocr, packing, site_lines, subjects, truncation
 
 #: Problem 1's tables, with their id and text.
@@ -85,17 +85,22 @@ def p6_certificate(spark: SparkSession, d: str) -> DataFrame:
     return packing.certificate(p6_packed(spark, d), _containers(spark, d))
 
 
+def _token_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of the documents, written by the first query that needs it."""
+    return stored_once(lambda: leaks.token_index(table(spark, d, "documents")), [f"{d}/documents.parquet"], spark, "token-index")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.exact_phrases(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.exact_phrases(_token_index(spark, d), table(spark, d, "eval_items"))
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items")
-    return leaks.leaked_items(leaks.exact_phrases(table(spark, d, "documents"), items), items)
+    return leaks.leaked_items(leaks.exact_phrases(_token_index(spark, d), items), items)
 
 
 def p7_proximity(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.proximity(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.proximity(_token_index(spark, d), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +167,13 @@ def oracle_sql() -> dict[str, str]:
             FROM lines l JOIN chunks c USING (chunk_id) LEFT JOIN bad b USING (chunk_id, line_no)
             WHERE chunk_id IN (SELECT chunk_id FROM bad) GROUP BY l.chunk_id""",
         "p7_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM hits",
+        "p7_proximity": r"""WITH w AS (SELECT DISTINCT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS a FROM eval_items),
+            q AS (SELECT item_id, i - 1 AS off, array_to_string(a[i:i + 4], ' ') AS g FROM w, generate_series(1, len(a) - 4) AS s(i) WHERE len(a) >= 12),
+            x AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM documents WHERE text IS NOT NULL),
+            y AS (SELECT doc_id, i - 1 AS pos, array_to_string(a[i:i + 4], ' ') AS g FROM x, generate_series(1, len(a) - 4) AS s(i)),
+            m AS (SELECT doc_id, item_id, off, floor((pos - off) / 16.0) AS c FROM y JOIN q USING (g)),
+            n AS (SELECT doc_id, item_id, cell, count(DISTINCT off) AS terms FROM (SELECT doc_id, item_id, off, c AS cell FROM m UNION ALL SELECT doc_id, item_id, off, c + 1 FROM m) GROUP BY ALL)
+            SELECT doc_id, item_id, max(terms) AS terms FROM n WHERE terms >= 8 GROUP BY ALL""",
         "p7_items": f"""WITH {_GRAMS} SELECT e.item_id, e.eval_set, count(h.doc_id) AS documents
             FROM eval_items e LEFT JOIN hits h USING (item_id) GROUP BY ALL""",
     }

@@ -93,11 +93,12 @@ def bags(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Topics:
-    """``names`` of (subject or rest, language) as first assigned, in blocks of one language, ``chance`` of each word in each topic, and
+    """``names`` of (subject or rest, language) as first assigned, in blocks of one language, ``chance`` of each number in each topic, which of them are ``used`` by words, and
     the subject that each topic's top terms speak for."""
 
     names: list[tuple[str, str]]
     chance: np.ndarray
+    used: np.ndarray
     subjects: list[str]
     meaning: list[str | None]
 
@@ -111,27 +112,31 @@ def _digamma(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Logarithms of the topics' chances, laid out by language."""
+    """Logarithms of the topics' chances, laid out by language. All numbers without a word have the same chances, and one row."""
 
-    def __init__(self, chance: np.ndarray, languages: int):
-        self.k, v = chance.shape
+    def __init__(self, chance: np.ndarray, languages: int, used: np.ndarray):
+        self.k = len(chance)
         self.width = self.k // languages
-        log = np.log(chance).astype(np.float32)
+        rows = np.r_[np.flatnonzero(~used)[:1], np.flatnonzero(used)]
+        self.row = np.zeros(len(used), np.int32)
+        self.row[rows] = np.arange(len(rows))
+        some = chance[:, rows]
+        log = np.log(some).astype(np.float32)
         self.blocks = [np.ascontiguousarray(log[g * self.width : (g + 1) * self.width].T) for g in range(languages)]
-        self.languages = np.ascontiguousarray(np.log(chance.reshape(languages, self.width, v).mean(axis=1)).T.astype(np.float32))
+        self.languages = np.ascontiguousarray(np.log(some.reshape(languages, self.width, -1).mean(axis=1)).T.astype(np.float32))
 
     def expected(self, units: np.ndarray, sizes: np.ndarray, docs: np.ndarray, acc: np.ndarray | None = None) -> tuple[np.ndarray, float]:
         """The expected number of each document's sentences in each topic, and the log-likelihood of all words. Adds the expected uses of
         each word by topic to ``acc``. ``docs`` has each sentence's document, from 0 on."""
-        starts = np.cumsum(sizes) - sizes
-        lang = np.add.reduceat(self.languages[units], starts, axis=0).argmax(axis=1)
+        starts, row = np.cumsum(sizes) - sizes, self.row[units]
+        lang = np.add.reduceat(self.languages[row], starts, axis=0).argmax(axis=1)
         n = int(docs[-1]) + 1
         like = np.empty((len(sizes), self.width), np.float32)
         own = np.repeat(lang, sizes)
         for g in np.unique(lang):
             some = lang == g
             size = sizes[some]
-            like[some] = np.add.reduceat(self.blocks[g][units[own == g]], np.cumsum(size) - size, axis=0)
+            like[some] = np.add.reduceat(self.blocks[g][row[own == g]], np.cumsum(size) - size, axis=0)
         at = lang[:, None] * self.width + np.arange(self.width)
         prior = np.zeros((n, self.k), np.float32)
         for _ in range(INNER + 1):
@@ -193,9 +198,9 @@ def _summed(rows: DataFrame, k: int) -> tuple[np.ndarray, float]:
             yield from _emitted(np.zeros((0, 1)), worth, words)
 
     some = rows.withColumn("some", F.spark_partition_id() % 16)
-    once = some.repartition(32, "topic", "some").select("topic", "terms", "counts", "worth", "words").mapInPandas(add, SUMS)
+    once = some.repartition(16, "topic", "some").select("topic", "terms", "counts", "worth", "words").mapInPandas(add, SUMS)
     out, worth, words = np.zeros((k, 1 << BITS)), 0.0, 0
-    for r in once.repartition(16, "topic").mapInPandas(add, SUMS).toLocalIterator():  # k * 2**BITS numbers at most
+    for r in once.repartition(8, "topic").mapInPandas(add, SUMS).toLocalIterator():  # k * 2**BITS numbers at most
         if r.topic >= 0:
             out[r.topic, np.frombuffer(r.terms, np.int32)] = np.frombuffer(r.counts, np.float32)
         worth, words = worth + r.worth, words + r.words
@@ -242,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[Topics
 
     worth = -np.inf
     while True:  # the likelihood never falls, so this ends
-        model = spark.sparkContext.broadcast(Model(chances(total), len(langs)))
+        model = spark.sparkContext.broadcast(Model(chances(total), len(langs), total.any(axis=0)))
 
         def step(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             acc = np.zeros((1 << BITS, model.value.k), np.float32)
@@ -253,11 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[Topics
             yield from _emitted(np.ascontiguousarray(acc.T), worth, words)
 
         total, now = _summed(held.select("units", "sizes").mapInPandas(step, SUMS), len(names))
+        model.destroy()
         if now - worth < TOLERANCE:
             break
         worth = now
     chance = chances(total)
-    return Topics(names, chance, subjects, topic_meanings(chance, chances(affinity), names, subjects)), held
+    return Topics(names, chance, total.any(axis=0), subjects, topic_meanings(chance, chances(affinity), names, subjects)), held
 
 
 def distinctive(chance: np.ndarray) -> np.ndarray:
@@ -287,7 +293,7 @@ def subject_shares(held: DataFrame, topics: Topics) -> DataFrame:
     """(doc_id, subject, sentences, of, share): the proportions of each document's topics, added up by subject and taken to whole sentences."""
     languages = len(topics.names) // (len(topics.subjects) + len(RESTS))
     says = np.array([[m == s for s in topics.subjects] for m in topics.meaning], float).reshape(len(topics.names), len(topics.subjects))
-    model = held.sparkSession.sparkContext.broadcast((Model(topics.chance, languages), says))
+    model = held.sparkSession.sparkContext.broadcast((Model(topics.chance, languages, topics.used), says))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fitted, says = model.value

@@ -46,3 +46,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def gram_hashes(flat: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and position of all ``k``-word terms."""
+    if len(flat) < k:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = mix(flat[: len(flat) - k + 1])
+    for j in range(1, k):
+        h = mix(h + flat[j : len(flat) - k + 1 + j])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    pos = np.arange(len(h)) - starts[owner[: len(h)]]
+    whole = pos + k <= sizes[owner[: len(h)]]
+    return h[whole], owner[: len(h)][whole], pos[whole]

@@ -162,10 +162,40 @@ def test_exact_phrases(spark):
     items = [(1, "a", passage), (2, "a", passage), (3, "b", None), (4, "b", "too short"), (5, "b", "other " * 5 + "words " * 9)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string")
     i = spark.createDataFrame(items, "item_id bigint, eval_set string, passage string")
-    found = leaks.exact_phrases(d, i)
+    index = leaks.token_index(d)
+    found = leaks.exact_phrases(index, i)
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(a, b) for a in (1, 6, 7) for b in (1, 2)]
     assert {r.item_id: r.documents for r in leaks.leaked_items(found, i).collect()} == {1: 3, 2: 3, 3: 0, 4: 0, 5: 0}
-    assert leaks.exact_phrases(d.where("false"), i).count() == 0 and leaks.exact_phrases(d, i.where("false")).count() == 0
+    empty = leaks.token_index(d.where("false"))
+    for search in (leaks.exact_phrases, leaks.proximity):
+        assert search(empty, i).count() == 0 and search(index, i.where("false")).count() == 0
+
+
+def test_proximity(spark):
+    passage = " ".join(f"item{k}" for k in range(40))
+    w = passage.split()
+    changed = " ".join("other" if k % 10 == 5 else x for k, x in enumerate(w))  # a word changed in every ten
+    longer = " ".join(w[:8] + ["more"] + w[8:16] + ["and", "more"] + w[16:])
+    docs = [(1, "before " * 7 + changed), (2, longer), (3, " ".join(w[20:32])), (4, " ".join(w[20:30])), (5, " ".join(w[:8]) + " gap" * 60 + " " + " ".join(w[8:16])), (6, " ".join(reversed(w)))]
+    index = leaks.token_index(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    items = spark.createDataFrame([(1, passage)], "item_id bigint, passage string")
+    assert {r.doc_id: r.terms for r in leaks.proximity(index, items).collect()} == {1: 16, 2: 28, 3: 8}
+    assert [r.doc_id for r in leaks.exact_phrases(index, items).orderBy("doc_id").collect()] == [2, 3]
+
+
+def test_index_shards_and_blocks_of_items(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randrange(0, 90))] for _ in range(120)]
+    passages = [[*rng.choice(texts)[:30]] if k % 2 else [rng.choice("abcdefgh") for _ in range(20)] for k in range(30)]
+    monkeypatch.setattr(leaks, "SHARD_WORDS", 300)
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 150)
+    monkeypatch.setattr(leaks, "ALIGNED_AT_ONCE", 50)
+    index = leaks.token_index(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string"))
+    items = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id bigint, passage string")
+    grams = lambda t: {tuple(t[k : k + 12]) for k in range(len(t) - 11)}
+    assert {(r.doc_id, r.item_id) for r in leaks.exact_phrases(index, items).collect()} == {(a, b) for a, t in enumerate(texts) for b, p in enumerate(passages) if grams(t) & grams(p)}
 
 
 # -- scanned pages -------------------------------------------------------------------------------------------------------
