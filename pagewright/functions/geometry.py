@@ -10,8 +10,14 @@ PAGE_SHARE, PAGE_SHARE_TOUCHING, PAGE_MARGIN = 0.82, 0.65, 0.04
 IMAGE_SHARE, DRAWING_SHARE, CLUSTER_SHARE, CLUSTER_GAP = 0.01, 0.0005, 0.03, 12.0
 
 
+def normalised(box: Column) -> Column:
+    """The box with l <= r and t <= b, whichever corner it was measured from."""
+    return F.struct(F.least(box["l"], box["r"]).alias("l"), F.greatest(box["l"], box["r"]).alias("r"), F.least(box["t"], box["b"]).alias("t"), F.greatest(box["t"], box["b"]).alias("b"))
+
+
 def is_valid(box: Column) -> Column:
-    return (box["r"] > box["l"]) & (box["b"] > box["t"])
+    """Whether the box has an area."""
+    return (box["r"] != box["l"]) & (box["b"] != box["t"])
 
 
 def area_ratio(box: Column, width: Column, height: Column) -> Column:
@@ -22,7 +28,8 @@ def area_ratio(box: Column, width: Column, height: Column) -> Column:
 
 def is_page_sized(box: Column, width: Column, height: Column) -> Column:
     ratio, margin = area_ratio(box, width, height), F.greatest(width, height) * PAGE_MARGIN
-    touching = (box["l"] <= margin) & (box["t"] <= margin) & (box["r"] >= width - margin) & (box["b"] >= height - margin)
+    n = normalised(box)
+    touching = (n["l"] <= margin) & (n["t"] <= margin) & (n["r"] >= width - margin) & (n["b"] >= height - margin)
     return (ratio >= PAGE_SHARE) | ((ratio >= PAGE_SHARE_TOUCHING) & touching)
 
 
@@ -36,7 +43,7 @@ def to_canvas(box: Column, width: Column, height: Column, canvas_w: Column, canv
     sx, sy = canvas_w / width, canvas_h / height
     left, right = F.least(box["l"], box["r"]) * sx, F.greatest(box["l"], box["r"]) * sx
     low, high = F.least(box["t"], box["b"]), F.greatest(box["t"], box["b"])
-    bottom_up = F.upper(box["coordOrigin"]).contains("BOTTOM")
+    bottom_up = F.upper(F.coalesce(F.nullif(box["coordOrigin"], F.lit("")), F.lit("BOTTOMLEFT"))).contains("BOTTOM")
     top = F.when(bottom_up, height - high).otherwise(low) * sy
     tall = (high - low) * sy
     return F.struct(
@@ -45,6 +52,38 @@ def to_canvas(box: Column, width: Column, height: Column, canvas_w: Column, canv
     )
 
 
+def is_kept_cluster(box: Column, width: Column, height: Column) -> Column:
+    """Whether a union of near boxes is large enough to be shown, and not the page itself."""
+    return (area_ratio(box, width, height) >= CLUSTER_SHARE) & ~is_page_sized(box, width, height)
+
+
+def preview_box(box: Column, width: Column, height: Column) -> Column:
+    """x, y, w, h in percent of the image."""
+    part = lambda x, of: F.when(of > 0, x * 100 / of)
+    return F.struct(part(box["x"], width).alias("x"), part(box["y"], height).alias("y"), part(box["w"], width).alias("w"), part(box["h"], height).alias("h"))
+
+
+def _first(json: Column, *paths: str) -> Column:
+    return F.coalesce(*[F.nullif(F.get_json_object(json, f"$.{p}"), F.lit("")) for p in paths])
+
+
+def box_from_json(json: Column) -> Column:
+    """A box under any of the names that its edges go by (fixed values); null where one is missing. Without an origin it is measured from
+    the bottom."""
+    edges = {"l": ("l", "left", "x0", "x"), "r": ("r", "right", "x1"), "t": ("t", "top", "y1"), "b": ("b", "bottom", "y0", "y")}
+    found = {k: _first(json, *v).cast("double") for k, v in edges.items()}
+    origin = F.upper(F.coalesce(_first(json, "coord_origin", "coordOrigin"), F.lit("BOTTOMLEFT")))
+    whole = found["l"].isNotNull() & found["r"].isNotNull() & found["t"].isNotNull() & found["b"].isNotNull()
+    return F.when(whole, F.struct(*[v.alias(k) for k, v in found.items()], origin.alias("coordOrigin")))
+
+
+def page_size_from_json(json: Column) -> Column:
+    """Width and height of a page under any of the names that they go by (fixed values); null where one is missing or 0."""
+    holders = ("size.", "page_size.", "pageSize.", "dimension.", "dimensions.", "")
+    w, h = (_first(json, *[p + k for p in holders]).cast("double") for k in ("width", "height"))
+    return F.when((w != 0) & (h != 0), F.struct(w.alias("width"), h.alias("height")))
+
+
 def render_scale(scale: Column, default: float = 2.0, most: float = 3.0) -> Column:
     odd = scale.isNull() | F.isnan(scale) | (scale <= 0) | (scale == float("inf"))
     return F.when(odd, default).otherwise(F.least(scale, F.lit(most)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TABLE = r"(?mdU)(?:^\|.*\|\s*$\n?){2,}"
 MARKDOWN_SIGNS = (r"(?m)^#{1,6}\s+\S", r"(?m)^\s*[-*]\s+\S", r"(?m)^\|.*\|", r"```", r"\n\s*\n")
 SECTION_BREAK = "\n\n---\n\n"
-UNITS = ("B", "KB", "MB", "GB", "TB")
+UNITS = ("B", "KB", "MB", "GB")
 
 
 def strip(c: Column) -> Column:
@@ -56,10 +56,11 @@ def short_hash(c: Column) -> Column:
 
 
 def file_size_label(c: Column) -> Column:
-    """Bytes in the largest unit that keeps the figure at 1 or more, with one decimal; whole for bytes."""
+    """Bytes in the largest unit that keeps the figure at 1 or more: whole from 10 on and for bytes, else with one decimal."""
     power = F.when(c > 0, F.least(F.floor(F.log2(c.cast("double")) / 10), F.lit(len(UNITS) - 1))).otherwise(F.lit(0)).cast("int")
-    figure = F.round(c / F.pow(F.lit(1024.0), power), 1)
-    return F.when(power == 0, F.concat(c.cast("string"), F.lit(" B"))).otherwise(F.concat(figure.cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, UNITS)), power + 1)))
+    figure = c / F.pow(F.lit(1024.0), power)
+    shown = F.when((figure >= 10) | (power == 0), F.round(figure, 0).cast("bigint").cast("string")).otherwise(F.round(figure, 1).cast("string"))
+    return F.when(F.coalesce(c, F.lit(0)) == 0, F.lit("0 B")).otherwise(F.concat(shown, F.lit(" "), F.element_at(F.array(*map(F.lit, UNITS)), power + 1)))
 
 
 def base_name(c: Column) -> Column:
@@ -80,3 +81,39 @@ def page_from_path(path: Column) -> Column:
 def first_filled(*cs: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
+
+
+def cells(c: Column) -> Column:
+    """The cells of the text's pipe rows, as an array of rows of trimmed text with white space collapsed; rules between rows are no cells,
+    nor are rows without any text."""
+    lines = F.filter(F.split(c, "\n"), lambda x: x.rlike(r"^\|.*\|\s*$") & ~x.rlike(r"^\|[-:| ]+\|\s*$"))
+    rows = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|\s*$", ""), r"\|"), lambda v: strip(F.regexp_replace(v, r"(?U)\s+", " "))))
+    return F.filter(rows, lambda row: F.exists(row, lambda v: v != ""))
+
+
+def pipe_table(rows: Column) -> Column:
+    """Rows of cells as a Markdown table: the first is the head, short rows are filled up. Null without rows."""
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    filled = F.transform(rows, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
+    rule = line(F.array_repeat(F.lit("---"), width))
+    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(filled, 1, 1), F.array(rule), F.slice(filled, 2, 1 << 30)), "\n"))
+
+
+def formatted(label: Column, text: Column) -> Column:
+    """An item's text as Markdown: titles and section headers get ``## ``, list entries ``- ``, unless they have a sign of their own."""
+    t, low = strip(F.coalesce(text, F.lit(""))), F.lower(label)
+    heading = (low.contains("title") | low.contains("section_header")) & ~t.startswith("#")
+    return F.when(t == "", "").when(heading, F.concat(F.lit("## "), t)).when(low.contains("list") & ~t.rlike(r"^[-*+]\s+"), F.concat(F.lit("- "), t)).otherwise(t)
+
+
+def mime_type(c: Column) -> Column:
+    """The image type that a loose name means."""
+    t = strip(F.coalesce(c, F.lit("")))
+    return F.when(t.startswith("image/"), t).when(t.contains("jpeg") | t.contains("jpg"), "image/jpeg").when(t.contains("webp"), "image/webp").when(t.contains("gif"), "image/gif").otherwise("image/png")
+
+
+def image_source(c: Column, kind: Column) -> Column:
+    """A data URI as it is, base64 of more than 100 characters as one, else nothing."""
+    t, packed = strip(c), F.regexp_replace(c, r"(?U)\s", "")
+    return F.when(t.rlike(r"(?i)^data:image/[^;]+;base64,"), t).when((F.length(packed) > 100) & packed.rlike(r"^[A-Za-z0-9+/]+={0,2}$"), F.concat(F.lit("data:"), mime_type(kind), F.lit(";base64,"), packed)).otherwise("")

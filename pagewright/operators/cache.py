@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import matching
+
+EXTRACTION_KEY = ["file_hash", "images_scale", "ocr_language", "force_ocr"]
 CACHE_KEY = ["namespace_id", "slide_hash", "model_id", "prompt_version", "prompt_hash"]
 
 
@@ -47,23 +50,38 @@ def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str], keep: li
     return both.select(*[value(c) for c in existing.columns])
 
 
+def strict_lookup(wanted: DataFrame, cache: DataFrame, keys: list[str], values: list[str], at: str) -> DataFrame:
+    """``wanted`` with the ``values`` that the cache has for exactly these keys (the newest row of a key) and ``hit``. A null in a key hits nothing."""
+    held = latest(cache.where(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull()), keys, at, values).select(*keys, *[F.col(v).alias(f"cached_{v}") for v in values])
+    rows = wanted.join(held.withColumn("_hit", F.lit(True)), keys, "left")
+    return rows.withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
 def write_version(df: DataFrame, root: str) -> str:
-    """A new version beside the old ones; readers that hold an old one aren't disturbed, and a lost write leaves none half done."""
+    """A new version beside the old ones. It counts once its pointer, a folder of its own, is written whole; a lost write leaves none, and
+    readers that hold an old version aren't disturbed."""
+    spark = df.sparkSession
     path = f"{root}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    number = (_last_version(spark, root) or 0) + 1
+    spark.createDataFrame([(path,)], "path string").coalesce(1).write.text(f"{root}/pointers/n={number:012d}")
     return path
 
 
-def read_version(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{root}/current").first().value)
+def _last_version(spark: SparkSession, root: str) -> int | None:
+    return max((int(p.rsplit("n=", 1)[1].split("/")[0]) for p in matching(spark, f"{root}/pointers/*/_SUCCESS")), default=None)
+
+
+def read_version(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest version, or None where none is whole."""
+    number = _last_version(spark, root)
+    return None if number is None else spark.read.parquet(spark.read.text(f"{root}/pointers/n={number:012d}").first().value)
 
 
 def merged_in_order(slides: DataFrame, cached: DataFrame, fresh: DataFrame) -> DataFrame:
     """(doc_id, image_id, page_number, block, origin) in the slides' order: a cached description by hash, else a fresh one by hash,
     else a fresh one by id; slides without any are left out."""
-    c = cached.select("slide_hash", F.col("block").alias("_c"))
+    c = cached.where(F.coalesce("slide_hash", F.lit("")) != "").select("slide_hash", F.col("block").alias("_c"))
     h = fresh.where(F.coalesce("slide_hash", F.lit("")) != "").groupBy("slide_hash").agg(F.min("block").alias("_h"))
     i = fresh.select("doc_id", "image_id", F.col("block").alias("_i"))
     rows = slides.join(c, "slide_hash", "left").join(h, "slide_hash", "left").join(i, ["doc_id", "image_id"], "left")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,18 @@ class Filters:
 
     least_boxes: int = 1
     least_area_percent: float = 12.0
+    least_residual_percent: float = 30.0
+    least_edge_percent: float = 10.0
+    mask_padding: float = 3.0
+    least_text_boxes: int = 1
     most_repeats: int = 1
+    residual_fallback: bool = False
+
+    @classmethod
+    def of(cls, given: dict) -> Filters:
+        """From what a user gave: numbers as text are numbers, what is missing or null has its default, names that aren't filters are an error."""
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        return cls(**{k: kinds[k](float(v)) if kinds[k] is not bool else bool(v) for k, v in given.items() if v is not None})
 
 
 def areas(images: DataFrame) -> DataFrame:
@@ -31,29 +42,37 @@ def areas(images: DataFrame) -> DataFrame:
 
 
 def components(boxes: np.ndarray, gap: float) -> np.ndarray:
-    """The cluster of each box (l, r, t, b): boxes within ``gap`` of each other on both axes are in one, and so on from box to box."""
-    n = len(boxes)
-    dx = np.maximum(boxes[:, None, 0], boxes[None, :, 0]) - np.minimum(boxes[:, None, 1], boxes[None, :, 1])
-    dy = np.maximum(boxes[:, None, 2], boxes[None, :, 2]) - np.minimum(boxes[:, None, 3], boxes[None, :, 3])
-    near = (dx <= gap) & (dy <= gap) | np.eye(n, dtype=bool)
-    label = np.arange(n)
-    while True:
-        new = np.where(near, label[None, :], n).min(axis=1)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    """The cluster of each box (l, r, t, b): boxes within ``gap`` of each other on both axes are in one, and so on from box to box. A sweep
+    by left edges compares a box with those only that begin before it ends."""
+    label = np.arange(len(boxes))
+
+    def root(k: int) -> int:
+        while label[k] != k:
+            label[k] = label[label[k]]
+            k = label[k]
+        return k
+
+    order = np.argsort(boxes[:, 0], kind="stable")
+    lefts = boxes[order, 0]
+    for at, k in enumerate(order):
+        to = np.searchsorted(lefts, boxes[k, 1] + gap, "right")
+        ahead = order[at + 1 : to]
+        near = (np.maximum(boxes[ahead, 2], boxes[k, 2]) - np.minimum(boxes[ahead, 3], boxes[k, 3])) <= gap
+        for other in ahead[near]:
+            a, b = root(k), root(other)
+            label[max(a, b)] = min(a, b)
+    return np.array([root(k) for k in range(len(boxes))])
 
 
 def clusters(images: DataFrame, gap: float = G.CLUSTER_GAP) -> DataFrame:
-    """(doc_id, id, cluster, boxes, l, r, t, b): unions of near areas. The areas of a page are one row's array, so nothing is
-    shuffled; the work per page grows with the square of its areas."""
+    """(doc_id, id, cluster, boxes, l, r, t, b): unions of near areas. The areas of a page are one row's array; only
+    exact copies of a row are looked for across rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, image, found in zip(pdf["doc_id"], pdf["id"], pdf["boxes"]):
-                boxes = np.array([[x["l"], x["r"], x["t"], x["b"]] for x in found], dtype=float)
+                boxes = np.array([[min(x["l"], x["r"]), max(x["l"], x["r"]), min(x["t"], x["b"]), max(x["t"], x["b"])] for x in found], dtype=float)
                 label = components(boxes, gap)
                 for c in np.unique(label):
                     m = boxes[label == c]
@@ -87,17 +106,21 @@ def repeats(images: DataFrame) -> DataFrame:
 def decisions(images: DataFrame, analysis: DataFrame, filters: Filters = Filters()) -> DataFrame:
     """(doc_id, image_id, repeats, skip_reasons, kept) of every image row."""
     seen = repeats(images).select("doc_id", F.col("id").alias("image_id"), "repeats")
-    a = analysis.select("doc_id", "image_id", "status", "picture_box_count", "picture_area_ratio")
+    a = analysis.select("doc_id", "image_id", "status", "picture_box_count", "picture_area_ratio", *(["text_box_count", "residual_ratio", "edge_ratio"] if filters.residual_fallback else []))
     rows = seen.join(a, ["doc_id", "image_id"], "left")
     few = F.coalesce("picture_box_count", F.lit(0)) < filters.least_boxes
     small = F.coalesce("picture_area_ratio", F.lit(0.0)) < filters.least_area_percent / 100
     many = F.col("repeats") > filters.most_repeats
+    rescued = F.lit(False)
+    if filters.residual_fallback:  # what is left beside the text can only take the last reason away
+        rest = (F.coalesce("residual_ratio", F.lit(0.0)) >= filters.least_residual_percent / 100) | (F.coalesce("edge_ratio", F.lit(0.0)) >= filters.least_edge_percent / 100)
+        rescued = (F.coalesce("text_box_count", F.lit(0)) >= filters.least_text_boxes) & rest
     ready = F.filter(
         F.array(
             F.when(many, F.concat(F.lit("repeated "), F.col("repeats").cast("string"), F.lit("x"))),
             F.when(few, f"picture boxes < {filters.least_boxes}"),
             F.when(small, f"picture area < {filters.least_area_percent:g}%"),
-            F.when(few | small, "below vision threshold"),
+            F.when((few | small) & ~rescued, "below vision threshold"),
         ),
         lambda x: x.isNotNull(),
     )

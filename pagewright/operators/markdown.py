@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Pages in one assembled part. A document of any length is a sequence of parts, so no task has to hold all of it.
-PART = 200
-
-
 def sections(chunks: DataFrame) -> DataFrame:
     """(doc_id, idx, chunk_id, page, section): the page number is the place in the deck plus one where it is missing or 0."""
     page = F.coalesce(F.nullif(F.col("pageno"), F.lit(0)), F.col("idx") + 1)
@@ -24,16 +20,24 @@ def joined(rows: DataFrame, keys: list[str], order: list[str], value: str, separ
 
 
 def page_markdown(chunks: DataFrame) -> DataFrame:
-    """(doc_id, part, markdown): a document's sections in order, ``PART`` places of the deck in a row."""
-    rows = sections(chunks).withColumn("part", F.floor(F.col("idx") / PART))
-    return joined(rows, ["doc_id", "part"], ["idx", "chunk_id"], "section", T.SECTION_BREAK, "markdown")
+    """(doc_id, markdown): a document's sections in order. A document is one value here; ``sections`` has them as rows, and
+    ``sources.files.write_sections`` writes them in order, for documents of any size."""
+    return joined(sections(chunks), ["doc_id"], ["idx", "chunk_id"], "section", T.SECTION_BREAK, "markdown")
 
 
 def text_by_page(chunks: DataFrame) -> DataFrame:
     """(doc_id, page_key, text): the texts of a page, in order; pages without a number are 'Unknown'."""
     key = F.coalesce(F.nullif(F.col("pageno"), F.lit(0)).cast("string"), F.lit("Unknown"))
-    rows = chunks.where(T.strip(F.coalesce("content", F.lit(""))) != "").select("doc_id", key.alias("page_key"), F.floor(F.col("idx") / PART).alias("part"), "idx", "chunk_id", T.strip(F.col("content")).alias("text"))
-    return joined(rows, ["doc_id", "page_key", "part"], ["idx", "chunk_id"], "text", "\n\n", "text")
+    rows = chunks.where(T.strip(F.coalesce("content", F.lit(""))) != "").select("doc_id", key.alias("page_key"), "idx", "chunk_id", T.strip(F.col("content")).alias("text"))
+    return joined(rows, ["doc_id", "page_key"], ["idx", "chunk_id"], "text", "\n\n", "text")
+
+
+def page_aware_markdown(chunks: DataFrame) -> DataFrame:
+    """(doc_id, markdown): every page once, with all of its texts, in the order of the numbers; what has none stands last as 'Unknown'."""
+    pages = text_by_page(chunks)
+    section = F.concat(F.lit("[Page "), "page_key", F.lit("]\n\n"), "text")
+    rows = pages.select("doc_id", F.expr("coalesce(try_cast(page_key as int), 2147483647)").alias("at"), section.alias("section"))
+    return joined(rows, ["doc_id"], ["at"], "section", T.SECTION_BREAK, "markdown")
 
 
 def split_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

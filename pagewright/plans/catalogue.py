@@ -66,11 +66,10 @@ def deck_listing(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT document_id, regexp_replace(file_name, '\\.(pdf|pptx?|odp)$', '', 'i') AS base_name, lower(split_part(file_name, '/', 1)) AS site,
-    CASE WHEN file_size_bytes <= 0 OR file_size_bytes < 1024 THEN file_size_bytes::VARCHAR || ' B'
-      WHEN file_size_bytes < 1048576 THEN round(file_size_bytes / 1024.0, 1)::DOUBLE::VARCHAR || ' KB'
-      WHEN file_size_bytes < 1073741824 THEN round(file_size_bytes / 1048576.0, 1)::DOUBLE::VARCHAR || ' MB'
-      ELSE round(file_size_bytes / 1073741824.0, 1)::DOUBLE::VARCHAR || ' GB' END AS size_label FROM documents_registry""")
+@query("""WITH v AS (SELECT *, CASE WHEN file_size_bytes < 1024 THEN 0 WHEN file_size_bytes < 1048576 THEN 1 WHEN file_size_bytes < 1073741824 THEN 2 ELSE 3 END AS u FROM documents_registry),
+    f AS (SELECT *, file_size_bytes / (1024.0::DOUBLE ** u) AS x FROM v)
+    SELECT document_id, regexp_replace(file_name, '\\.(pdf|pptx?|odp)$', '', 'i') AS base_name, lower(split_part(file_name, '/', 1)) AS site,
+      CASE WHEN coalesce(file_size_bytes, 0) = 0 THEN '0 B' ELSE (CASE WHEN u = 0 OR x >= 10 THEN round(x, 0)::BIGINT::VARCHAR ELSE round(x, 1)::DOUBLE::VARCHAR END) || ' ' || ['B', 'KB', 'MB', 'GB'][u + 1] END AS size_label FROM f""")
 def deck_labels(spark: SparkSession, d: str) -> DataFrame:
     decks = table(spark, d, "documents_registry")
     return decks.select("document_id", T.base_name(F.col("file_name")).alias("base_name"), F.lower(F.substring_index("file_name", "/", 1)).alias("site"), T.file_size_label(F.col("file_size_bytes")).alias("size_label"))
@@ -169,6 +168,80 @@ def upsert_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return C.upserted(first, v, C.CACHE_KEY, ["created_at"], ["updated_at", "desc_id"])
 
 
+@query("""WITH old AS (SELECT * FROM visual_descriptions WHERE created_at < TIMESTAMP '2025-10-01'),
+    k AS (SELECT * FROM old QUALIFY row_number() OVER (PARTITION BY namespace_id, slide_hash, model_id, prompt_version, prompt_hash ORDER BY updated_at DESC NULLS LAST, desc_id) = 1)
+    SELECT v.desc_id, k.desc_id AS cached_desc_id, k.desc_id IS NOT NULL AS hit FROM visual_descriptions v LEFT JOIN k USING (namespace_id, slide_hash, model_id, prompt_version, prompt_hash)""")
+def strict_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every request of the table against the cache as it was in autumn: all five parts of the key have to be equal."""
+    v = table(spark, d, "visual_descriptions")
+    old = v.where(F.col("created_at") < F.expr("timestamp_ntz'2025-10-01'")).select(*C.CACHE_KEY, "desc_id", "updated_at")
+    return C.strict_lookup(v.select(*C.CACHE_KEY, "desc_id"), old, C.CACHE_KEY, ["desc_id"], "updated_at").select("desc_id", "cached_desc_id", "hit")
+
+
+_EXTRACTIONS = f"""x AS (SELECT sha256(d.document_id) AS file_hash, CASE WHEN d.page_count % 3 = 0 THEN 3.0 ELSE 2.0 END AS images_scale, 'eng' AS ocr_language, d.page_count % 2 AS force_ocr,
+      d.file_name, d.page_count, d.file_size_bytes, c.n AS table_count, d.created_at, d.last_accessed_at FROM documents_registry d
+      LEFT JOIN (SELECT doc_id, count_if(chunk_type = 'table')::BIGINT AS n FROM chunks GROUP BY 1) c ON c.doc_id = d.document_id),
+    e AS (SELECT * FROM x WHERE created_at < TIMESTAMP '2025-10-01'),
+    n AS (SELECT * REPLACE (lower(file_name) AS file_name, file_size_bytes + 1 AS file_size_bytes, page_count + 1 AS page_count, created_at + INTERVAL 1 DAY AS created_at) FROM x WHERE last_accessed_at >= TIMESTAMP '2025-08-01')"""
+
+
+def _extractions(spark: SparkSession, d: str) -> DataFrame:
+    """What the extraction of each deck would be cached as: a key of four parts and the outcome."""
+    tables = table(spark, d, "chunks").groupBy(F.col("doc_id").alias("document_id")).agg(F.count_if(F.col("chunk_type") == "table").alias("table_count"))
+    rows = table(spark, d, "documents_registry").join(tables, "document_id", "left")
+    scale = F.when(F.col("page_count") % 3 == 0, 3.0).otherwise(2.0)
+    return rows.select(F.sha2("document_id", 256).alias("file_hash"), scale.alias("images_scale"), F.lit("eng").alias("ocr_language"), (F.col("page_count") % 2).alias("force_ocr"), "file_name", "page_count", "file_size_bytes", "table_count", "created_at", "last_accessed_at")
+
+
+@query(f"""WITH {_EXTRACTIONS}
+    SELECT file_hash, images_scale, ocr_language, force_ocr, coalesce(n.file_name, e.file_name) AS file_name, coalesce(n.page_count, e.page_count) AS page_count,
+      CASE WHEN e.file_hash IS NOT NULL THEN e.file_size_bytes ELSE n.file_size_bytes END AS file_size_bytes, CASE WHEN n.file_hash IS NOT NULL THEN n.table_count ELSE e.table_count END AS table_count,
+      CASE WHEN e.file_hash IS NOT NULL THEN e.created_at ELSE n.created_at END AS created_at FROM e FULL JOIN n USING (file_hash, images_scale, ocr_language, force_ocr)""")
+def upsert_extractions(spark: SparkSession, d: str) -> DataFrame:
+    """Later extractions merged into earlier ones: all that they found is taken over, but not the file's size and the time of creation."""
+    x = _extractions(spark, d)
+    old = x.where(F.col("created_at") < F.expr("timestamp_ntz'2025-10-01'"))
+    new = x.where(F.col("last_accessed_at") >= F.expr("timestamp_ntz'2025-08-01'"))
+    new = new.withColumns({"file_name": F.lower("file_name"), "file_size_bytes": F.col("file_size_bytes") + 1, "page_count": F.col("page_count") + 1, "created_at": F.col("created_at") + F.expr("interval 1 day")})
+    return C.upserted(old, new, C.EXTRACTION_KEY, ["file_size_bytes", "created_at"], ["last_accessed_at"]).drop("last_accessed_at")
+
+
+@query(f"""WITH {_EXTRACTIONS} SELECT n.file_hash, n.images_scale, n.force_ocr, e.page_count AS cached_page_count, e.file_hash IS NOT NULL AS hit
+    FROM n LEFT JOIN e USING (file_hash, images_scale, ocr_language, force_ocr)""")
+def extraction_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The decks that come in again, and what the extraction cache has for exactly their file and settings."""
+    x = _extractions(spark, d)
+    old, new = x.where(F.col("created_at") < F.expr("timestamp_ntz'2025-10-01'")), x.where(F.col("last_accessed_at") >= F.expr("timestamp_ntz'2025-08-01'"))
+    return C.strict_lookup(new, old, C.EXTRACTION_KEY, ["page_count"], "created_at").select("file_hash", "images_scale", "force_ocr", "cached_page_count", "hit")
+
+
+@query("""WITH v AS (SELECT slide_hash, arg_max(markdown_block, (updated_at, desc_id)) FILTER (WHERE markdown_block IS NOT NULL) AS b FROM visual_descriptions WHERE slide_hash <> '' GROUP BY 1)
+    SELECT DISTINCT i.doc_id, i.id AS image_id, i.slide_hash, CASE WHEN coalesce(i.slide_hash, '') = '' THEN 'error' WHEN v.slide_hash IS NOT NULL THEN 'hit' WHEN byte_estimate > 600000 THEN 'error' ELSE 'miss' END AS status,
+      CASE WHEN v.slide_hash IS NOT NULL THEN b WHEN coalesce(i.slide_hash, '') <> '' AND coalesce(byte_estimate, 0) <= 600000 THEN 'No description of ' || left(i.slide_hash, 16) END AS content
+    FROM images i LEFT JOIN v USING (slide_hash)""")
+def read_through(spark: SparkSession, d: str) -> DataFrame:
+    """Hits from the cache, misses from a provider (here one that has nothing to say), each hash asked once."""
+    answers, _ = D.read_through(table(spark, d, "images"), table(spark, d, "visual_descriptions"), lambda job: f"No description of {job['slide_hash'][:16]}", 600_000, 4)
+    return answers.select("doc_id", "image_id", "slide_hash", "status", "content")
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(nullif(pageno, 0)::VARCHAR, 'Unknown') AS page_key, string_agg({strip_sql('content')}, chr(10) || chr(10) ORDER BY idx, chunk_id) AS text FROM chunks WHERE {strip_sql("coalesce(content, '')")} <> '' GROUP BY ALL),
+    i AS (SELECT DISTINCT doc_id, id, page_number FROM images)
+    SELECT i.doc_id, i.id AS image_id, i.page_number, coalesce(t.text, '') <> '' AS has_text, sha256('{D.TEMPLATE.replace("'", "''")}' || chr(10) || chr(10) || 'Slide: ' || coalesce('Page ' || nullif(i.page_number, 0), 'Unknown page') || chr(10) || 'Existing OCR text from this slide:' || chr(10) ||
+      coalesce(nullif(substr({strip_sql(f"regexp_replace(t.text, '{WS}+', ' ', 'g')")}, 1, 1800), ''), '[No OCR text available]') ||
+      CASE WHEN a.picture_box_count IS NULL THEN '' ELSE chr(10) || chr(10) || 'Visual detector metrics:' || chr(10) || '- pictureBoxCount: ' || a.picture_box_count || chr(10) || '- pictureAreaRatio: ' || coalesce(round(a.picture_area_ratio * 1e5)::BIGINT::VARCHAR, 'None') ||
+        chr(10) || '- residualRatio: ' || coalesce(round(a.residual_ratio * 1e5)::BIGINT::VARCHAR, 'None') || chr(10) || '- edgeRatio: ' || coalesce(round(a.edge_ratio * 1e5)::BIGINT::VARCHAR, 'None') END) AS prompt_hash
+    FROM i LEFT JOIN t ON t.doc_id = i.doc_id AND t.page_key = coalesce(nullif(i.page_number, 0)::VARCHAR, 'Unknown')
+    LEFT JOIN (SELECT doc_id, image_id, max(picture_box_count) AS picture_box_count, max(picture_area_ratio) AS picture_area_ratio, max(residual_ratio) AS residual_ratio, max(edge_ratio) AS edge_ratio FROM image_analysis GROUP BY ALL) a ON a.doc_id = i.doc_id AND a.image_id = i.id""")
+def image_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Each slide's prompt, with the text of its page and the detector's figures (ratios in hundred-thousandths)."""
+    images = table(spark, d, "images").select("doc_id", "id", "page_number").distinct()
+    figures_ = table(spark, d, "image_analysis").groupBy("doc_id", F.col("image_id").alias("id")).agg(F.max("picture_box_count").alias("boxes"), *[F.round(F.max(c) * 1e5).cast("bigint").alias(c) for c in ("picture_area_ratio", "residual_ratio", "edge_ratio")])
+    rows = D.with_page_text(images, M.text_by_page(table(spark, d, "chunks"))).join(figures_, ["doc_id", "id"], "left")
+    text = F.concat(D.prompt(F.col("page_number"), F.col("page_text")), D.metrics(F.col("boxes"), F.col("picture_area_ratio"), F.col("residual_ratio"), F.col("edge_ratio")))
+    return rows.select("doc_id", F.col("id").alias("image_id"), "page_number", (F.col("page_text") != "").alias("has_text"), F.sha2(text, 256).alias("prompt_hash"))
+
+
 @query("""SELECT model_id, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, quantile_cont(latency_ms, 0.5) AS p50_ms, quantile_cont(latency_ms, 0.95) AS p95_ms,
     round(count_if(updated_at < created_at) / count(*), 9) AS odd_share FROM visual_descriptions GROUP BY model_id""")
 def latency_report(spark: SparkSession, d: str) -> DataFrame:
@@ -206,9 +279,10 @@ def data_uri_bytes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").where("content IS NOT NULL").select("chunk_id", T.base64_bytes(encoded).alias("bytes"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 60 - 1 <= 0 THEN 2.0 ELSE least(l_discount * 60 - 1, 3.0) END AS scale FROM lineitem""")
+@query("""SELECT doc_id, id, CASE WHEN byte_estimate IS NULL OR byte_estimate <= 100000 THEN 2.0 ELSE least(byte_estimate / 100000.0::DOUBLE - 1, 3.0) END AS scale FROM images""")
 def clamp_scale(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.render_scale(F.col("l_discount") * 60 - 1).alias("scale"))
+    """A scale for each slide by its size, kept in bounds."""
+    return table(spark, d, "images").select("doc_id", "id", G.render_scale(F.col("byte_estimate") / 100000.0 - 1).alias("scale"))
 
 
 @query(r"""SELECT doc_id, coalesce(length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20 AND (regexp_matches(text, '(?m)^#{1,6}\s+\S') OR regexp_matches(text, '(?m)^\s*[-*]\s+\S')
@@ -234,16 +308,21 @@ _SECTION = f"""'[Page ' || coalesce(nullif(pageno, 0), idx + 1) || ']' || CASE W
 _BREAK = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
 
-@query(f"SELECT doc_id, idx // 200 AS part, string_agg({_SECTION}, {_BREAK} ORDER BY idx, chunk_id) AS markdown FROM chunks GROUP BY ALL")
+@query(f"SELECT doc_id, string_agg({_SECTION}, {_BREAK} ORDER BY idx, chunk_id) AS markdown FROM chunks GROUP BY ALL")
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     return M.page_markdown(table(spark, d, "chunks"))
 
 
-@query(f"""SELECT doc_id, coalesce(nullif(pageno, 0)::VARCHAR, 'Unknown') AS page_key, idx // 200 AS part, string_agg({strip_sql('content')}, chr(10) || chr(10) ORDER BY idx, chunk_id) AS text
+@query(f"""SELECT doc_id, coalesce(nullif(pageno, 0)::VARCHAR, 'Unknown') AS page_key, string_agg({strip_sql('content')}, chr(10) || chr(10) ORDER BY idx, chunk_id) AS text
     FROM chunks WHERE {strip_sql("coalesce(content, '')")} <> '' GROUP BY ALL""")
 def page_text_map(spark: SparkSession, d: str) -> DataFrame:
-    r = M.text_by_page(table(spark, d, "chunks"))
-    return r.select("doc_id", "page_key", "part", "text")
+    return M.text_by_page(table(spark, d, "chunks"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, nullif(pageno, 0) AS n, string_agg({strip_sql('content')}, chr(10) || chr(10) ORDER BY idx, chunk_id) AS text FROM chunks WHERE {strip_sql("coalesce(content, '')")} <> '' GROUP BY ALL)
+    SELECT doc_id, string_agg('[Page ' || coalesce(n::VARCHAR, 'Unknown') || ']' || chr(10) || chr(10) || text, {_BREAK} ORDER BY n NULLS LAST) AS markdown FROM p GROUP BY doc_id""")
+def page_aware_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return M.page_aware_markdown(table(spark, d, "chunks"))
 
 
 @query(r"""SELECT doc_id, sum(coalesce(len(regexp_extract_all(content, '(?m)(?:^\|.*\|\s*$\n?){2,}')), 0))::BIGINT AS tables FROM chunks GROUP BY doc_id""")
@@ -329,12 +408,13 @@ def figure_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 _AREAS = """a AS (SELECT doc_id, id, i - 1 AS pos, s.width AS w, s.height AS h, p[i].label AS label, p[i].bbox AS x
-    FROM (SELECT DISTINCT doc_id, id, page_size AS s, picture_areas AS p FROM images), generate_series(1, len(p)) AS g(i))"""
+    FROM (SELECT DISTINCT doc_id, id, page_size AS s, picture_areas AS p FROM images), generate_series(1, len(p)) AS g(i)),
+    o AS (SELECT doc_id, id, pos, w, h, label, least(x.l, x.r) AS l, greatest(x.l, x.r) AS r, least(x.t, x.b) AS t, greatest(x.t, x.b) AS b FROM a)"""
 
 
-@query(f"""WITH {_AREAS}, r AS (SELECT *, CASE WHEN w * h > 0 THEN abs(x.r - x.l) * abs(x.b - x.t) / (w * h) ELSE 0 END AS ratio, greatest(w, h) * 0.04 AS m FROM a),
-    z AS (SELECT *, ratio >= 0.82 OR (ratio >= 0.65 AND x.l <= m AND x.t <= m AND x.r >= w - m AND x.b >= h - m) AS page_sized FROM r)
-    SELECT doc_id, id, pos, label, round(ratio, 9) AS ratio, page_sized, x.r > x.l AND x.b > x.t AND ratio >= CASE WHEN label = 'image' THEN 0.01 ELSE 0.0005 END AND NOT page_sized AS kept FROM z""")
+@query(f"""WITH {_AREAS}, q AS (SELECT *, CASE WHEN w * h > 0 THEN (r - l) * (b - t) / (w * h) ELSE 0 END AS ratio, greatest(w, h) * 0.04 AS m FROM o),
+    z AS (SELECT *, ratio >= 0.82 OR (ratio >= 0.65 AND l <= m AND t <= m AND r >= w - m AND b >= h - m) AS page_sized FROM q)
+    SELECT doc_id, id, pos, label, round(ratio, 9) AS ratio, page_sized, r > l AND b > t AND ratio >= CASE WHEN label = 'image' THEN 0.01 ELSE 0.0005 END AND NOT page_sized AS kept FROM z""")
 def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
     box, w, h = F.col("box"), F.col("width"), F.col("height")
     return L.areas(table(spark, d, "images")).select(
@@ -343,7 +423,7 @@ def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_AREAS} SELECT doc_id, id, pos, round(greatest(0, least(x.l, x.r) * 1280.0 / w - 4), 6) AS x,
-      round(greatest(0, CASE WHEN contains(upper(x.coordOrigin), 'BOTTOM') THEN h - greatest(x.t, x.b) ELSE least(x.t, x.b) END * 720.0 / h - 4), 6) AS y,
+      round(greatest(0, CASE WHEN contains(upper(coalesce(nullif(x.coordOrigin, ''), 'BOTTOMLEFT')), 'BOTTOM') THEN h - greatest(x.t, x.b) ELSE least(x.t, x.b) END * 720.0 / h - 4), 6) AS y,
       round(least(1280.0, (greatest(x.l, x.r) * 1280.0 / w) - (least(x.l, x.r) * 1280.0 / w) + 8), 6) AS w, round(least(720.0, (greatest(x.t, x.b) - least(x.t, x.b)) * 720.0 / h + 8), 6) AS h FROM a""")
 def bbox_to_canvas(spark: SparkSession, d: str) -> DataFrame:
     c = G.to_canvas(F.col("box"), F.col("width"), F.col("height"), F.lit(1280.0), F.lit(720.0), 4.0)
@@ -351,11 +431,11 @@ def bbox_to_canvas(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "id", "pos", *[F.round(f"c.{k}", 6).alias(k) for k in "xywh"])
 
 
-@query(f"""WITH RECURSIVE {_AREAS}, near AS (SELECT p.doc_id, p.id, p.pos AS a, q.pos AS b FROM a p JOIN a q ON p.doc_id = q.doc_id AND p.id = q.id
-      AND greatest(p.x.l, q.x.l) - least(p.x.r, q.x.r) <= 12 AND greatest(p.x.t, q.x.t) - least(p.x.b, q.x.b) <= 12),
+@query(f"""WITH RECURSIVE {_AREAS}, near AS (SELECT p.doc_id, p.id, p.pos AS a, q.pos AS b FROM o p JOIN o q ON p.doc_id = q.doc_id AND p.id = q.id
+      AND greatest(p.l, q.l) - least(p.r, q.r) <= 12 AND greatest(p.t, q.t) - least(p.b, q.b) <= 12),
     reach AS (SELECT doc_id, id, a, b FROM near UNION SELECT r.doc_id, r.id, r.a, n.b FROM reach r JOIN near n ON n.doc_id = r.doc_id AND n.id = r.id AND n.a = r.b),
     c AS (SELECT doc_id, id, a AS pos, min(b) AS cluster FROM reach GROUP BY ALL)
-    SELECT doc_id, id, cluster, count(*) AS boxes, min(x.l) AS l, max(x.r) AS r, min(x.t) AS t, max(x.b) AS b FROM c JOIN a USING (doc_id, id, pos) GROUP BY ALL""")
+    SELECT doc_id, id, cluster, count(*) AS boxes, min(l) AS l, max(r) AS r, min(t) AS t, max(b) AS b FROM c JOIN o USING (doc_id, id, pos) GROUP BY ALL""")
 def bbox_clusters(spark: SparkSession, d: str) -> DataFrame:
     return L.clusters(table(spark, d, "images"))
 
@@ -380,6 +460,37 @@ def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
     return L.decisions(table(spark, d, "images"), table(spark, d, "image_analysis"))
 
 
+@query("""WITH r AS (SELECT i.doc_id, i.id AS image_id, i.repeats, status, coalesce(picture_box_count, 0) AS n, coalesce(picture_area_ratio, 0) AS p,
+      coalesce(text_box_count, 0) >= 1 AND (coalesce(residual_ratio, 0) >= 0.3 OR coalesce(edge_ratio, 0) >= 0.1) AS rest
+      FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, fingerprint) AS repeats FROM images) i LEFT JOIN image_analysis a ON a.doc_id = i.doc_id AND a.image_id = i.id),
+    s AS (SELECT doc_id, image_id, repeats, CASE WHEN status = 'error' THEN 'load failed' WHEN coalesce(status, '') <> 'ready' THEN 'analyzing' ELSE
+      concat_ws('; ', CASE WHEN repeats > 1 THEN 'repeated ' || repeats || 'x' END, CASE WHEN n < 1 THEN 'picture boxes < 1' END, CASE WHEN p < 0.12 THEN 'picture area < 12%' END,
+        CASE WHEN (n < 1 OR p < 0.12) AND NOT rest THEN 'below vision threshold' END) END AS skip_reasons FROM r)
+    SELECT *, skip_reasons = '' AS kept FROM s""")
+def residual_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The gate with the fallback on what is left beside the text."""
+    return L.decisions(table(spark, d, "images"), table(spark, d, "image_analysis"), L.Filters.of({"residual_fallback": True}))
+
+
+@query("""WITH r AS (SELECT i.doc_id, i.id, i.slide_hash, count(*) OVER (PARTITION BY i.doc_id, i.fingerprint) AS n FROM images i),
+    k AS (SELECT r.doc_id, r.slide_hash, a.status = 'ready' AND r.n <= 1 AND a.picture_box_count >= 1 AND a.picture_area_ratio >= 0.12 AS kept FROM r LEFT JOIN image_analysis a ON a.doc_id = r.doc_id AND a.image_id = r.id),
+    v AS (SELECT slide_hash, bool_or(coalesce(markdown_block, '') <> '') AS said FROM visual_descriptions WHERE slide_hash <> '' GROUP BY 1)
+    SELECT doc_id, count(*) AS rendered, count_if(kept)::BIGINT AS kept, count_if(kept AND slide_hash IN (SELECT slide_hash FROM v))::BIGINT AS hits, count_if(kept AND slide_hash NOT IN (SELECT slide_hash FROM v) AND slide_hash <> '')::BIGINT AS misses,
+      count_if(kept AND slide_hash IN (SELECT slide_hash FROM v WHERE said))::BIGINT AS described, count_if(kept AND coalesce(slide_hash, '') = '')::BIGINT AS failures FROM k GROUP BY doc_id""")
+def visual_run_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Of each deck: rendered and kept slides, cache hits and misses among the kept, usable descriptions, and slides that can't be described."""
+    images = table(spark, d, "images")
+    gate = L.decisions(images, table(spark, d, "image_analysis")).select("doc_id", "image_id", "kept").distinct()
+    said = D.is_usable(F.lit(None).cast("string"), F.col("markdown_block"))
+    held = table(spark, d, "visual_descriptions").where("slide_hash <> ''").groupBy("slide_hash").agg(F.bool_or(said).alias("said"))
+    rows = images.select("doc_id", F.col("id").alias("image_id"), "slide_hash").join(gate, ["doc_id", "image_id"]).join(held, "slide_hash", "left")
+    kept, none, hit = F.col("kept"), F.coalesce("slide_hash", F.lit("")) == "", F.col("said").isNotNull()
+    return rows.groupBy("doc_id").agg(
+        F.count("*").alias("rendered"), F.count_if(kept).alias("kept"), F.count_if(kept & hit).alias("hits"), F.count_if(kept & ~hit & ~none).alias("misses"),
+        F.count_if(kept & F.coalesce("said", F.lit(False))).alias("described"), F.count_if(kept & none).alias("failures"),
+    )
+
+
 @query("""SELECT i.doc_id, count(DISTINCT i.id) AS expected, count(DISTINCT a.image_id) AS analysed, count(DISTINCT i.id) = count(DISTINCT CASE WHEN status IN ('ready', 'error') THEN a.image_id END) AS done
     FROM images i LEFT JOIN image_analysis a ON a.doc_id = i.doc_id AND a.image_id = i.id GROUP BY 1""")
 def analysis_done(spark: SparkSession, d: str) -> DataFrame:
@@ -436,33 +547,39 @@ def parser_items(spark: SparkSession, d: str) -> DataFrame:
     return trees.items(documents, ["doc_id", "part"], "json").select("doc_id", "part", "ord", "page", F.sha2("text", 256).alias("text_hash"), "type")
 
 
-@query("""WITH refs AS (SELECT o_orderkey, unnest(['#/items~1' || o_orderkey || '~11', '#/items~1' || o_orderkey || '~12']) AS ref FROM orders)
-    SELECT r.o_orderkey, l_linenumber, l_partkey FROM refs r JOIN lineitem l ON '#/items/' || l_orderkey || '/' || l_linenumber = replace(replace(r.ref, '~1', '/'), '~0', '~')""")
+@query("""WITH i AS (SELECT DISTINCT doc_id, id, '#~1pages~1' || (page_number - 1) AS ref FROM images)
+    SELECT i.doc_id, i.id, c.chunk_id, c.idx FROM i JOIN chunks c ON c.doc_id = i.doc_id AND '#/pages/' || c.idx = replace(replace(i.ref, '~1', '/'), '~0', '~')""")
 def json_pointer_join(spark: SparkSession, d: str) -> DataFrame:
-    """References followed by an equi-join on the decoded pointer: each order's first two items."""
-    ref = F.explode(F.array(*[F.concat(F.lit("#/items~1"), "o_orderkey", F.lit(f"~1{n}")) for n in (1, 2)])).alias("ref")
-    refs = table(spark, d, "orders").select("o_orderkey", ref).withColumn("pointer", F.replace(F.replace("ref", F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
-    items = table(spark, d, "lineitem").select(F.concat(F.lit("#/items/"), "l_orderkey", F.lit("/"), "l_linenumber").alias("pointer"), "l_linenumber", "l_partkey")
-    return refs.join(items, "pointer").select("o_orderkey", "l_linenumber", "l_partkey")
+    """References followed by an equi-join on the decoded pointer: each slide's page."""
+    refs = table(spark, d, "images").select("doc_id", "id", F.concat(F.lit("#~1pages~1"), F.col("page_number") - 1).alias("ref")).distinct()
+    refs = refs.withColumn("pointer", F.replace(F.replace("ref", F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+    items = table(spark, d, "chunks").select("doc_id", F.concat(F.lit("#/pages/"), "idx").alias("pointer"), "chunk_id", "idx")
+    return refs.join(items, ["doc_id", "pointer"]).select("doc_id", "id", "chunk_id", "idx")
 
 
-@query("""SELECT i.doc_id, i.id AS ref, 'image' AS origin FROM (SELECT DISTINCT doc_id, id FROM images) i UNION ALL
-    SELECT DISTINCT doc_id, image_id, 'analysis' FROM image_analysis a WHERE NOT EXISTS (SELECT 1 FROM images i WHERE i.doc_id = a.doc_id AND i.id = a.image_id)""")
+@query("""WITH body AS (SELECT doc_id, source_path AS ref, min((idx, chunk_id)) AS place FROM chunks WHERE source_path IS NOT NULL GROUP BY ALL),
+    rest AS (SELECT DISTINCT doc_id, source_path AS ref FROM images i WHERE source_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM body b WHERE b.doc_id = i.doc_id AND b.ref = i.source_path)),
+    both_ AS (SELECT doc_id, ref, 'body' AS origin, place[1] AS a, place[2] AS b FROM body UNION ALL SELECT doc_id, ref, 'rest', NULL, NULL FROM rest)
+    SELECT doc_id, ref, origin, row_number() OVER (PARTITION BY doc_id ORDER BY origin, a, b, ref) - 1 AS ord FROM both_""")
 def body_order_union(spark: SparkSession, d: str) -> DataFrame:
-    """Items in their own order, and those known only from elsewhere behind them."""
-    own = table(spark, d, "images").select("doc_id", F.col("id").alias("ref")).distinct()
-    more = table(spark, d, "image_analysis").select("doc_id", F.col("image_id").alias("ref")).distinct().join(own, ["doc_id", "ref"], "left_anti")
-    return own.withColumn("origin", F.lit("image")).unionByName(more.withColumn("origin", F.lit("analysis")))
-
-
-@query("""SELECT l_orderkey, '| part | quantity | price |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
-    string_agg('| ' || l_partkey || ' | ' || l_quantity::BIGINT || ' | ' || floor(l_extendedprice)::BIGINT || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS grid, count(*) AS n FROM lineitem GROUP BY l_orderkey""")
+    """A deck's items in the order of its pages, each once, and behind them those that only its slides name."""
+    body = table(spark, d, "chunks").where("source_path IS NOT NULL").groupBy("doc_id", F.col("source_path").alias("ref")).agg(F.min(F.struct("idx", "chunk_id")).alias("at"))
+    rest = table(spark, d, "images").where("source_path IS NOT NULL").select("doc_id", F.col("source_path").alias("ref")).distinct().join(body, ["doc_id", "ref"], "left_anti")
+    rows = body.select("doc_id", "ref", F.lit("body").alias("origin"), "at").unionByName(rest.withColumn("origin", F.lit("rest")), allowMissingColumns=True)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("origin", "at.idx", "at.chunk_id", "ref"))
+    return rows.select("doc_id", "ref", "origin", (place - 1).alias("ord"))
+
+
+@query(rf"""WITH l AS (SELECT chunk_id, list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\|.*\|\s*$') AND NOT regexp_matches(x, '^\|[-:| ]+\|\s*$')) AS ls FROM chunks WHERE content IS NOT NULL),
+    c AS (SELECT chunk_id, list_filter(list_transform(ls, lambda x: list_transform(string_split(regexp_replace(x, '^\||\|\s*$', '', 'g'), '|'), lambda v: {strip_sql(f"regexp_replace(v, '{WS}+', ' ', 'g')")})), lambda r: len(list_filter(r, lambda v: v <> '')) > 0) AS rs FROM l),
+    w AS (SELECT *, list_max(list_transform(rs, lambda r: len(r))) AS n FROM c WHERE len(rs) > 0),
+    f AS (SELECT *, list_transform(rs, lambda r: '| ' || array_to_string(list_resize(r, n, ''), ' | ') || ' |') AS t FROM w)
+    SELECT chunk_id, len(rs) AS cell_rows, n AS cell_columns, t[1] || chr(10) || '| ' || array_to_string(list_transform(range(n), lambda x: '---'), ' | ') || ' |' ||
+      CASE WHEN len(t) > 1 THEN chr(10) || array_to_string(t[2:], chr(10)) ELSE '' END AS grid FROM f""")
 def table_cells_markdown(spark: SparkSession, d: str) -> DataFrame:
-    cells = F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("l_quantity").cast("bigint").cast("string"), F.lit(" | "), F.floor("l_extendedprice").cast("string"), F.lit(" |"))
-    rows = table(spark, d, "lineitem").withColumn("row", cells)
-    grid = M.joined(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "row", "\n", "rows")
-    n = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return grid.join(n, "l_orderkey").select("l_orderkey", F.concat(F.lit("| part | quantity | price |\n| --- | --- | --- |\n"), "rows").alias("grid"), "n")
+    """The cells of each page's pipe rows as one grid, written as a table: the first row with any text is the head."""
+    rows = table(spark, d, "chunks").where("content IS NOT NULL").select("chunk_id", T.cells(F.col("content")).alias("cells")).where(F.size("cells") > 0)
+    return rows.select("chunk_id", F.size("cells").alias("cell_rows"), F.array_max(F.transform("cells", F.size)).alias("cell_columns"), T.pipe_table(F.col("cells")).alias("grid"))
 
 
 # -- streams -------------------------------------------------------------------------------------------------------------
@@ -472,7 +589,17 @@ def table_cells_markdown(spark: SparkSession, d: str) -> DataFrame:
 def stream_hourly_events(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
     stream = ingest.arriving(spark, path, spark.read.parquet(path).schema)
-    done = ingest.run_to_table(ingest.windowed_counts(stream, "ts", "event_type", late="3650 days"))
+    done = ingest.run_to_table(ingest.windowed_counts(stream, "ts", "event_type", late="3650 days"), "complete")
+    return done.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL""")
+def stream_closed_hours(spark: SparkSession, d: str) -> DataFrame:
+    """The hours that the watermark, two hours behind the newest event, has closed; each is written once."""
+    path = f"{d}/events.parquet"
+    stream = ingest.arriving(spark, path, spark.read.parquet(path).schema)
+    done = ingest.run_to_table(ingest.windowed_counts(stream, "ts", "event_type"))
     return done.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 

@@ -72,6 +72,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that fit a pattern."""
+    fs, where = _files(spark, pattern)
+    return [x.getPath().toString() for x in fs.globStatus(where) or []]
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, where = _files(spark, path)
+    return fs.exists(where) and fs.getFileStatus(where).isFile()
+
+
 def release(spark: SparkSession) -> None:
     """Delete all that this application has stored, once its results are written."""
     fs, where = _files(spark, work_dir(spark))

@@ -43,6 +43,16 @@ def pages(decks: DataFrame, readers: list[Callable[[bytes], list[str]]]) -> Data
     return decks.select("path", "content").mapInPandas(run, PAGES)
 
 
+def write_sections(sections: DataFrame, root: str) -> None:
+    """The sections of all documents as text in order, in files of about one size; a document may go over several, one after the other."""
+    sections.repartitionByRange("doc_id", "idx", "chunk_id").sortWithinPartitions("doc_id", "idx", "chunk_id").select("doc_id", "section").write.mode("overwrite").parquet(root)
+
+
+def newest(files: DataFrame) -> DataFrame:
+    """(folder, path): the file of each folder that was written last; of equals the one whose path is last."""
+    return files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+
+
 def write_markdown(rows: DataFrame, root: str) -> None:
     """One folder per document, named after the deck, with its parts as text files."""
     rows.select(base_name(F.col("file_name")).alias("deck"), F.col("markdown").alias("value")).write.partitionBy("deck").mode("overwrite").text(root)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cache import read_version, upserted, write_version
-from ..session import shared_dir
+from ..session import is_file, work_dir
 
 
 def arriving(spark: SparkSession, path: str, schema, files: int = 8) -> DataFrame:
     """A stream of the parquet files at ``path`` (a folder, or one file), ``files`` of them in a batch."""
-    folder = path if os.path.isdir(path) else f"{os.path.dirname(path)}/[{os.path.basename(path)[0]}]{os.path.basename(path)[1:]}"
+    folder, _, name = path.rstrip("/").rpartition("/")
+    # a stream reads folders; a pattern that only this name fits makes one file a folder of its own
+    one = name.endswith(".parquet") and is_file(spark, path)
+    folder = f"{folder}/[{name[0]}]{name[1:]}" if one else path
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
@@ -23,10 +25,8 @@ def upsert_stream(stream: DataFrame, root: str, keys: list[str], keep: list[str]
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, _: int) -> None:
-        try:
-            held = read_version(spark, root)
-        except Exception:  # noqa: BLE001  no version yet
-            held = batch.limit(0)
+        held = read_version(spark, root)
+        held = batch.limit(0) if held is None else held
         write_version(upserted(held, batch, keys, keep, order), root)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
@@ -39,10 +39,11 @@ def windowed_counts(stream: DataFrame, at: str, by: str, width: str = "1 hour",
     return rows.groupBy(F.window("_at", width), by).agg(F.count("*").alias("n"))
 
 
-def run_to_table(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run the stream over all that is there, write what each batch gives, and read the last state."""
+def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run the stream over all that is there, write what each batch gives, and read the result. In append mode a window is written once it is
+    closed, so those that the watermark hasn't passed yet are still to come."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/rows")

@@ -5,6 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pagewright.functions import geometry as G
+from pagewright.functions import text as T
 from pagewright.operators import cache as C
 from pagewright.operators import describe as D
 from pagewright.operators import layout as L
@@ -153,3 +155,94 @@ def test_reading_order(spark):
     rows = [(r.id, r.ref, r.page, r.text, r.type) for r in trees.items(df, ["id"], "j").orderBy("id", "ord").collect()]
     assert [r[1] for r in rows] == ["#/texts/1", "#/groups~1x/0", "#/texts/0", "#/texts/2", "#/tables/0"]
     assert [r[2] for r in rows] == [None, 3, 3, None, None] and [r[4] for r in rows][-1] == "table" and {r[0] for r in rows} == {1}
+
+
+# -- rules of the second round -------------------------------------------------------------------------------------------
+
+
+def test_boxes_under_other_names_and_from_below(spark):
+    rows = [('{"left": 5, "x1": 9, "top": 7, "y0": 1}',), ('{"l": 1, "r": 2, "t": 3}',), ('{"x0": 0, "right": 4, "y1": 0, "bottom": 2, "coord_origin": "topleft"}',), (None,)]
+    out = [r.b for r in spark.createDataFrame(rows, "j string").select(G.box_from_json(F.col("j")).alias("b")).collect()]
+    assert tuple(out[0]) == (5.0, 9.0, 7.0, 1.0, "BOTTOMLEFT") and out[1] is None and tuple(out[2]) == (0.0, 4.0, 0.0, 2.0, "TOPLEFT") and out[3] is None
+    box = spark.createDataFrame([((2.0, 98.0, 97.0, 1.0, None),), ((0.0, 100.0, 0.0, 70.0, "TOPLEFT"),)], "b struct<l double, r double, t double, b double, coordOrigin string>")
+    flags = box.select(G.is_page_sized(F.col("b"), F.lit(100.0), F.lit(100.0)).alias("p"), G.is_valid(F.col("b")).alias("v"), G.to_canvas(F.col("b"), F.lit(100.0), F.lit(100.0), F.lit(200.0), F.lit(200.0)).alias("c")).collect()
+    assert [(r.p, r.v, r.c.y) for r in flags] == [(True, True, 6.0), (False, True, 0.0)]
+    sizes = spark.createDataFrame([('{"page_size": {"width": 10, "height": "20"}}',), ('{"width": 0, "height": 3}',)], "j string").select(G.page_size_from_json(F.col("j")).alias("s")).collect()
+    assert tuple(sizes[0].s) == (10.0, 20.0) and sizes[1].s is None
+
+
+def test_tables_formats_and_sources(spark):
+    text = "| a | b |\n|---|:-:|\n| 1 |  2   3 | 4 |\n|  |  |\nno row"
+    one = spark.createDataFrame([(text, "Section_Header", "A title", "list_item", "point", " " + "QUJD" * 30, "jpg")], "t string, l string, x string, m string, y string, b string, k string")
+    out = one.select(
+        T.pipe_table(T.cells(F.col("t"))).alias("table"), T.formatted(F.col("l"), F.col("x")).alias("head"), T.formatted(F.col("m"), F.col("y")).alias("entry"),
+        T.formatted(F.col("m"), F.lit("- x")).alias("own"), T.image_source(F.col("b"), F.col("k")).alias("uri"), T.image_source(F.lit("short"), F.col("k")).alias("none"),
+    ).first()
+    assert out.table == "| a | b |  |\n| --- | --- | --- |\n| 1 | 2 3 | 4 |"
+    assert (out.head, out.entry, out.own, out.none) == ("## A title", "- point", "- x", "") and out.uri == "data:image/jpeg;base64," + "QUJD" * 30
+    sizes = spark.createDataFrame([(0,), (900,), (1536,), (15 * 1024 + 700,), (5 << 40,)], "n bigint").select(T.file_size_label(F.col("n")).alias("s"))
+    assert [r.s for r in sizes.collect()] == ["0 B", "900 B", "1.5 KB", "16 KB", "5120 GB"]
+
+
+def test_more_than_two_hundred_pages_are_one_document(spark):
+    rows = [(k, "d", k, (k % 150) + 1 if k < 230 else None, f"text {k}") for k in range(231)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, doc_id string, idx int, pageno int, content string")
+    whole = M.page_markdown(chunks).collect()
+    assert len(whole) == 1 and whole[0].markdown.count("\n\n---\n\n") == 230
+    pages = M.page_aware_markdown(chunks).collect()[0].markdown.split("\n\n---\n\n")
+    assert pages[0] == "[Page 1]\n\ntext 0\n\ntext 150" and pages[9].startswith("[Page 10]") and pages[-1] == "[Page Unknown]\n\ntext 230" and len(pages) == 151
+
+
+def test_strict_lookup_and_read_through(spark):
+    cache = spark.createDataFrame([("n", "h1", 1, "old"), ("n", "h1", 2, "new"), ("n", None, 3, "none")], "namespace string, slide_hash string, at int, block string")
+    wanted = spark.createDataFrame([("n", "h1"), ("m", "h1"), ("n", None)], "namespace string, slide_hash string")
+    out = C.strict_lookup(wanted, cache, ["namespace", "slide_hash"], ["block"], "at").collect()
+    assert sorted((r.namespace, r.slide_hash or "", r.cached_block, r.hit) for r in out) == [("m", "h1", None, False), ("n", "", None, False), ("n", "h1", "new", True)]
+    images = spark.createDataFrame([("d", "a", "h1", 10), ("d", "b", "h2", 10), ("e", "c", "h2", 10), ("d", "x", "h3", 10), ("d", "z", "", 10), ("d", "y", "h4", 99)], "doc_id string, id string, slide_hash string, byte_estimate bigint")
+    held = spark.createDataFrame([(1, "h1", "block", 5)], "desc_id bigint, slide_hash string, markdown_block string, updated_at int")
+
+    def call(job):
+        if job["slide_hash"] == "h3":
+            raise ValueError("no answer")
+        return "said " + job["slide_hash"]
+
+    answers, new = D.read_through(images, held, call, most=50, at_once=2)
+    assert {(r.image_id, r.status, r.content) for r in answers.collect()} == {("a", "hit", "block"), ("b", "miss", "said h2"), ("c", "miss", "said h2"), ("x", "error", None), ("y", "error", None), ("z", "error", None)}
+    assert [(r.slide_hash, r.content) for r in new.collect()] == [("h2", "said h2")]
+
+
+def test_clusters_do_not_depend_on_order():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 30, 80):
+        x = rng.uniform(0, 600, (n, 2))
+        boxes = np.c_[x[:, 0], x[:, 0] + rng.uniform(1, 60, n), x[:, 1], x[:, 1] + rng.uniform(1, 60, n)]
+        near = lambda a, b: max(a[0], b[0]) - min(a[1], b[1]) <= 12 and max(a[2], b[2]) - min(a[3], b[3]) <= 12
+        label = list(range(n))
+        for _ in range(n):
+            label = [min(label[j] for j in range(n) if j == i or near(boxes[i], boxes[j])) for i in range(n)]
+        assert L.components(boxes, 12.0).tolist() == label
+
+
+def test_versions_survive_a_lost_pointer(spark, tmp_path):
+    root = str(tmp_path / "t")
+    assert C.read_version(spark, root) is None
+    C.write_version(spark.createDataFrame([(1,)], "x int"), root)
+    (tmp_path / "t" / "pointers" / "n=000000000002").mkdir()  # a write that was lost before it was whole
+    assert [r.x for r in C.read_version(spark, root).collect()] == [1]
+
+
+def test_newest_and_late_windows(spark, tmp_path):
+    found = spark.createDataFrame([("f/a.pdf", 1), ("f/b.pdf", 2), ("g/c.pdf", 2), ("g/d.pdf", 2)], "path string, modificationTime int")
+    assert sorted((r.folder, r.path) for r in files.newest(found).collect()) == [("f", "f/b.pdf"), ("g", "g/d.pdf")]
+    source = tmp_path / "in"
+    at = lambda h: f"2025-01-01 {h:02}:10:00"
+    for n, hours in enumerate(([1, 1, 2], [9], [10], [1, 20])):  # the last batch brings a row that comes 18 hours late
+        spark.createDataFrame([(at(h), "k") for h in hours], "t string, kind string").selectExpr("cast(t as timestamp) as ts", "kind").coalesce(1).write.mode("append").parquet(str(source))
+        import time
+
+        time.sleep(1.1)
+    stream = ingest.arriving(spark, str(source), spark.read.parquet(str(source)).schema, files=1)
+    done = ingest.run_to_table(ingest.windowed_counts(stream, "ts", "kind"))
+    assert sorted((r["window"].start.hour, r.n) for r in done.collect()) == [(1, 2), (2, 1), (9, 1), (10, 1)]
