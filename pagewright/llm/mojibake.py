@@ -3,7 +3,9 @@
 Round-trip repair. Bytes of 0x80 and above are characters outside ASCII in every legacy encoding, so what was garbled is a
 run of such characters. Each run is encoded again under every candidate encoding and the bytes are decoded strictly as
 UTF-8; the result is accepted when its garbling cost is lower than the run's, and the step is repeated for text that was
-garbled more than once. Cyrillic of a one-byte encoding that was read as a western one is decoded as what it was meant to be. A run that has right and wrong characters side by side is repaired in its decodable parts.
+garbled more than once, until the cost falls no more. Cyrillic of a one-byte encoding that was read as a western one is put back
+run by run in the same way: encoded, strictly decoded as Cyrillic, and accepted where the garbling cost falls; for its letters the
+cost is that of how vowels and consonants follow each other, and a page has to show it in one run of five letters or in eight letters of different runs. A run that has right and wrong characters side by side is repaired in its decodable parts.
 Replacement characters, and leftovers of a sequence that lost bytes, mark a run as affected though nothing can restore it.
 
 The work is per row without any shuffle; runs recur, so each task remembers the verdicts of up to ``MEMO`` runs.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: The encodings that text is mistaken for.
 CANDIDATES = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "cp1250", "iso8859_15", "mac_cyrillic")
-LAYERS, MEMO = 4, 200_000
+MEMO = 200_000
 
 RUN = re.compile(r"[^\x00-\x7f]+")
 _SEQUENCE = re.compile(r"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3})+")
@@ -83,20 +85,50 @@ def _undo(run: str) -> str | None:
 def repair_run(run: str) -> tuple[str, int, bool]:
     """(text, layers taken off, whether garbled characters remain)."""
     layers = 0
-    while layers < LAYERS and (better := _undo(run)) is not None:
+    while (better := _undo(run)) is not None:
         run, layers = better, layers + 1
     return run, layers, bool(_CONTROL.search(run))
 
 
-def _one_byte(text: str) -> str | None:
-    """The text with Cyrillic restored that was read as western text, or None. Of two encodings the one that gives more small letters is meant."""
-    if not any(sum(c.isalpha() for c in m) >= 3 for m in _WESTERN_ONLY.findall(text)):
+_VOWELS = frozenset("аеёиоуыэюяѐіїєў")
+
+
+def letter_cost(run: str) -> int:
+    """Garbling cost of the letters in a run: each pair of letters costs 1 where a vowel and a consonant meet and 2 otherwise; 3 where accented western letters
+    stand side by side, or a small letter before a capital. A sign among letters costs 3."""
+    cost = 0
+    for a, b in zip(run, run[1:]):
+        if not (a.isalpha() and b.isalpha()):
+            cost += 3 if a.isalpha() != b.isalpha() and not (a.isspace() or b.isspace()) else 0
+        elif a.islower() and b.isupper() or (a > "\x7f" and b > "\x7f" and (a < "\u0250") and (b < "\u0250")):
+            cost += 3
+        else:
+            cost += 1 if (a.lower() in _VOWELS) != (b.lower() in _VOWELS) else 2
+    return cost
+
+
+def _decoded(run: str, encoding: str) -> str | None:
+    try:
+        return run.encode("cp1252" if any(c > "\xff" for c in run) else "latin-1").decode(encoding)
+    except UnicodeError:
         return None
 
-    def read_as(encoding: str) -> str:
-        return _WESTERN.sub(lambda m: m.group().encode("latin-1").decode(encoding, "replace"), text)
 
-    return max(map(read_as, _SINGLE), key=lambda t: len(re.findall(r"[а-яё]", t)))
+def _one_byte(text: str) -> str | None:
+    """The text with Cyrillic restored that was read as western text, or None. The encoding is the one by which the cost falls most; runs
+    that it can't decode, or makes no better, stay."""
+    shown = {m for m in _WESTERN_ONLY.findall(text) if sum(c.isalpha() for c in m) >= 3}
+    if sum(map(len, shown)) < 8 and max(map(len, shown), default=0) < 5:
+        return None
+    runs = set(_WESTERN.findall(text))
+    best: dict[str, str] = {}
+    gained = 0
+    for encoding in _SINGLE:
+        out = {r: d for r in runs if (d := _decoded(r, encoding)) is not None and (letter_cost(d) < letter_cost(r) or len(r) == 1 and d.isalpha() and _CYRILLIC.match(d))}
+        gain = sum(letter_cost(r) - letter_cost(d) for r, d in out.items())
+        if gain > gained and any(r in out for r in shown):
+            best, gained = out, gain
+    return _WESTERN.sub(lambda m: best.get(m.group(), m.group()), text) if best else None
 
 
 def repair(text: str, memo: dict) -> tuple[str, int, bool] | None:

@@ -7,7 +7,7 @@ by best-fit decreasing in its own task.
 A dual-feasible function f maps sizes so that no full container holds more than 1 of it; the sum of f over the items, rounded
 up, bounds the number of bins from below. The largest bound over a family of such functions certifies a shard's result: where
 bins and bound agree, it is optimal. Shards with a gap hand the items of their worst-filled bins over; these are mixed anew
-over fewer shards and packed again, and the outcome is kept only if it saves bins. ``certificate`` compares the whole
+over fewer shards and packed again, the outcome is kept only if it saves bins, and this goes on while it does. ``certificate`` compares the whole
 result with the bound over all items, which comes from the histogram of sizes (at most ``capacity`` rows).
 
 Nulls and odd rows: a null or empty text has no tokens and takes no place; null ids are left out; copies and an id that occurs
@@ -21,6 +21,7 @@ import base64
 import bisect
 import os
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from ..session import stored
 TOKENIZER = os.environ.get("PAGEWRIGHT_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the pattern that cuts text before the merges of that vocabulary.
 CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SHARD_ITEMS, ROUNDS, PIECE = 20_000, 2, 1_000_000
+SHARD_ITEMS = 20_000
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = TOKENIZER) -> DataFrame:
@@ -113,14 +114,14 @@ def _packed(rows: DataFrame, capacity: int) -> DataFrame:
     return rows.groupBy("shard").applyInPandas(run, schema)
 
 
-def pack(sizes: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(bin_id, item_id, piece, tokens). Bins are named by the round and shard that made them."""
     items = stored(pieces(sizes, capacity), "pieces")
     n = items.count()
     shards = max(1, -(-n // shard_items))
     spread = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)).cast("int"))
     now = stored(_packed(spread, capacity).withColumn("round", F.lit(0)), "packed")
-    for step in range(1, rounds + 1):
+    for step in count(1):  # until an exchange saves no bin
         # bins filled worse than their shard's gap explains are opened again: those with the most room, and more for a larger gap
         gaps = now.groupBy("shard", "round").agg(F.max("gap").alias("gap"), F.count_distinct("bin").alias("bins"), F.sum("tokens").alias("t"))
         total = gaps.agg(F.sum("gap").alias("gap"), F.sum("bins").alias("bins"), F.sum("t").alias("t")).first()

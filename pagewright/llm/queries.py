@@ -53,21 +53,35 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "chunks"))
 
 
+def _line_state(spark: SparkSession, d: str) -> site_lines.LineState:
+    """Two partitions by time of arrival: the table as it was 90 days before its newest page, and what came since."""
+    pages = table(spark, d, "chunks")
+    newest = pages.agg(F.max("ingested_at").alias("t")).first().t
+    new = F.coalesce(F.col("ingested_at") >= F.lit(newest) - F.expr("interval 90 days"), F.lit(True))
+    state = site_lines.LineState(spark)
+    for part in (pages.where(~new), pages.where(new)):
+        state.merge(part)
+    return state
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.repeated_lines(table(spark, d, "chunks")).select("chunk_id", "line_no")
+    return _line_state(spark, d).cases().select("chunk_id", "line_no")
 
 
 def p5_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "chunks")
-    return site_lines.without_lines(pages, site_lines.repeated_lines(pages))
+    return site_lines.without_lines(table(spark, d, "chunks"), _line_state(spark, d).cases())
 
 
 def p5_newly_crossed(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that pass the thresholds only once the pages ingested in the last 90 days of the table are merged."""
-    pages = table(spark, d, "chunks")
-    newest = pages.agg(F.max("ingested_at").alias("t")).first().t
-    new = F.coalesce(F.col("ingested_at") >= F.lit(newest) - F.expr("interval 90 days"), F.lit(True))
-    return site_lines.newly_crossed(pages.where(~new), pages.where(new)).select("site", "docs")
+    """Lines that the pages of the last 90 days took over the thresholds or below them, each named by its first page and line."""
+    state = _line_state(spark, d)
+    at = state.table("lines").join(state.crossings(), ["site", "key"]).groupBy("site", "key", "docs", "direction").agg(F.min(F.struct("chunk_id", "line_no")).alias("at"))
+    return at.select("site", "at.chunk_id", "at.line_no", "docs", "direction")
+
+
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that those lines stand on, rebuilt."""
+    return site_lines.rebuilt(table(spark, d, "chunks"), _line_state(spark, d))
 
 
 def _containers(spark: SparkSession, d: str) -> list[tuple[str, int]]:
@@ -150,6 +164,18 @@ crossed AS (
   SELECT site, k FROM long JOIN sizes USING (site) GROUP BY site, k, n
   HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) >= 0.05 * n)"""
 
+#: The lines that cross with the pages of the last 90 days.
+_CROSSINGS = r"""
+all_ AS (SELECT *, coalesce(ingested_at >= (SELECT max(ingested_at) FROM chunks) - INTERVAL 90 DAY, true) AS new FROM chunks WHERE documentname IS NOT NULL),
+l AS (
+  SELECT chunk_id, doc_id, split_part(lower(documentname), '/', 1) AS site, new, i - 1 AS line_no,
+         regexp_replace(lower(string_split(content, chr(10))[i]), '[^\p{L}]', '', 'g') AS k
+  FROM all_, generate_series(1, len(string_split(content, chr(10)))) AS g(i) WHERE content IS NOT NULL),
+n AS (SELECT split_part(lower(documentname), '/', 1) AS site, count(DISTINCT doc_id) AS n1, count(DISTINCT doc_id) FILTER (WHERE NOT new) AS n0 FROM all_ GROUP BY 1),
+c AS (SELECT site, k, count(DISTINCT doc_id) AS d1, count(DISTINCT doc_id) FILTER (WHERE NOT new) AS d0, min((chunk_id, line_no)) AS place FROM l WHERE length(k) >= 20 GROUP BY ALL),
+s AS (SELECT *, d1 >= 4 AND d1 >= 0.05 * n1 AS now, d0 >= 4 AND d0 >= 0.05 * n0 AS was FROM c JOIN n USING (site)),
+moved AS (SELECT * FROM s WHERE now <> was)"""
+
 _GRAMS = r"""
 w AS (SELECT item_id AS id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS a FROM eval_items),
 q AS (SELECT DISTINCT id AS item_id, array_to_string(a[i:i + 11], ' ') AS g FROM w, generate_series(1, len(a) - 11) AS s(i)),
@@ -166,6 +192,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT l.chunk_id, coalesce(string_agg(string_split(c.content, chr(10))[l.line_no + 1], chr(10) ORDER BY l.line_no) FILTER (WHERE b.line_no IS NULL), '') AS content
             FROM lines l JOIN chunks c USING (chunk_id) LEFT JOIN bad b USING (chunk_id, line_no)
             WHERE chunk_id IN (SELECT chunk_id FROM bad) GROUP BY l.chunk_id""",
+        "p5_newly_crossed": f"""WITH {_CROSSINGS}
+            SELECT site, place[1] AS chunk_id, place[2] AS line_no, CASE WHEN now THEN d1 ELSE d0 END AS docs, CASE WHEN now THEN 'up' ELSE 'down' END AS direction FROM moved""",
+        "p5_rebuilt": f"""WITH {_CROSSINGS}, touched AS (SELECT DISTINCT chunk_id FROM l JOIN moved USING (site, k)),
+            bad AS (SELECT DISTINCT chunk_id, line_no FROM l JOIN s USING (site, k) WHERE s.now)
+            SELECT l.chunk_id, coalesce(string_agg(string_split(p.content, chr(10))[l.line_no + 1], chr(10) ORDER BY l.line_no) FILTER (WHERE b.line_no IS NULL), '') AS content
+            FROM l JOIN touched USING (chunk_id) JOIN chunks p USING (chunk_id) LEFT JOIN bad b USING (chunk_id, line_no) GROUP BY l.chunk_id""",
         "p7_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM hits",
         "p7_proximity": r"""WITH w AS (SELECT DISTINCT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS a FROM eval_items),
             q AS (SELECT item_id, i - 1 AS off, array_to_string(a[i:i + 4], ' ') AS g FROM w, generate_series(1, len(a) - 4) AS s(i) WHERE len(a) >= 12),

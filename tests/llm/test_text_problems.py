@@ -30,6 +30,25 @@ def test_right_text_is_left_alone(text):
     assert mojibake.repair(text, {}) is None
 
 
+@pytest.mark.parametrize("text", ["Das ÄÖÜ « Zeichen » ± 5 µ 20 °", "ÀÉÈ été", "ÜÖÄ und ÄÖÜ", "Æ Ø Å"])
+def test_a_few_accented_capitals_are_right(text):
+    assert mojibake.repair(text, {}) is None
+
+
+@pytest.mark.parametrize("encoding", ["cp1251", "koi8_r"])
+def test_cyrillic_of_one_byte(encoding):
+    text = "Сравнение ледников и рек: таблица по теме, см. рисунок 4"
+    fixed, layers, rest = mojibake.repair("Title\n" + text.encode(encoding).decode("latin-1") + "\nnaïve end", {})
+    assert (fixed, layers, rest) == ("Title\n" + text + "\nnaïve end", 1, False)
+
+
+def test_five_layers():
+    bad = "é"
+    for _ in range(5):
+        bad = bad.encode().decode("latin-1")
+    assert mojibake.repair(bad, {}) == ("é", 5, False)
+
+
 def test_garbled_table(spark):
     rows = [(1, "naÃ¯ve", "x"), (2, None, "x"), (3, "", "x"), (4, "fine", "x"), (4, "Ã¼", "x"), (5, "Ã¼ " * 50_000, "x")]
     df = spark.createDataFrame(rows, "chunk_id bigint, content string, restored string")
@@ -67,6 +86,30 @@ def test_deltas_add_up(spark):
     assert site_lines.newly_crossed(pages, new).count() == 0
 
 
+def test_state_is_kept_and_old_pages_are_not_read_again(spark, tmp_path):
+    line = "All rights reserved by the course office"
+    page = lambda k, doc, *more: (k, doc, "a.example/x", "\n".join([*more, f"own {k}"]), None)
+    frame = lambda rows: spark.createDataFrame(rows, PAGES.replace("site string", "extra string"))
+    first = [page(k, f"d{k}", line) for k in range(3)]
+    state = site_lines.LineState(spark, str(tmp_path / "state"))
+    state.merge(frame(first))
+    assert state.crossings().count() == 0
+    second = [page(3, "d3", line), page(4, "d2", line), page(5, "d5")]
+    state = site_lines.LineState(spark, str(tmp_path / "state"))  # opened again
+    assert state.deltas == 1
+    state.merge(frame(second))
+    assert [(r.site, r.docs, r.direction) for r in state.crossings().collect()] == [("a.example", 4, "up")]
+    assert sorted(r.chunk_id for r in state.cases().collect()) == [0, 1, 2, 3, 4]
+    assert sorted((r.chunk_id, r.content) for r in site_lines.rebuilt(frame(first + second), state).collect()) == [(k, f"own {k}") for k in range(5)]
+    # as the site grows the line falls below a share of it, and its pages are made whole again
+    third = [page(10 + k, f"e{k}") for k in range(90)]
+    state.merge(frame(third))
+    assert [(r.docs, r.direction) for r in state.crossings().collect()] == [(4, "down")] and state.cases().count() == 0
+    assert sorted((r.chunk_id, r.content) for r in site_lines.rebuilt(frame(first + second + third), state).collect()) == [(k, f"{line}\nown {k}") for k in range(5)]
+    state.merge(frame(third[:0]))
+    assert state.crossings().count() == 0 and state.touched().count() == 0
+
+
 # -- cut values ----------------------------------------------------------------------------------------------------------
 
 
