@@ -2,14 +2,15 @@
 
 A similarity self-join on sets of distinct word n-grams (``n`` = 3, Jaccard >= 0.6), exact: it reports every pair.
 
-1. *Scan.* One pass hashes each text's n-grams, adds them to a count sketch of ``2**SKETCH_BITS`` buckets, and keeps a
-   128-bit fingerprint of the set. The summed sketch orders n-grams rare-first; any fixed order is correct, and this one
-   keeps lists short. It has one byte a bucket, whatever the input, so it can be broadcast.
+1. *Scan.* One pass hashes each text's n-grams, adds them to a count sketch, and keeps a 128-bit fingerprint of the set. The
+   sketches, of as many tasks at most as the cluster has cores times ``TASKS_A_CORE``, are added up in two levels and order
+   n-grams rare-first; any fixed order is correct, and this one keeps lists short. It has a bucket for every
+   ``NGRAMS_A_BUCKET`` n-grams, and one byte a bucket, 2**24 at most, so it can be broadcast.
 2. *Copies.* Records with one fingerprint are the same set. Only the one with the least id takes part in the join, so that a
-   text repeated in a third of all rows is one record; its copies are put back at the end.
+   text repeated in a third of all rows is one record; its copies are put back at the end, large groups of them in parts.
 3. *Prefix index.* Sets that reach the threshold share one of their first ``size - ceil(t * size) + 1`` n-grams. Postings
    ``(n-gram, position, record)`` of the prefixes go to buckets by n-gram, packed in columnar blocks with each record's id,
-   size and parity bitmap once a block. A list that the sketch says may be long is split in ``s`` parts, and every pair
+   size and parity bitmap once a block. A list that the sketch says may be long, far above the mean of its buckets, is split in ``s`` parts, and every pair
    of parts is a bucket entry of its own, so that no task has to hold or pair a whole long list.
 4. *Filters.* In a bucket, lists are sorted by size. The length filter bounds the range of partners, the positional filter
    what can still be shared behind the common n-gram, the suffix filter the symmetric difference, for which the bitmaps'
@@ -34,7 +35,9 @@ from ..session import stored
 from .words import WordHashes, gram_hashes, hashed_words, mix
 
 N, THRESHOLD, MIN_WORDS = 3, 0.6, 30
-SKETCH_BITS, SLICES = 22, 64
+SKETCH_BITS, BITS_LEAST, BITS_MOST, SLICES, NGRAMS_A_BUCKET, TASKS_A_CORE = 22, 16, 24, 64, 8, 8
+#: Copies of one text in a part of their group.
+COPIES_AT_ONCE = 5000
 #: Words of 64 bits in a parity bitmap: the least, and the most however large a set is.
 BITMAP_LEAST, BITMAP_MOST = 4, 512
 #: Postings that a bucket should have, postings of a list from which it is split, and pairs formed at once in a task.
@@ -65,18 +68,24 @@ def _records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def scan(records: DataFrame, n: int, min_words: int) -> DataFrame:
+def sketch_bits(records: DataFrame) -> int:
+    """Binary logarithm of the sketch's buckets, from the length of all texts (about six characters to a word)."""
+    chars = records.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    return min(BITS_MOST, max(BITS_LEAST, round(math.log2(max(chars, 1) / 6 / NGRAMS_A_BUCKET))))
+
+
+def scan(records: DataFrame, n: int, min_words: int, bits: int = SKETCH_BITS) -> DataFrame:
     """Rows of two kinds: (slice, counts) with the task's sketch, and (id, size, fp_a, fp_b) of each record."""
-    width = (1 << SKETCH_BITS) // SLICES
+    width = (1 << bits) // SLICES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        memo, counts = WordHashes(), np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for pdf in _slices(batch):
                 h, sizes = gram_sets(pdf["text"], memo, n, min_words)
                 if not len(h):
                     continue
-                np.add.at(counts, (h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), np.uint32(1))
+                np.add.at(counts, (h & np.uint64((1 << bits) - 1)).astype(np.int64), np.uint32(1))
                 has = sizes > 0
                 starts = (np.cumsum(sizes) - sizes)[has]
                 a, b = np.add.reduceat(mix(h), starts), np.bitwise_xor.reduceat(mix(h ^ np.uint64(0x9E3779B97F4A7C15)), starts)
@@ -86,24 +95,33 @@ def scan(records: DataFrame, n: int, min_words: int) -> DataFrame:
             if part.any():
                 yield pd.DataFrame({"slice": [k], "counts": [part.tobytes()], "id": None, "size": None, "fp_a": None, "fp_b": None})
 
-    return records.mapInPandas(run, "slice int, counts binary, id bigint, size int, fp_a bigint, fp_b bigint")
+    some = records.coalesce(TASKS_A_CORE * records.sparkSession.sparkContext.defaultParallelism)
+    return some.mapInPandas(run, "slice int, counts binary, id bigint, size int, fp_a bigint, fp_b bigint")
 
 
-def rarity(scanned: DataFrame) -> np.ndarray:
+def rarity(scanned: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     """One byte a bucket: four times the binary logarithm of its count."""
-    width = (1 << SKETCH_BITS) // SLICES
+    width = (1 << bits) // SLICES
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def added(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for k, c in zip(pdf["slice"], pdf["counts"]):
-                sums[k] = sums.get(k, np.zeros(width, np.uint64)) + np.frombuffer(c, np.uint32)
-        for k, c in sums.items():
+                sums[k] = sums.get(k, np.zeros(width, np.uint64)) + np.frombuffer(c, np.uint32 if len(c) == 4 * width else np.uint64)
+        return sums
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, c in added(batches).items():
+            yield pd.DataFrame({"slice": [k], "counts": [c.tobytes()]})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, c in added(batches).items():
             yield pd.DataFrame({"slice": [k], "level": [np.round(4 * np.log2(c + 1.0)).astype(np.uint8).tobytes()]})
 
-    parts = scanned.where(F.col("slice").isNotNull()).select("slice", "counts").repartition(8, "slice").mapInPandas(add, "slice int, level binary")
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in parts.toLocalIterator():  # 2**SKETCH_BITS bytes in all
+    sketches = scanned.where(F.col("slice").isNotNull()).select("slice", "counts").withColumn("some", F.spark_partition_id() % 8)
+    once = sketches.repartition(32, "slice", "some").select("slice", "counts").mapInPandas(part, "slice int, counts binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in once.repartition(8, "slice").mapInPandas(whole, "slice int, level binary").toLocalIterator():  # 2**bits bytes in all
         out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.level, np.uint8)
     return out
 
@@ -143,10 +161,11 @@ def _folded(maps: np.ndarray, widths: np.ndarray) -> dict[int, tuple[np.ndarray,
     return out
 
 
-def prefix_blocks(records: DataFrame, level: np.ndarray, buckets: int, n: int, t: float, min_words: int) -> DataFrame:
+def prefix_blocks(records: DataFrame, level: np.ndarray, buckets: int, n: int, t: float, min_words: int, long_list: float | None = None) -> DataFrame:
     """(bucket, ids, sizes, bitmaps, counts, keys, places, sides): postings of the prefixes in columnar blocks, a record's postings
     side by side. Keys have 32 bits: two n-grams that share one only add pairs for the verification to refuse."""
     order = records.sparkSession.sparkContext.broadcast(level)
+    mask, long_list = np.uint64(len(level) - 1), long_list or LONG_LIST
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, rare = WordHashes(), order.value
@@ -184,14 +203,14 @@ def prefix_blocks(records: DataFrame, level: np.ndarray, buckets: int, n: int, t
                 ids, sizes = pdf["id"].to_numpy()[has], sizes[has]
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 maps = _parity(h, owner, _widths(sizes))
-                lv = rare[(h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+                lv = rare[(h & mask).astype(np.int64)]
                 by = np.lexsort((h, lv, owner))
                 h, lv = h[by], lv[by]
                 place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 keep = place < np.repeat(sizes - need(sizes, t) + 1, sizes)
                 h, lv, owner, place = h[keep], lv[keep], owner[keep], place[keep]
                 # how many parts a list is split in follows from the sketch alone, so all tasks agree
-                parts = np.maximum(1, np.ceil(2.0 ** ((lv + 0.5) / 4) / LONG_LIST)).astype(np.int64)
+                parts = np.maximum(1, np.ceil(2.0 ** ((lv + 0.5) / 4) / long_list)).astype(np.int64)
                 long = parts > 1
                 keys, own, pl, side = [mix(h[~long])], [owner[~long]], [place[~long]], [np.zeros(int((~long).sum()), np.uint8)]
                 for s in np.unique(parts[long]):
@@ -324,30 +343,63 @@ def verified(pairs: DataFrame, records: DataFrame, n: int, t: float, min_words:
     return both.mapInPandas(run, "id_1 bigint, id_2 bigint, similarity double")
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, n: int = N, t: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id_1, id_2, similarity), id_1 < id_2: every pair of records whose sets' Jaccard similarity is at least ``t``."""
+def representatives(df: DataFrame, id_col: str, text_col: str, n: int = N, t: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Pairs (id_1, id_2, similarity) between records of different sets, each set shown by its least id, and the records of sets that occur more
+    than once (id, first, copies), with that id and how many there are."""
     records = _records(df, id_col, text_col)
-    scanned = stored(scan(records, n, min_words), "scan")
+    bits = sketch_bits(records)
+    scanned = stored(scan(records, n, min_words, bits), "scan")
     prints = scanned.where(F.col("id").isNotNull()).select("id", "size", "fp_a", "fp_b")
-    sums = prints.agg(F.coalesce(F.sum(F.col("size") * F.lit(1 - t) + 1), F.lit(0.0)).alias("p")).first()
+    sums = prints.agg(F.coalesce(F.sum(F.col("size") * F.lit(1 - t) + 1), F.lit(0.0)).alias("p"), F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()
     buckets = max(8, math.ceil(sums.p / BUCKET_POSTINGS))
-    first = prints.groupBy("fp_a", "fp_b", "size").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    copies = stored(prints.join(first.where(F.col("copies") > 1), ["fp_a", "fp_b", "size"]).select("id", "first").distinct(), "copies")
+    first = prints.groupBy("fp_a", "fp_b", "size").agg(F.min("id").alias("first"), F.count_distinct("id").alias("copies"))
+    copies = stored(prints.join(first.where(F.col("copies") > 1), ["fp_a", "fp_b", "size"]).select("id", "first", "copies").distinct(), "copies")
     kept = records.join(copies.where(F.col("id") != F.col("first")).select("id"), "id", "left_anti")
-    blocks = prefix_blocks(kept, rarity(scanned), buckets, n, t, min_words)
+    blocks = prefix_blocks(kept, rarity(scanned, bits), buckets, n, t, min_words, max(LONG_LIST, 4 * sums.n / (1 << bits)))
     pairs = stored(candidates(blocks, buckets, t), "candidates")
-    near = stored(verified(pairs, records, n, t, min_words), "pairs")
-    return _with_copies(near, copies)
+    return stored(verified(pairs, records, n, t, min_words), "pairs"), copies
+
+
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, n: int = N, t: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id_1, id_2, similarity), id_1 < id_2: every pair of records whose sets' Jaccard similarity is at least ``t``."""
+    return _with_copies(*representatives(df, id_col, text_col, n, t, min_words))
+
+
+def _in_parts(copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The copies with the part of their group that each is in, and (first, part) of all parts: a join on both halves of a key keeps no group
+    in one task."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("copies") / COPIES_AT_ONCE))
+    placed = copies.select("id", "first", F.pmod(F.xxhash64("id"), parts).alias("part"))
+    return placed, copies.where("id = first").select("first", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
 
 
 def _with_copies(near: DataFrame, copies: DataFrame) -> DataFrame:
     """Pairs between records of equal sets added, and pairs of representatives carried over to their copies."""
-    a = copies.select(F.col("first").alias("id_1"), F.col("id").alias("_a"))
-    b = copies.select(F.col("first").alias("id_2"), F.col("id").alias("_b"))
-    spread = near.join(a, "id_1", "left").join(b, "id_2", "left").select(F.coalesce("_a", "id_1").alias("x"), F.coalesce("_b", "id_2").alias("y"), "similarity")
-    equal = copies.alias("l").join(copies.alias("r"), (F.col("l.first") == F.col("r.first")) & (F.col("l.id") < F.col("r.id")))
-    equal = equal.select(F.col("l.id").alias("x"), F.col("r.id").alias("y"), F.lit(1.0).alias("similarity"))
-    return spread.unionByName(equal).select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"), "similarity")
+    placed, parts = _in_parts(copies)
+
+    def spread(pairs: DataFrame, side: str) -> DataFrame:
+        rows = pairs.join(parts.withColumnRenamed("first", side), side, "left").join(placed.select(F.col("first").alias(side), "part", F.col("id").alias("_id")), [side, "part"], "left")
+        rows = rows.where("part IS NULL OR _id IS NOT NULL")  # a part may have no member
+        return rows.withColumn(side, F.coalesce("_id", side)).drop("part", "_id")
+
+    both = spread(spread(near, "id_1"), "id_2")
+    left = placed.join(parts.withColumnRenamed("part", "other"), "first").select("first", "other", F.col("id").alias("id_1"))
+    equal = left.join(placed.select("first", F.col("part").alias("other"), F.col("id").alias("id_2")), ["first", "other"]).where("id_1 < id_2")
+    rows = both.select("id_1", "id_2", "similarity").unionByName(equal.select("id_1", "id_2", F.lit(1.0).alias("similarity")))
+    return rows.select(F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2"), "similarity")
+
+
+def classes_of(near: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, class_id, links) as ``classes`` gives for all pairs, from the pairs of representatives: copies get their representative's class,
+    and links are counted, not made."""
+    own = classes(near)
+    size = copies.where("id = first").select(F.col("id").alias("rep"), "copies")
+    ends = near.select(F.col("id_1").alias("id"), F.col("id_2").alias("rep")).unionByName(near.select(F.col("id_2").alias("id"), F.col("id_1").alias("rep")))
+    links = ends.join(size, "rep", "left").groupBy("id").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("links"))
+    reps = own.select("id", "class_id").join(links, "id").join(size.withColumnRenamed("rep", "id"), "id", "full_outer")
+    reps = reps.select("id", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("links"))
+    others = copies.where("id <> first").select(F.col("first").alias("id"), F.col("id").alias("copy")).join(reps, "id").select(F.col("copy").alias("id"), "class_id", "links")
+    return reps.unionByName(others)
 
 
 def classes(pairs: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +38,15 @@ SHARD_ITEMS = 20_000
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = TOKENIZER) -> DataFrame:
-    """(item_id, tokens) of every text with at least one token. Each task loads the vocabulary file once."""
+    """(item_id, tokens) of every text with at least one token. The vocabulary file is read where the driver runs and shipped to the
+    executors; each task loads it once."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
+        with open(SparkFiles.get(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encoder = tiktoken.Encoding("own", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:

@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    groups = [near_dups.classes(near_dups.similar_pairs(table(spark, d, t), i, c)).select(F.lit(t).alias("tbl"), "id", "class_id", "links") for t, i, c in RECORDS]
+    groups = [near_dups.classes_of(*near_dups.representatives(table(spark, d, t), i, c)).select(F.lit(t).alias("tbl"), "id", "class_id", "links") for t, i, c in RECORDS]
     return groups[0].unionByName(groups[1])
 
 
@@ -187,6 +187,9 @@ hits AS (SELECT DISTINCT doc_id, item_id FROM y JOIN q USING (g))"""
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_PAIRS} SELECT tbl, id_1, id_2 FROM pairs",
+        "p1_classes": f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT tbl, id_1 AS a, id_2 AS b FROM pairs UNION ALL SELECT tbl, id_2, id_1 FROM pairs),
+            reach AS (SELECT tbl, a, b FROM e UNION SELECT x.tbl, x.a, e.b FROM reach x JOIN e ON e.tbl = x.tbl AND e.a = x.b)
+            SELECT tbl, a AS id, least(a, min(b)) AS class_id, any_value(c.n) AS links FROM reach JOIN (SELECT tbl, a, count(*) AS n FROM e GROUP BY tbl, a) c USING (tbl, a) GROUP BY tbl, a""",
         "p5_found": f"WITH {_LINES} SELECT DISTINCT chunk_id, line_no FROM long JOIN crossed USING (site, k)",
         "p5_pages": f"""WITH {_LINES}, bad AS (SELECT DISTINCT chunk_id, line_no FROM long JOIN crossed USING (site, k))
             SELECT l.chunk_id, coalesce(string_agg(string_split(c.content, chr(10))[l.line_no + 1], chr(10) ORDER BY l.line_no) FILTER (WHERE b.line_no IS NULL), '') AS content

@@ -92,3 +92,21 @@ def test_a_long_chain_is_one_class(spark):
     out = N.classes(links).collect()
     assert sorted(r.id for r in out) == sorted(ids) and {r.class_id for r in out} == {1}
     assert sum(r.links for r in out) == 2 * (len(ids) - 1)
+
+
+def test_groups_of_copies_in_parts_and_classes_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES_AT_ONCE", 3)
+    text = " ".join(f"x{k}" for k in range(40))
+    rows = [(k, text, "z") for k in range(20)] + [(30 + k, text + " more words", "z") for k in range(8)] + [(50, "y " + text, "z")] + [(60 + k, " ".join(f"q{j}" for j in range(35)), "z") for k in range(2)] + [(3, text, "z")]
+    assert found(spark, rows) == brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(r.id, r.class_id, r.links) for r in N.classes(N.similar_pairs(df, "id", "text")).collect()}
+    assert {(r.id, r.class_id, r.links) for r in N.classes_of(*N.representatives(df, "id", "text")).collect()} == want and len(want) == 31
+
+
+def test_sketches_of_any_width(spark):
+    df = spark.createDataFrame(corpus(4, 20), SCHEMA)
+    records = N._records(df, "id", "text")
+    assert N.sketch_bits(records) == N.BITS_LEAST and N.sketch_bits(records.where("false")) == N.BITS_LEAST
+    wide, small = (N.rarity(N.scan(records, 3, 30, b), b) for b in (20, 16))
+    assert len(wide) == 1 << 20 and len(small) == 1 << 16 and (wide > 0).sum() >= (small > 0).sum() > 0
