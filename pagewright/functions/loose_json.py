@@ -90,3 +90,12 @@ def parsed(df: DataFrame, id_col: str, value: str) -> DataFrame:
             yield pd.DataFrame([(i, *one(v)) for i, v in zip(pdf["id"], pdf["value"])], columns=["id", "status", "json"])
 
     return df.select(F.col(id_col).alias("id"), F.col(value).alias("value")).mapInPandas(run, "id bigint, status string, json string").withColumnRenamed("id", id_col)
+
+
+def descriptions(df: DataFrame, id_col: str, value: str) -> DataFrame:
+    """(id, status, and the description's fields) of every value that can be read: by the built-in parser ('read'), and only what that leaves
+    after repair ('repaired', or as ``parsed`` says)."""
+    rows = df.select(id_col, value)
+    read = rows.select(id_col, F.lit("read").alias("status"), description(F.col(value)).alias("d"))
+    left = parsed(rows.where(valid(outermost_object(F.col(value))).isNull()), id_col, value).where("json IS NOT NULL")
+    return read.unionByName(left.select(id_col, "status", description(F.col("json")).alias("d"))).where("d IS NOT NULL").select(id_col, "status", "d.*")

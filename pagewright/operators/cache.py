@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import matching
 
+#: Buckets of a table that batches are merged into.
+BUCKETS = 16
 EXTRACTION_KEY = ["file_hash", "images_scale", "ocr_language", "force_ocr"]
 CACHE_KEY = ["namespace_id", "slide_hash", "model_id", "prompt_version", "prompt_hash"]
 
@@ -57,25 +59,58 @@ def strict_lookup(wanted: DataFrame, cache: DataFrame, keys: list[str], values:
     return rows.withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+def _last_version(spark: SparkSession, root: str) -> int | None:
+    return max((int(p.rsplit("n=", 1)[1].split("/")[0]) for p in matching(spark, f"{root}/pointers/*/_SUCCESS")), default=None)
+
+
+def _pointer(spark: SparkSession, root: str) -> dict[int, str] | None:
+    """Bucket and path of each part of the newest whole version; a version that isn't bucketed has one part, -1."""
+    number = _last_version(spark, root)
+    if number is None:
+        return None
+    lines = spark.read.text(f"{root}/pointers/n={number:012d}").toLocalIterator()  # a line for each bucket
+    return {int(r.value.split("\t")[0]): r.value.split("\t")[1] for r in lines}
+
+
+def _point(spark: SparkSession, root: str, parts: dict[int, str]) -> None:
+    """A version counts once its pointer, a folder of its own, is written whole; a lost write leaves none, and readers that hold an old
+    version aren't disturbed."""
+    number = (_last_version(spark, root) or 0) + 1
+    rows = [(f"{b}\t{path}",) for b, path in sorted(parts.items())]
+    spark.createDataFrame(rows, "line string").coalesce(1).write.mode("overwrite").text(f"{root}/pointers/n={number:012d}")
+
+
 def write_version(df: DataFrame, root: str) -> str:
-    """A new version beside the old ones. It counts once its pointer, a folder of its own, is written whole; a lost write leaves none, and
-    readers that hold an old version aren't disturbed."""
-    spark = df.sparkSession
+    """A new version beside the old ones."""
     path = f"{root}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    number = (_last_version(spark, root) or 0) + 1
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.text(f"{root}/pointers/n={number:012d}")
+    _point(df.sparkSession, root, {-1: path})
     return path
 
 
-def _last_version(spark: SparkSession, root: str) -> int | None:
-    return max((int(p.rsplit("n=", 1)[1].split("/")[0]) for p in matching(spark, f"{root}/pointers/*/_SUCCESS")), default=None)
-
-
 def read_version(spark: SparkSession, root: str) -> DataFrame | None:
     """The newest version, or None where none is whole."""
-    number = _last_version(spark, root)
-    return None if number is None else spark.read.parquet(spark.read.text(f"{root}/pointers/n={number:012d}").first().value)
+    parts = _pointer(spark, root)
+    return None if parts is None else spark.read.parquet(*parts.values())
+
+
+def merge_version(batch: DataFrame, root: str, keys: list[str], keep: list[str], order: list[str], buckets: int = BUCKETS) -> None:
+    """``batch`` merged into the newest version, as a new one: rows are in buckets by their key, only buckets with a row of the batch are
+    written again, and the others are taken over as they are."""
+    spark = batch.sparkSession
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    old = _pointer(spark, root) or {}
+    touched = [r.b for r in batch.select(place.alias("b")).distinct().toLocalIterator()]  # at most as many as there are buckets
+    if not touched:
+        return
+    if -1 in old:  # a version that isn't in buckets yet
+        touched = list(range(buckets))
+    paths = [old[b] for b in (-1, *touched) if b in old]
+    held = spark.read.parquet(*paths) if paths else batch.limit(0)
+    path = f"{root}/v-{uuid.uuid4().hex}"
+    upserted(held, batch, keys, keep, order).withColumn("part_", place).write.partitionBy("part_").parquet(path)
+    written = {b: f"{path}/part_={b}" for b in touched if matching(spark, f"{path}/part_={b}")}
+    _point(spark, root, {b: x for b, x in old.items() if b >= 0} | written)
 
 
 def merged_in_order(slides: DataFrame, cached: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -516,6 +516,13 @@ def normalised_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({c: F.array_join(c, "|") for c in ("elements", "missing_text")})
 
 
+@query()
+def all_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """As normalised_descriptions, and those that were cut off or wrapped, repaired."""
+    rows = J.descriptions(table(spark, d, "visual_descriptions"), "desc_id", "description_json")
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("elements", "missing_text")})
+
+
 @query(f"""WITH {_PARSED} SELECT desc_id, concat_ws(chr(10) || chr(10), '### Visual Explanation', nullif(visual_description, ''), CASE WHEN teaching_explanation <> '' THEN 'Teaching note:' || chr(10) || teaching_explanation END,
       CASE WHEN len(elements) > 0 THEN 'Important visual elements:' || chr(10) || array_to_string(list_transform(elements, lambda x: '- ' || x), chr(10)) END,
       CASE WHEN len(missing_text) > 0 THEN 'Visible text or symbols not captured by OCR:' || chr(10) || array_to_string(list_transform(missing_text, lambda x: '- ' || x), chr(10)) END) AS block FROM f""")

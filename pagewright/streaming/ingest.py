@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cache import read_version, upserted, write_version
+from ..operators.cache import merge_version
 from ..session import is_file, work_dir
 
 
@@ -21,13 +21,11 @@ def arriving(spark: SparkSession, path: str, schema, files: int = 8) -> DataFram
 
 
 def upsert_stream(stream: DataFrame, root: str, keys: list[str], keep: list[str], order: list[str]) -> None:
-    """Every batch merged into the versioned table at ``root``; a batch that runs again after a failure changes nothing."""
-    spark = stream.sparkSession
+    """Every batch merged into the versioned table at ``root``, of which only the touched buckets are written again; a batch that runs again
+    after a failure changes nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        held = read_version(spark, root)
-        held = batch.limit(0) if held is None else held
-        write_version(upserted(held, batch, keys, keep, order), root)
+        merge_version(batch, root, keys, keep, order)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
+from pagewright.functions import loose_json as J
 from pagewright.functions import text as T
 from pagewright.operators import cache as C
 from pagewright.operators import describe as D
@@ -246,3 +247,75 @@ def test_newest_and_late_windows(spark, tmp_path):
     stream = ingest.arriving(spark, str(source), spark.read.parquet(str(source)).schema, files=1)
     done = ingest.run_to_table(ingest.windowed_counts(stream, "ts", "kind"))
     assert sorted((r["window"].start.hour, r.n) for r in done.collect()) == [(1, 2), (2, 1), (9, 1), (10, 1)]
+
+
+def test_trees_of_items(spark):
+    cells = [{"start_row_offset_idx": r, "end_row_offset_idx": r, "start_col_offset_idx": c, "end_col_offset_idx": c, "text": t} for r, c, t in ((0, 0, ""), (1, 0, "a"), (1, 1, "b  c"), (3, 0, "1"), (3, 1, "old"), (3, 1, "2"))]
+    document = {
+        "body": {"children": [{"$ref": "#/texts/0"}, {"$ref": "#/groups/0"}, {"$ref": "#/pictures/0"}, {"$ref": "#/tables/0"}, {"$ref": "#/texts/0"}, {"$ref": "#/nowhere/9"}]},
+        "groups": [{"page_no": 4, "children": [{"$ref": "#/texts/1"}, {"$ref": "#/groups/0"}]}],
+        "texts": [{"label": "section_header", "text": "Head", "prov": [{"page_no": 1}]}, {"label": "list_item", "text": "point"}, {"text": "in the picture"}, {"text": "unseen"}],
+        "pictures": [{"label": "picture", "prov": [{"page_no": 2}], "children": [{"$ref": "#/texts/2"}], "captions": ["A", {"text": "bridge"}], "image": {"uri": "x.png"}}],
+        "tables": [{"label": "table", "prov": [{"page_no": 3}], "data": {"table_cells": cells}}],
+    }
+    df = spark.createDataFrame([(1, json.dumps({"result": {"document": json.dumps(document)}})), (2, "no json"), (3, None)], "id int, j string")
+    out = [(r.ref, r.page, r.type, r.content) for r in trees.items(df, ["id"], "j").orderBy("ord").collect()]
+    figure = "[Figure on Page 2]\nExtracted text from image OCR:\nin the picture\nCaption: A bridge\nImage reference: x.png\n" + trees.FIGURE_END
+    assert out[:4] == [("#/texts/0", 1, "text", "## Head"), ("#/texts/1", 4, "text", "- point"), ("#/pictures/0", 2, "figure", figure), ("#/tables/0", 3, "table", "| a | b c |\n| --- | --- |\n| 1 | 2 |")]
+    assert [o[0] for o in out[4:]] == ["#/texts/3"] and trees.table_count(document) == 1
+
+
+def test_markdown_and_documents_in_responses():
+    assert trees.found_markdown({"a": {"md": "# x"}, "result": {"markdown": "  ", "document": {"md_content": "found"}}}) == ("found", "result.document.md_content")
+    assert trees.found_markdown({"a": {"b": "plain", "text_md": "one"}, "markdown_content": "two"}) == ("two", "markdown_content")
+    assert trees.found_markdown({"a": ["short", "# A heading that is long enough"]}) == ("# A heading that is long enough", "a.1") and trees.found_markdown([1]) == ("", "")
+    assert trees.structured({"data": {"document": '{"texts": [1]}'}})[1] == "data.document" and trees.structured({"document": {"x": 1}}) == (None, "")
+
+
+def test_cut_descriptions_are_read_too(spark):
+    rows = [(1, '{"visualType": "chart", "visualDescription": "Whole."}'), (2, '```json\n{"visualType": "photo", "visualDescription": "Cut in the mid'), (3, "nothing"), (4, None), (5, ""), (6, 'Here: {"importantVisualElements": ["a", " "]} end')]
+    out = {r.desc_id: (r.status, r.visual_type, r.visual_description, r.elements) for r in J.descriptions(spark.createDataFrame(rows, "desc_id int, description_json string"), "desc_id", "description_json").collect()}
+    assert out == {1: ("read", "chart", "Whole.", []), 2: ("repaired", "photo", "Cut in the mid", []), 6: ("read", "mixed", "", ["a"])}
+
+
+def test_intermediate_tables(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from pagewright import session as S
+
+    df = spark.createDataFrame([(1,)], "x int")
+    assert S.stored(df).collect() == df.collect() and S.exists(spark, S.work_dir(spark))
+    df.write.parquet(str(tmp_path / "in"))
+    calls = []
+
+    def made():
+        calls.append(1)
+        return df
+
+    for _ in range(2):
+        assert S.stored_once(made, [str(tmp_path / "in")], spark, "once").collect() == df.collect()
+    df.write.mode("append").parquet(str(tmp_path / "in"))
+    S.stored_once(made, [str(tmp_path / "in")], spark, "once")
+    assert len(calls) == 2
+    unset = SimpleNamespace(get=lambda key, default: None)
+    with pytest.raises(RuntimeError):
+        S.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(applicationId="a", master="spark://host:7077")))
+    own = S.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(applicationId="b", master="local[2]")))
+    assert own == S.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(applicationId="b", master="local[2]")))
+
+
+def test_only_touched_buckets_are_written_again(spark, tmp_path):
+    root = str(tmp_path / "t")
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v string, at int")
+    C.write_version(frame([(k, "first", 0) for k in range(50)]), root)
+    C.merge_version(frame([(60, "new", 1)]), root, ["k"], [], ["at"], buckets=8)  # puts all rows into buckets
+    before = C._pointer(spark, root)
+    C.merge_version(frame([(7, "again", 2), (7, "older", 1)]), root, ["k"], [], ["at"], buckets=8)
+    after = C._pointer(spark, root)
+    assert len([b for b in before if before[b] != after[b]]) == 1 and set(before) == set(after)
+    out = {r.k: r.v for r in C.read_version(spark, root).collect()}
+    assert out == {**{k: "first" for k in range(50)}, 7: "again", 60: "new"}
+    C.merge_version(frame([]), root, ["k"], [], ["at"], buckets=8)
+    assert C._pointer(spark, root) == after
