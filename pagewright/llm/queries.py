@@ -42,7 +42,7 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_limits(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.field_limits(stored(truncation.scan(table(spark, d, "visual_descriptions"), "desc_id", "model_id", "description_json"), "values"))
+    return truncation.real_limits(table(spark, d, "visual_descriptions"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -222,9 +222,8 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
-def scores(df: DataFrame, id_col: str = "desc_id", source: str = "model_id", value: str = "description_json") -> DataFrame:
-    """(id, source, closed, ending, posterior, limit, score): every value that isn't blank with the evidence that speaks most for a cut.
-    ``ending`` is 'open', 'ended' (behind a closing mark), 'note', 'cut' or 'none' (no text)."""
+def _weighed(df: DataFrame, id_col: str, source: str, value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scores, the candidate limits (source, unit, len, limit, posterior, mu, sd), and those that are limits (source, "unit limit")."""
     rows = stored(scan(df, id_col, source, value), "values")
     limits = stored(field_limits(rows), "limits")
     values = _placed(rows.select("id", "source", "chars", "bytes", "closed"), limits, {"chars": "chars", "bytes": "bytes"})
@@ -283,7 +282,20 @@ def scores(df: DataFrame, id_col: str = "desc_id", source: str = "model_id", val
     by_text = by_text.select("id", F.struct((prior(at) + odds[F.col("ending")]).alias("score"), "ending", at.alias("posterior"), F.when(F.col("open_share").isNotNull(), F.col("text_limit")).alias("limit")).alias("t"))
     out = by_value.join(by_text.groupBy("id").agg(F.max("t").alias("t")), "id", "left")
     more = F.coalesce(F.col("t.score") > F.col("score"), F.lit(False))
-    return out.select("id", "source", "closed", *[F.when(more, F.col(f"t.{c}")).otherwise(F.col(c)).alias(c) for c in ("ending", "posterior", "limit", "score")])
+    best = [F.when(more, F.col(f"t.{c}")).otherwise(F.col(c)).alias(c) for c in ("ending", "posterior", "limit", "score")]
+    return out.select("id", "source", "closed", *best), limits, real.select("source", F.col("limit").alias("named"))
+
+
+def scores(df: DataFrame, id_col: str = "desc_id", source: str = "model_id", value: str = "description_json") -> DataFrame:
+    """(id, source, closed, ending, posterior, limit, score): every value that isn't blank with the evidence that speaks most for a cut.
+    ``ending`` is 'open', 'ended' (behind a closing mark), 'note', 'cut' or 'none' (no text)."""
+    return _weighed(df, id_col, source, value)[0]
+
+
+def real_limits(df: DataFrame, id_col: str = "desc_id", source: str = "model_id", value: str = "description_json") -> DataFrame:
+    """(source, unit, len, limit, posterior, mu, sd): the lengths at which values or texts of a source were cut, as what stands there shows."""
+    _, limits, real = _weighed(df, id_col, source, value)
+    return limits.withColumn("named", F.concat_ws(" ", "unit", "limit")).join(real, ["source", "named"], "left_semi").drop("named")
 
 
 def truncated(df: DataFrame, **columns) -> DataFrame:

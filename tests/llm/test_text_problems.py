@@ -174,6 +174,7 @@ def test_the_posterior_overrules_an_ending_and_limits_may_be_large(spark):
     assert {i for i, r in out.items() if r.score > 0} == {i for i, _, _ in limited}
     assert {(out[i].closed, out[i].ending) for i in (1077, 1078, 1079)} == {(True, "ended")} and {out[i].limit.split()[0] for i in (1077, 1078, 1079)} <= {"chars", "bytes", "text"}
     assert all(out[k].ending == "ended" and out[k].score < 0 for k in range(400))
+    assert {(r.unit, r.limit) for r in truncation.real_limits(spark.createDataFrame(rows + limited, "desc_id bigint, model_id string, description_json string")).collect()} >= {("chars", size)}
 
 
 def test_brackets_are_counted():
