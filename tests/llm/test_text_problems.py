@@ -295,6 +295,35 @@ def test_the_perceptron_decides_on_words_it_has_not_seen(spark):
     assert verdicts({}) == {}  # the counts alone find nothing
 
 
+def test_verdicts_do_not_depend_on_how_large_the_corpus_is(spark):
+    from itertools import product
+
+    usual = [a + b + c for a, b, c in product(("gar", "win", "mar", "pla", "sil", "let", "mir", "thun"), ("den", "dow", "ket", "net", "ver", "ter"), ("s", "ing", "less", "tide"))] + ["as", "at", "on", "with"]
+    rows = [(w, 4000) for w in usual] + [("cas", 200), ("cat", 40), ("con", 700), ("(as", 30), ("(at", 300), ("(on", 200), ("vvith", 3), ("wifh", 3), ("gardcns", 2), ("w!ndows", 2)]
+
+    def verdicts(times):
+        words = spark.createDataFrame([(w, None, None, n * times) for w, n in rows], "word string, hyphen string, right string, n bigint")
+        words = ocr.scaled(words, 900_000)
+        weights = ocr.train(words)
+        return {r.key: r.value for r in ocr.word_verdicts(words, spark.sparkContext.broadcast((weights, 40)), ocr.Editor(weights, 40)).collect()}
+
+    want = {"vvith": "with", "wifh": "with", "gardcns": "gardens", "w!ndows": "windows"}
+    assert verdicts(1) == want and verdicts(30) == want
+
+
+def test_words_behind_a_parenthesis_are_taught(spark):
+    taught = [x for kind, x in ocr.examples(["as", "garden", "window", "castle"]) if kind == "word" and x[0].startswith("(") and not x[1]]
+    assert taught and all(x[2] == "c" for x in taught)
+    known = [{"word": "as", "ops": None, "n": 500}]
+    weights = dict(ocr.trained([("word", ["(rown", [[0, "=c"]]], [{"word": "crown", "ops": json.dumps([[0, "=c"]]), "n": 500}])] * 3, {"c(": {"=c": 0.0}}))
+    table = {f: {} for f, _ in weights}
+    for (f, label), w in weights.items():
+        table[f][label] = w
+    more = ocr.trained([("word", ["(as", [], "c", 0.1], known)] * 20, table)
+    gain = lambda out: out["c(", "=c"] - out.get(("c(", "="), 0.0)
+    assert gain(more) < gain(weights)
+
+
 def test_verdicts_too_many_to_broadcast(spark):
     pages = spark.createDataFrame([(1, "thc wall\nof the gar-\nden"), (2, "nothing here"), (3, "")], "chunk_id bigint, content string")
     verdicts = spark.createDataFrame([("thc", "the"), ("gar\x1f-\x1fden", "join"), ("other", "word")], "key string, value string")
