@@ -12,8 +12,9 @@ A similarity self-join on sets of distinct word n-grams (``n`` = 3, Jaccard >= 0
    ``(n-gram, position, record)`` of the prefixes go to buckets by n-gram, packed in columnar blocks with each record's id,
    size and parity bitmap once a block. A list that the sketch says may be long, far above the mean of its buckets, is split in ``s`` parts, and every pair
    of parts is a bucket entry of its own, so that no task has to hold or pair a whole long list.
-4. *Filters.* In a bucket, lists are sorted by size. The length filter bounds the range of partners, the positional filter
-   what can still be shared behind the common n-gram, the suffix filter the symmetric difference, for which the bitmaps'
+4. *Filters.* In a bucket, lists are sorted by size. The length filter bounds the range of partners, and so does the positional filter
+   with what can still be shared behind the common n-gram: the smaller set of a pair has it in the first quarter of its n-grams, so of the
+   long lists, which rare-first order puts at the ends of prefixes, few postings are partners. The suffix filter is the symmetric difference, for which the bitmaps'
    differing bits are a lower bound. Pairs are formed block by block in arrays of bounded length.
 5. *Verification.* Each remaining pair once, on the two full sets.
 
@@ -241,6 +242,17 @@ def _large(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"u{max(1, len(raw) // max(n, 1))}").astype(np.int32)
 
 
+def partners(rank: np.ndarray, size: np.ndarray, left: np.ndarray, alpha: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of postings sorted by list (``rank``) and size: which can be the smaller one of a pair, and for each posting where its partners begin among
+    those and how many there are. The n-gram is the first that both share, so ``left`` members of each may be shared at most, and ``alpha`` must."""
+    code = rank * (1 << 32) + size
+    smaller = np.flatnonzero(left >= alpha[2 * size])
+    low = np.searchsorted(code[smaller], rank * (1 << 32) + np.ceil(t * size - 1e-6).astype(np.int64))
+    most = np.floor((left + 1e-6) * (1 + t) / t).astype(np.int64) - size
+    high = np.minimum(np.searchsorted(code[smaller], rank * (1 << 32) + most, "right"), np.searchsorted(smaller, np.arange(len(code))))
+    return smaller, low, np.maximum(high - low, 0)
+
+
 def _bucket_pairs(blocks: pd.DataFrame, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (least id first) of one bucket."""
     def whole(col: str, kind: type) -> np.ndarray:
@@ -258,24 +270,21 @@ def _bucket_pairs(blocks: pd.DataFrame, t: float) -> Iterator[tuple[np.ndarray,
     keys, doc, place, side = keys[by], doc[by], place[by], side[by]
     size = sizes[doc]
     rank = np.cumsum(np.r_[0, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    code = rank * (1 << 32) + size
-    stop = np.searchsorted(code, rank * (1 << 32) + np.floor(size / t + 1e-9).astype(np.int64), "right")
-    n = stop - np.arange(len(code)) - 1
-    n[n < 0] = 0
     left = size - place  # members from this place on
     alpha = np.ceil(t / (1 + t) * np.arange(2 * int(size.max(initial=0)) + 1) - 1e-9).astype(np.int32)
+    smaller, low, n = partners(rank, size, left, alpha, t)
     split = bool(side.any())
     total, at = np.cumsum(n), 0
     while at < len(n):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
         for lo in range(0, int(n[at]) if to == at + 1 else 1, PAIRS_AT_ONCE):  # one posting may have more partners than that
             if to == at + 1:
-                j = np.arange(at + 1 + lo, at + 1 + min(int(n[at]), lo + PAIRS_AT_ONCE))
+                j = smaller[int(low[at]) + lo : int(low[at]) + min(int(n[at]), lo + PAIRS_AT_ONCE)]
                 i = np.full(len(j), at)
             else:
                 m = n[at:to]
                 i = np.repeat(np.arange(at, to), m)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + i + 1
+                j = smaller[np.arange(len(i)) - np.repeat(np.cumsum(m) - m - low[at:to], m)]
             ok = np.minimum(left[i], left[j]) >= alpha[size[i] + size[j]]
             if split:
                 ok &= np.where(side[i] == 0, side[j] == 0, side[i] + side[j] == 3)

@@ -110,3 +110,19 @@ def test_sketches_of_any_width(spark):
     assert N.sketch_bits(records) == N.BITS_LEAST and N.sketch_bits(records.where("false")) == N.BITS_LEAST
     wide, small = (N.rarity(N.scan(records, 3, 30, b), b) for b in (20, 16))
     assert len(wide) == 1 << 20 and len(small) == 1 << 16 and (wide > 0).sum() >= (small > 0).sum() > 0
+
+
+def test_few_partners_in_a_long_list():
+    rng = np.random.default_rng(3)
+    t, n = 0.6, 600
+    size = np.sort(rng.integers(100, 200, n))
+    place = (size * rng.uniform(0.0, 0.4, n)).astype(np.int64)
+    rank, left = np.repeat([0, 1], n // 2), size - place
+    alpha = np.ceil(t / (1 + t) * np.arange(401) - 1e-9).astype(np.int32)
+    smaller, low, m = N.partners(rank, size, left, alpha, t)
+    formed = {(int(smaller[low[i] + k]), i) for i in range(n) for k in range(m[i])}
+    every = [(i, j) for j in range(n) for i in range(j) if rank[i] == rank[j] and size[i] >= t * size[j]]
+    right = {(i, j) for i, j in every if min(left[i], left[j]) >= alpha[size[i] + size[j]]}
+    assert len(formed) == m.sum() and right <= formed and len(formed) < 1.6 * len(right) < len(every)
+    late = N.partners(np.zeros(n, int), np.full(n, 150), np.full(n, 150 - 45), alpha, t)  # the last n-grams of all prefixes
+    assert late[2].sum() == 0
